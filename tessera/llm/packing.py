@@ -58,8 +58,6 @@ def balance(lengths: np.ndarray, capacity: int, linear: float, quadratic: float)
 
 
 def _pack(path: str, end: int, capacity: int, linear: float, quadratic: float, with_tokens: bool):
-    tail = np.array([end], dtype="<u4").tobytes()
-
     def pack(batches):
         base, made = TaskContext.get().partitionId() << 40, 0
         ids, bodies, held = [], [], 0
@@ -82,10 +80,11 @@ def _pack(path: str, end: int, capacity: int, linear: float, quadratic: float, w
         for batch in batches:
             for lo, texts in pieces(batch.column(1)):
                 names = batch.column(0).slice(lo, len(texts)).to_pylist()
-                for name, body in zip(names, encoder(path).encode([t or "" for t in texts.to_pylist()]), strict=True):
+                found, at = encoder(path).with_end(texts, end)
+                for name, a, b in zip(names, at[:-1].tolist(), at[1:].tolist()):
                     ids.append(name)
-                    bodies.append(body + tail)
-                    held += len(bodies[-1]) // 4
+                    bodies.append(found[a:b].tobytes())
+                    held += b - a
                     if held >= GROUP_TOKENS:
                         yield flush()
         if ids:

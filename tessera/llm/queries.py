@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, packing, substring, token_files
+from tessera.llm import boosting, isolation, mixing, packing, secrets, substring, token_files
 
 
 def tokenizer_path() -> str:
@@ -42,6 +42,24 @@ def op5_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op6_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = boosting.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("row.doc_id", boosting.held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_base = len(secrets.BASE)
+    base = F.filter("spans", lambda s: s["rank"] < n_base)
+    counts = [secrets.number(F.col("spans"), i).alias(f"n_{r.kind}") for i, r in enumerate(secrets.BASE)]
+    return found.select("row.doc_id", *counts, F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+def op10_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = isolation.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v) and k[2].isdigit()}
 

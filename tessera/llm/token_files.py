@@ -21,18 +21,15 @@ ROW_GROUP, PAGE, PAGE_ROWS = 64 << 20, 256 << 10, 512
 
 
 def _encode(path: str, end: int):
-    tail = np.array([end], dtype="<u4").tobytes()
-
     def encode(batches):
         part, within = TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo, texts in pieces(batch.column(1)):
-                bodies = [x + tail for x in encoder(path).encode([t or "" for t in texts.to_pylist()])]
-                n = np.array([len(x) // 4 for x in bodies], dtype=np.int64)
-                ends = np.cumsum(n)
-                tokens = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(bodies))]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array(np.full(n.size, part), pa.int32()), pa.array(within + ends - n), pa.array(n, pa.int32()), tokens], names=["doc_id", "part", "within", "n_tokens", "tokens"])
-                within += int(ends[-1])
+                ids, at = encoder(path).with_end(texts, end)
+                n = np.diff(at)
+                tokens = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array(np.full(n.size, part), pa.int32()), pa.array(within + at[:-1]), pa.array(n, pa.int32()), tokens], names=["doc_id", "part", "within", "n_tokens", "tokens"])
+                within += int(at[-1])
 
     return encode
 

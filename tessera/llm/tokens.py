@@ -1,4 +1,4 @@
-"""Token ids of whole texts by the tokenizers library, with a cache for the words that recur."""
+"""Token ids of whole texts by the tokenizers library, with a table of the words that recur."""
 
 from __future__ import annotations
 
@@ -7,24 +7,100 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
-#: A space after a space or another white space: where a text may not be cut word by word.
-_RUN = re.compile(r"\s ")
-#: Words in each of the two generations of a worker's cache; a word that no longer occurs is gone after two.
-CACHED = 300_000
+from tessera.llm.words import SEPARATORS, U64, mix, powers, raw
+
+#: White space beyond ASCII, by its bytes in UTF-8, and those that such a character begins with.
+_WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8a\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80")
+_LEADS = np.zeros(256, bool)
+_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_CONTROL = np.zeros(256, bool)
+_CONTROL[0x1C:0x20] = True
+#: Words that a worker keeps at most (about 80 bytes each); the half that was used last stays.
+KEPT = 1 << 20
 #: Words that are encoded in one call.
 CALL = 20_000
 
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+class WordTable:
+    """Ids of words by a 128-bit hash, in arrays: open addressing, looked up and filled a batch at a time."""
+
+    def __init__(self, kept: int):
+        self.kept = kept
+        self.slots = np.full(1 << int(np.ceil(np.log2(kept * 2.5))), -1, np.int32)
+        self.mask = self.slots.size - 1
+        self.h = np.zeros((2, 0), U64)
+        self.start = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int32)
+        self.stamp = np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+        self.now = 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The entry of each word, -1 where there is none."""
+        out = np.full(h.shape[1], -1, np.int64)
+        left, at = np.arange(h.shape[1]), (h[0] & U64(self.mask)).astype(np.int64)
+        while left.size:
+            entry = self.slots[at]
+            full = entry >= 0
+            left, at, entry = left[full], at[full], entry[full]
+            same = (self.h[0, entry] == h[0, left]) & (self.h[1, entry] == h[1, left])
+            out[left[same]] = entry[same]
+            left, at = left[~same], (at[~same] + 1) & self.mask
+        return out
+
+    def _place(self, first: int) -> None:
+        todo = np.arange(first, self.h.shape[1])
+        at = (self.h[0, todo] & U64(self.mask)).astype(np.int64)
+        while todo.size:
+            free = self.slots[at] < 0
+            self.slots[at[free]] = todo[free]  # of several for one slot the last stays
+            lost = self.slots[at] != todo
+            todo, at = todo[lost], (at[lost] + 1) & self.mask
+
+    def add(self, h: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        if self.h.shape[1] + h.shape[1] > self.kept:
+            self._shrink()
+        first = self.h.shape[1]
+        self.start = np.append(self.start, self.pool.size + np.cumsum(sizes) - sizes)
+        self.size = np.append(self.size, sizes.astype(np.int32))
+        self.h = np.concatenate([self.h, h], 1)
+        self.stamp = np.append(self.stamp, np.full(h.shape[1], self.now))
+        self.pool = np.append(self.pool, ids)
+        self._place(first)
+
+    def _shrink(self) -> None:
+        # what the batch at hand uses stays in any case
+        if not self.stamp.size:
+            return
+        keep = np.flatnonzero(self.stamp >= min(np.median(self.stamp) + 1, self.now))
+        self.pool = self.gather(keep)[0]
+        self.h, self.size, self.stamp = self.h[:, keep], self.size[keep], self.stamp[keep]
+        self.start = np.cumsum(self.size, dtype=np.int64) - self.size
+        self.slots[:] = -1
+        self._place(0)
+
+    def gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all entries, one after another, and where each begins and the last ends."""
+        size = self.size[entries]
+        ends = np.append(0, np.cumsum(size, dtype=np.int64))
+        at = np.arange(ends[-1])
+        at += np.repeat(self.start[entries] - ends[:-1], size)
+        return self.pool[at], ends
+
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers.
+    """Ids of texts as unsigned 32-bit integers.
 
-    A byte-level pre-tokenizer never joins a character with a space that follows it, so a text falls into independent units before each
-    space that follows a non-space.  Units recur; the library encodes each distinct one once, many in one call: of their tokens only the
-    first of a unit begins with a space.  Texts with runs of white space are encoded whole.
+    A byte-level pre-tokenizer never joins a character with a space that follows it, so a text falls into independent words, each with the space
+    before it.  Words recur; the library encodes those that a table does not have yet, many in one call: of their tokens only the
+    first of a word begins with a space.  Texts with runs of white space are encoded whole.
     """
 
-    def __init__(self, path: str, by_word: bool = True):
+    def __init__(self, path: str, kept: int = KEPT):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -33,47 +109,92 @@ class Encoder:
         vocab = self.tok.get_vocab()
         self.spaced = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.spaced[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True  # a space as byte-level vocabularies write it
-        self.by_word, self.young, self.old = by_word, {}, {}
+        self.table = WordTable(kept)
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, units: list[str]) -> None:
-        """Put units, which come after a space, in the cache."""
+    def _words(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words that begin with a space and have no other, and how many each has."""
+        ids, sizes = [], []
         for lo in range(0, len(units), CALL):
             some = units[lo : lo + CALL]
-            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            at = np.flatnonzero(self.spaced[ids])
-            if at.size == len(some):
-                body, at = ids.tobytes(), [*(at * 4).tolist(), ids.size * 4]
-                self.young.update(zip(some, [body[a:b] for a, b in zip(at, at[1:])]))
-            else:
-                self.young.update(zip(some, self._whole([" " + u for u in some])))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
-            return self._whole(texts)
-        if len(self.young) > CACHED:
-            self.young, self.old = {}, self.young
-        out: list[bytes | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if t[:1] == " " or _RUN.search(t)]
-        for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        rest = [(i, texts[i].split(" ")) for i in range(len(texts)) if out[i] is None]
-        heads = self._whole([units[0] for _, units in rest])
-        new: set[str] = set()
-        for _, units in rest:
-            new.update(units[1:])
-        new -= self.young.keys()
-        if new and self.old:
-            again = new & self.old.keys()
-            self.young.update((u, self.old[u]) for u in again)
-            new -= again
-        self._learn(list(new))
-        young = self.young
-        for (i, units), head in zip(rest, heads, strict=True):
-            out[i] = head + b"".join([young[u] for u in units[1:]])
-        return out
+            got = self.whole([b"".join(some).decode()])[0]
+            at = np.flatnonzero(self.spaced[got])
+            if at.size != len(some) or at[0]:
+                each = self.whole([u.decode() for u in some])
+                got, at = np.concatenate(each), np.cumsum([0, *(x.size for x in each)])[:-1]
+            ids.append(got)
+            sizes.append(np.diff(np.append(at, got.size)))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and the len + 1 places where texts begin; null counts as empty."""
+        data, off = raw(texts)
+        n = off.size - 1
+        odd = np.zeros(n, bool)
+        space = data == 0x20
+        mark = _CONTROL[data]
+        mark[1:] |= space[1:] & SEPARATORS[data[:-1]]
+        odd[np.searchsorted(off, np.flatnonzero(mark), side="right") - 1] = True
+        if _LEADS[data].any() and _WIDE.search(body := data.tobytes()):
+            odd |= [_WIDE.search(body, off[i], off[i + 1]) is not None for i in range(n)]
+        if data.size:
+            full = off[:-1] < off[1:]
+            odd[full] |= space[off[:-1][full]]
+        cut = space.copy()
+        cut[off[:-1][off[:-1] < off[1:]]] = True
+        doc_odd = np.repeat(odd, np.diff(off))
+        use = ~doc_odd
+        starts = np.flatnonzero(cut & use)
+        if not starts.size:
+            return self._merge(texts, odd, np.zeros(0, np.uint32), np.zeros(n + 1, np.int64))
+        inside = data[use]
+        # places in the bytes of the texts that are cut
+        place = np.cumsum(use) - 1
+        begin = place[starts]
+        lens = np.diff(np.append(begin, inside.size))
+        at = np.arange(inside.size, dtype=np.int64)
+        at -= np.repeat(begin, lens)
+        wide = inside.astype(U64)
+        wide += U64(1)
+        most = int(lens.max())
+        h = np.stack([mix(np.add.reduceat(wide * powers(b, most)[at], begin) + lens.astype(U64)) for b in _BASES])
+        table = self.table
+        table.now += 1
+        entry = table.find(h)
+        table.stamp[entry[entry >= 0]] = table.now
+        new = np.flatnonzero(entry < 0)
+        if new.size:
+            _, first = np.unique(h[0, new], return_index=True)
+            own = new[first]
+            flat = inside.tobytes()
+            units = [flat[a:b] for a, b in zip(begin[own].tolist(), (begin[own] + lens[own]).tolist())]
+            spaced = inside[begin[own]] == 0x20
+            pos = np.flatnonzero(spaced)
+            ids, sizes = self._words([units[i] for i in pos]) if pos.size else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+            heads = np.flatnonzero(~spaced)
+            each = self.whole([units[i].decode() for i in heads])
+            table.add(np.concatenate([h[:, own[pos]], h[:, own[heads]]], 1), np.concatenate([ids, *each]), np.append(sizes, [x.size for x in each]).astype(np.int64))
+            entry = table.find(h)
+        ids, ends = table.gather(entry)
+        # the first word of each text
+        of = np.searchsorted(starts, off)
+        return self._merge(texts, odd, ids, ends[of])
+
+    def _merge(self, texts: pa.Array, odd: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Puts in the texts that are encoded whole."""
+        if not odd.any():
+            return ids, at
+        which = np.flatnonzero(odd)
+        whole = dict(zip(which.tolist(), self.whole([t.as_py() for t in texts.take(pa.array(which))])))
+        parts = [whole[i] if i in whole else ids[at[i] : at[i + 1]] for i in range(odd.size)]
+        return np.concatenate(parts), np.append(0, np.cumsum([p.size for p in parts]))
+
+    def with_end(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, with the id `end` after each text."""
+        ids, at = self.encode(texts)
+        return np.insert(ids, at[1:], end).astype(np.uint32, copy=False), at + np.arange(at.size)
 
 
 @lru_cache(maxsize=4)
