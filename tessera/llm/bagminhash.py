@@ -198,7 +198,6 @@ def near_classes(docs: DataFrame, least: float = 0.8, k: int = 5, size: int = 19
         while turns and (total == 0 or total + turns[0][1] <= room):  # as many turns at once as make no more pairs than the input has rows
             upto, more = turns.pop(0)
             total += more
-        since = strays.where(F.col("turn") <= upto).where(F.col("turn") >= (0 if not turns else 0))
         mapped = _mapped(members.select("band", "node"), comps)
         here = strays.where(F.col("turn") <= upto).join(comps, "node", "left").select("band", F.col("node").alias("a"), F.coalesce("component", "node").alias("ca"))
         fresh = here.join(mapped.select("band", F.col("node").alias("b"), F.col("component").alias("cb")), "band").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

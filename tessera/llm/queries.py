@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import boosting, isolation, mixing, packing, secrets, substring, token_files
+from tessera.llm import bagminhash, boosting, collisions, isolation, mixing, packing, secrets, substring, token_files
 
 
 def tokenizer_path() -> str:
@@ -55,6 +55,15 @@ def op7_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", *counts, F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+def op8_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op9_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = bagminhash.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return classes.select(F.when(F.col("did") < bagminhash.STAND_IN, F.col("did")).alias("doc_id"), "class_id")
+
+
 def op10_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = isolation.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
