@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bagminhash, boosting, collisions, isolation, mixing, packing, secrets, substring, token_files
+from tessera.llm import bagminhash, boosting, collisions, isolation, lm, mixing, packing, secrets, substring, token_files
 
 
 def tokenizer_path() -> str:
@@ -37,6 +37,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(table(spark, sf_dir, "documents"), tokenizer_path(), end=0)
 
 
+def op4_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents scored by how much they read like the turns of conversations, against all documents."""
+    scored = lm.cross_entropy_difference(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "conversations").select("text"))
+    return scored.select("row.doc_id", "n_tokens", "target_loss", "background_loss", "score")
+
+
 def op5_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end=1, with_tokens=False)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

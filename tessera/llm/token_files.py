@@ -47,7 +47,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 0, encod
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
     ids = ordered.mapInArrow(_encode(tokenizer, end), FILE_SCHEMA)
-    out = ids.write.option("compression", "zstd").option("parquet.writer.version", "v2").option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE).option("parquet.page.row.count.limit", PAGE_ROWS)
+    out = ids.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 1).option("parquet.writer.version", "v2").option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE).option("parquet.page.row.count.limit", PAGE_ROWS)
     out = out.option("parquet.enable.dictionary", "false").option("parquet.enable.dictionary#tokens.list.element", str(encoding == "dictionary").lower())
     out.parquet(path)
 
@@ -60,11 +60,11 @@ def read_tokens(spark: SparkSession, path: str, first: int | None = None, last:
     return df if last is None else df.where(F.col("doc_id") <= last)
 
 
-def starts(files: DataFrame) -> DataFrame:
-    """The files' rows with `start`, the ids of all documents before: a running sum over parts (files), of which there are few, plus the place within."""
+def with_start(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows that have a document's part and place within, with `start`, the ids of all documents before: a running sum over the files' parts, of which there are few, plus the place within."""
     parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return files.join(before, "part").withColumn("start", F.col("before") + F.col("within")).drop("before")
+    return rows.join(before, "part").withColumn("start", F.col("before") + F.col("within")).drop("before")
 
 
 def _crc32(batches):
@@ -85,4 +85,5 @@ def token_table(docs: DataFrame, tokenizer: str, end: int = 0, **how) -> DataFra
     """Write the token files in the shared folder, read them back, and return doc_id, start, n_tokens, ids_crc32."""
     path = new_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, tokenizer, end, **how)
-    return starts(checksums(read_tokens(docs.sparkSession, path))).select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32")
+    files = read_tokens(docs.sparkSession, path)
+    return with_start(checksums(files), files).select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32")

@@ -144,18 +144,19 @@ class Encoder:
             odd[full] |= space[off[:-1][full]]
         cut = space.copy()
         cut[off[:-1][off[:-1] < off[1:]]] = True
-        doc_odd = np.repeat(odd, np.diff(off))
-        use = ~doc_odd
-        starts = np.flatnonzero(cut & use)
+        if odd.any():
+            use = np.repeat(~odd, np.diff(off))
+            starts = np.flatnonzero(cut & use)
+            inside = data[use]
+            begin = (np.cumsum(use) - 1)[starts]  # places in the bytes of the texts that are cut
+        else:
+            starts = begin = np.flatnonzero(cut)
+            inside = data
         if not starts.size:
             return self._merge(texts, odd, np.zeros(0, np.uint32), np.zeros(n + 1, np.int64))
-        inside = data[use]
-        # places in the bytes of the texts that are cut
-        place = np.cumsum(use) - 1
-        begin = place[starts]
         lens = np.diff(np.append(begin, inside.size))
-        at = np.arange(inside.size, dtype=np.int64)
-        at -= np.repeat(begin, lens)
+        at = np.arange(inside.size, dtype=np.int32 if inside.size < 1 << 31 else np.int64)
+        at -= np.repeat(begin.astype(at.dtype), lens)
         wide = inside.astype(U64)
         wide += U64(1)
         most = int(lens.max())
