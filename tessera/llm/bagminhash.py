@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.graph import components
@@ -155,8 +155,8 @@ def _mapped(members: DataFrame, comps: DataFrame) -> DataFrame:
     return members.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def near_classes(docs: DataFrame, least: float = 0.8, k: int = 5, size: int = 192, bands: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The class of each document: (`did`, `class_id`), documents linked, directly or through others, by a weighted Jaccard similarity of k-word shingles of `least` or more.
+def near_nodes(docs: DataFrame, least: float = 0.8, k: int = 5, size: int = 192, bands: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The class of each document: (`did`, `class`), documents linked, directly or through others, by a weighted Jaccard similarity of k-word shingles of `least` or more.
 
     1. Equal texts are one node, named by its least id.  2. Nodes that share a band of their signatures (`bands` of size / bands components) meet in a
     bucket.  A pair at 0.8 is missed by all 32 bands of 6 with a probability of 6e-5.  3. In each bucket the least node, its pivot, is compared with the others: one pair
@@ -166,7 +166,7 @@ def near_classes(docs: DataFrame, least: float = 0.8, k: int = 5, size: int = 19
     their least id.
 
     Null or wordless texts are classes of their own; so is a text without a neighbour.  Texts of fewer than k words are one shingle.  Null ids have a hash of the text in their place
-    (2 ** 62 or more) and class_id is null if no id is in the class; rows with equal ids count as one document; an empty table gives an empty one.
+    (STAND_IN or more); rows with equal ids count as one document; an empty table gives an empty one.
     """
     text = docs[text_col].cast("string")
     k1, k2 = F.xxhash64(text), F.xxhash64(F.lit(1), text)
@@ -206,4 +206,24 @@ def near_classes(docs: DataFrame, least: float = 0.8, k: int = 5, size: int = 19
             links = links.unionByName(more_links)
             comps = materialize(components(links), "components")
     named = owners.join(comps, "node", "left").groupBy("did").agg(F.min(F.coalesce("component", "node")).alias("class"))
-    return named.select("did", F.when(F.col("class") < STAND_IN, F.col("class")).alias("class_id"))
+    return named
+
+
+def near_classes(docs: DataFrame, **how) -> DataFrame:
+    """near_nodes(...) as (`doc_id`, `class_id`), a row per distinct id; null for null ids, and for classes without an id."""
+    real = lambda c: F.when(F.col(c) < STAND_IN, F.col(c))
+    return near_nodes(docs, **how).select(real("did").alias("doc_id"), real("class").alias("class_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The input's rows and columns, one document of each class: the one that names it, with the least id.
+
+    Of rows with equal ids one stays.  Rows with null ids go if their class has an id; else one of the class stays.
+    """
+    text = docs[text_col].cast("string")
+    did = F.coalesce(docs[id_col].cast("long"), F.lit(STAND_IN) + F.xxhash64(text).bitwiseAND(STAND_IN - 1))
+    named = near_nodes(docs, id_col=id_col, text_col=text_col, **how).where("did = class").select(F.col("did").alias("own"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), did.alias("did"))
+    kept = rows.join(named, F.col("did") == F.col("own"), "left_semi")
+    first = Window.partitionBy("did").orderBy(F.xxhash64(F.col("row")[text_col]), F.xxhash64("row"))
+    return kept.withColumn("turn", F.row_number().over(first)).where("turn = 1").select("row.*")

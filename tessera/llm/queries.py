@@ -66,8 +66,7 @@ def op8_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes = bagminhash.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return classes.select(F.when(F.col("did") < bagminhash.STAND_IN, F.col("did")).alias("doc_id"), "class_id")
+    return bagminhash.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
