@@ -116,17 +116,53 @@ def _emit_bands(k: int, size: int, bands: int):
     def emit(batches):
         for batch in batches:
             for lo, part in pieces(batch.column("text")):
-                hashes = band_hashes(signatures(bags(part, k), size), bands)
-                b = bags_empty(part)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * bands, pa.int32()), pa.array(signed(hashes.reshape(-1))))
+                b = bags(part, k)
+                sig = signatures(b, size)
+                blank = np.diff(b.first) == 0
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * bands, pa.int32()), pa.array(signed(band_hashes(sig, bands).reshape(-1))))
+                # for estimates 16 bits of each component do
+                short = (mix(sig.view(U64)) >> U64(48)).astype(np.uint16)
                 keys = [batch.column(c).slice(lo, len(part)) for c in ("did", "k1", "k2")]
-                yield pa.RecordBatch.from_arrays([*keys, lists, pa.array(b)], names=["did", "k1", "k2", "bands", "blank"])
+                yield pa.RecordBatch.from_arrays([*keys, lists, pa.array([row.tobytes() for row in short], pa.binary()), pa.array(blank)], names=["did", "k1", "k2", "bands", "sketch", "blank"])
 
     return emit
 
 
-def bags_empty(texts: pa.Array) -> np.ndarray:
-    return split(texts).counts() == 0
+def _estimate(least: float, size: int):
+    """Of each group (band, block, turn), whose strays come first, the pairs of strays and members of other components that may be similar enough."""
+    # a pair at `least` shows fewer equal components with a probability of 2e-4
+    enough = int(np.floor(size * least - 3.5 * np.sqrt(size * least * (1 - least))))
+    key_columns = ("band", "block", "turn")
+
+    def pairs_of(strays: list, node: np.ndarray, component: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch | None:
+        own, own_component, own_sketch = (np.concatenate(x) for x in zip(*strays))
+        found = []
+        for i in range(own.size):
+            equal = (sketch == own_sketch[i]).sum(1)
+            at = np.flatnonzero((equal >= enough) & (component != own_component[i]))
+            if at.size:
+                found.append((np.minimum(node[at], own[i]), np.maximum(node[at], own[i])))
+        if not found:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["a", "b"])
+
+    def estimate(batches):
+        current, strays = None, []
+        for batch in batches:
+            keys = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*key_columns, "member")])
+            cut = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1))) if len(keys) else np.zeros(0, np.int64)
+            for lo, hi in zip(cut, np.append(cut[1:], len(keys))):
+                if current != tuple(keys[lo, :3]):
+                    current, strays = tuple(keys[lo, :3]), []
+                part = batch.slice(lo, hi - lo)
+                node, component = (part.column(c).to_numpy() for c in ("node", "component"))
+                sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint16).reshape(-1, size)
+                if not keys[lo, 3]:
+                    strays.append((node, component, sketch))
+                elif strays and (out := pairs_of(strays, node, component, sketch)) is not None:
+                    yield out
+
+    return estimate
 
 
 def _verify(k: int, least: float):
@@ -155,15 +191,19 @@ def _mapped(members: DataFrame, comps: DataFrame) -> DataFrame:
     return members.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+#: Strays and members of a bucket that are compared at a time.
+BLOCK = 2048
+
+
 def near_nodes(docs: DataFrame, least: float = 0.8, k: int = 5, size: int = 192, bands: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The class of each document: (`did`, `class`), documents linked, directly or through others, by a weighted Jaccard similarity of k-word shingles of `least` or more.
 
     1. Equal texts are one node, named by its least id.  2. Nodes that share a band of their signatures (`bands` of size / bands components) meet in a
-    bucket.  A pair at 0.8 is missed by all 32 bands of 6 with a probability of 6e-5.  3. In each bucket the least node, its pivot, is compared with the others: one pair
-    per member, not all pairs.  4. Buckets that verified links do not make one component go on: each member outside the pivot's component becomes a
-    pivot in turn, one of each bucket first, then twice as many, until no two members of a bucket are in different components without having been compared.
-    So no link between different texts of a bucket is lost, and large groups of copies cost a pair per member.  5. Components name the classes by
-    their least id.
+    bucket.  A pair at 0.8 is missed by all 32 bands of 6 with a probability of 6e-5.  3. In each bucket one node, the pivot, is compared with the others: one pair
+    per member, not all pairs.  The pivot is the node that meets most others in all its buckets, so the common origin of many copies, where there is one.
+    4. In buckets that verified links do not make one component, each stray (a member outside the pivot's component) is held against all members of other
+    components, in blocks: by signatures first, those that may be similar enough then by text.  So no link between different texts of a bucket is lost,
+    and large groups of copies cost a pair per member.  5. Components name the classes by their least id.
 
     Null or wordless texts are classes of their own; so is a text without a neighbour.  Texts of fewer than k words are one shingle.  Null ids have a hash of the text in their place
     (STAND_IN or more); rows with equal ids count as one document; an empty table gives an empty one.
@@ -171,40 +211,38 @@ def near_nodes(docs: DataFrame, least: float = 0.8, k: int = 5, size: int = 192,
     text = docs[text_col].cast("string")
     k1, k2 = F.xxhash64(text), F.xxhash64(F.lit(1), text)
     src = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(STAND_IN) + k1.bitwiseAND(STAND_IN - 1)).alias("did"), k1.alias("k1"), k2.alias("k2"), text.alias("text"))
-    signed_docs = materialize(src.mapInArrow(_emit_bands(k, size, bands), "did long, k1 long, k2 long, bands array<long>, blank boolean"), "bands")
-    copies = materialize(signed_docs.where("not blank").groupBy("k1", "k2").agg(F.min("did").alias("node")), "copies")
-    owners = materialize(signed_docs.join(copies, ["k1", "k2"], "left").select("did", F.coalesce("node", "did").alias("node")).distinct(), "owners")
-    own = signed_docs.where("not blank").join(copies.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "node"), (F.col("did") == F.col("node")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")))
+    signed_docs = materialize(src.mapInArrow(_emit_bands(k, size, bands), "did long, k1 long, k2 long, bands array<long>, sketch binary, blank boolean"), "bands")
+    full = signed_docs.where("not blank")
+    copies = materialize(full.groupBy("k1", "k2").agg(F.min("did").alias("node")), "copies")
+    owners = materialize(signed_docs.drop("bands", "sketch").join(copies, ["k1", "k2"], "left").select("did", F.coalesce("node", "did").alias("node")).distinct(), "owners")
+    names = copies.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "node")
+    own = full.join(names, (F.col("did") == F.col("node")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")))
     rows = materialize(own.select("node", F.explode("bands").alias("band")).distinct(), "buckets")
-    shared = materialize(rows.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("band", "pivot"), "shared")
+    shared = materialize(rows.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).where("low < high").select("band", "size"), "shared")
     members = materialize(rows.join(shared, "band"), "members")
-    nodes = materialize(members.select("node").distinct(), "nodes")
-    texts = materialize(src.select("did", "text").join(nodes, F.col("did") == F.col("node"), "left_semi").select(F.col("did").alias("node"), "text").distinct(), "texts")
+    meets = materialize(members.groupBy("node").agg(F.sum("size").alias("meets")), "meets")
+    pivots = materialize(members.join(meets, "node").groupBy("band").agg(F.max(F.struct("meets", (-F.col("node")).alias("node"))).alias("best")).select("band", (-F.col("best.node")).alias("pivot")), "pivots")
+    texts = materialize(src.select("did", "text").join(meets.select(F.col("node").alias("did")), "did", "left_semi").select(F.col("did").alias("node"), "text").distinct(), "texts")
 
-    pairs = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = members.join(pivots, "band").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     links = materialize(_verified(pairs, texts, k, least), "links")
     comps = materialize(components(links), "components")
-    # whoever is outside its bucket's first component still has to be compared with all that are in other components
-    held = _mapped(members, comps).join(comps.select(F.col("node").alias("pivot"), F.col("component").alias("home")), "pivot", "left").withColumn("home", F.coalesce("home", "pivot"))
-    outside = held.where("component <> home").select("band", "node", "pivot")
-    stray = outside.groupBy("band").agg(F.count("*").alias("n"))
-    # the turn of a stray: 0 for about one of a bucket, 1 for two, 2 for four ...
-    u = F.pmod(F.xxhash64("band", "node"), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    strays = materialize(outside.join(stray, "band").select("band", "node", F.floor(F.log2(1 + u * F.col("n"))).cast("int").alias("turn")), "strays")
-    room = max(1_000_000, 4 * nodes.count())
-    turns = [(r.turn, r.pairs) for r in strays.groupBy("band", "turn").count().join(members.groupBy("band").agg(F.count("*").alias("size")), "band").groupBy("turn").agg(F.sum(F.col("count") * F.col("size")).alias("pairs")).orderBy("turn").collect()]
-    while turns:
-        upto, total = turns[0][0], 0
-        while turns and (total == 0 or total + turns[0][1] <= room):  # as many turns at once as make no more pairs than the input has rows
-            upto, more = turns.pop(0)
-            total += more
-        mapped = _mapped(members.select("band", "node"), comps)
-        here = strays.where(F.col("turn") <= upto).join(comps, "node", "left").select("band", F.col("node").alias("a"), F.coalesce("component", "node").alias("ca"))
-        fresh = here.join(mapped.select("band", F.col("node").alias("b"), F.col("component").alias("cb")), "band").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more_links = materialize(_verified(fresh, texts, k, least), "links")
-        if not more_links.isEmpty():
-            links = links.unionByName(more_links)
-            comps = materialize(components(links), "components")
+    homes = _mapped(pivots.select("band", F.col("pivot").alias("node")), comps).select("band", F.col("component").alias("home"))
+    held = materialize(_mapped(members, comps).join(homes, "band"), "held")
+    strays = materialize(held.where("component <> home").select("band", "node", "component"), "strays")
+    counts = materialize(strays.groupBy("band").agg(F.count("*").alias("n_strays")), "counts")
+    if not counts.isEmpty():
+        blocks, turns = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil(F.col("n_strays") / BLOCK).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        own_block = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "node"), n).cast("int")
+        open_bands = shared.join(counts, "band")
+        them = held.drop("size").join(open_bands, "band").select("band", own_block(blocks, 1).alias("block"), every(turns).alias("turn"), F.lit(1).alias("member"), "node", "component")
+        us = strays.join(open_bands, "band").select("band", every(blocks).alias("block"), own_block(turns, 2).alias("turn"), F.lit(0).alias("member"), "node", "component")
+        sketches = materialize(own.select("node", "sketch").join(held.join(counts, "band", "left_semi").select("node").distinct(), "node", "left_semi"), "sketches")
+        groups = us.unionByName(them).join(sketches, "node").repartition("band", "block", "turn").sortWithinPartitions("band", "block", "turn", "member")
+        close = groups.select("band", "block", "turn", "member", "node", "component", "sketch").mapInArrow(_estimate(least, size), "a long, b long").distinct()
+        links = links.unionByName(materialize(_verified(materialize(close, "close"), texts, k, least), "links"))
+        comps = materialize(components(links), "components")
     named = owners.join(comps, "node", "left").groupBy("did").agg(F.min(F.coalesce("component", "node")).alias("class"))
     return named
 
