@@ -75,8 +75,8 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser("tessera", description=__doc__)
     commands = top.add_subparsers(required=True)
 
-    def command(name: str, run, *positional: str, **options: dict) -> None:
-        p = commands.add_parser(name, help=run.__name__[4:])
+    def command(command_name: str, run, /, *positional: str, **options: dict) -> None:
+        p = commands.add_parser(command_name, help=run.__name__[4:])
         for x in positional:
             p.add_argument(x)
         for x, how in options.items():

@@ -92,7 +92,7 @@ dsl("filter_raw_text", "SELECT p_partkey FROM part WHERE p_size + 1 > 49", "part
 dsl("like_prefix", "SELECT p_partkey, p_type FROM part WHERE p_type LIKE 'P%'", "part")(lambda t: t.filter(col("p_type").like("P%")).select("p_partkey", "p_type"))
 dsl("like_underscore", "SELECT p_partkey FROM part WHERE p_brand LIKE 'Brand#_3'", "part")(lambda t: t.filter(col("p_brand").like("Brand#_3")).select("p_partkey"))
 dsl("like_suffix", "SELECT p_partkey FROM part WHERE ends_with(p_brand, '1')", "part")(lambda t: t.filter(col("p_brand").endswith("1")).select("p_partkey"))
-dsl("starts_with", "SELECT p_partkey FROM part WHERE starts_with(p_name, 'Part')", "part")(lambda t: t.filter(col("p_name").startswith("Part")).select("p_partkey"))
+dsl("starts_with", "SELECT p_partkey FROM part WHERE starts_with(p_name, 'small')", "part")(lambda t: t.filter(col("p_name").startswith("small")).select("p_partkey"))
 dsl("like_contains", "SELECT c_custkey FROM customer WHERE contains(c_name, '00')", "customer")(lambda t: t.filter(col("c_name").contains("00")).select("c_custkey"))
 dsl("ilike", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment ILIKE '%BUILD%'", "customer")(lambda t: t.filter(col("c_mktsegment").ilike("%build%")).select("c_custkey", "c_mktsegment"))
 dsl("str_upper_lower_trim", "SELECT p_partkey, UPPER(p_name) AS u, LOWER(p_brand) AS l, TRIM(CONCAT('  ', p_type, ' ')) AS t FROM part", "part")(lambda t: t.select(col("p_partkey"), col("p_name").upper().alias("u"), col("p_brand").lower().alias("l"), concat("  ", col("p_type"), " ").trim().alias("t")))
@@ -101,8 +101,8 @@ dsl("str_length", "SELECT doc_id, LENGTH(text) AS n FROM documents", "documents"
 
 # --- columns
 
-dsl("project_arith", "SELECT l_orderkey, l_linenumber, ROUND(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4) AS charge FROM lineitem", "lineitem")(lambda t: t.select("l_orderkey", "l_linenumber", "round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4) AS charge"))
-dsl("project_reflected", "SELECT l_orderkey, l_linenumber, ROUND(1 - l_discount, 6) AS keep, ROUND(100 / l_quantity, 6) AS per FROM lineitem", "lineitem")(lambda t: t.select(col("l_orderkey"), col("l_linenumber"), (1 - col("l_discount")).alias("keep0"), (100 / col("l_quantity")).alias("per0")).select("l_orderkey", "l_linenumber", "round(keep0, 6) AS keep", "round(per0, 6) AS per"))
+dsl("project_arith", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge FROM lineitem", "lineitem")(lambda t: t.select(col("l_orderkey"), col("l_linenumber"), (col("l_extendedprice") * (1 - col("l_discount")) * (1 + col("l_tax"))).alias("charge")))
+dsl("project_reflected", "SELECT l_orderkey, l_linenumber, 1 - l_discount AS keep, 100 / l_quantity AS per FROM lineitem", "lineitem")(lambda t: t.select(col("l_orderkey"), col("l_linenumber"), (1 - col("l_discount")).alias("keep"), (100 / col("l_quantity")).alias("per")))
 dsl("divide_by_zero", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Infinity'::DOUBLE WHEN o_orderkey % 3 = 1 THEN '-Infinity'::DOUBLE ELSE o_orderkey / 2 END AS r FROM orders WHERE o_orderkey > 0", "orders")(lambda t: t.with_columns(a="CASE WHEN o_orderkey % 3 = 1 THEN -1 ELSE o_orderkey END", b="CASE WHEN o_orderkey % 3 = 2 THEN 2 ELSE 0 END").filter(col("o_orderkey") > 0).select(col("o_orderkey"), (col("a") / col("b")).alias("r")))
 dsl("with_column_new", "SELECT *, l_quantity * l_extendedprice AS gross FROM lineitem", "lineitem")(lambda t: t.with_column("gross", col("l_quantity") * col("l_extendedprice")))
 dsl("with_column_replace", "SELECT * REPLACE (LOWER(n_name) AS n_name) FROM nation", "nation")(lambda t: t.with_column("n_name", col("n_name").lower()))
@@ -178,7 +178,7 @@ def _json_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _schema_rows(spark, infer(spark.read.parquet(f"{sf_dir}/events.parquet").select("props"), name="props", sample_size=None))
 
 
-@frame("infer_typed_schema", "SELECT * FROM (VALUES ('c_custkey','int64',NULL,NULL),('c_name','string',NULL,'name'),('c_nationkey','int32',NULL,NULL),('c_acctbal','float64',NULL,NULL),('c_mktsegment','string','enum',NULL)) v(field, type, semantic, pii_class), (SELECT 0.0::DOUBLE AS null_ratio, COUNT(*) AS n FROM customer)")
+@frame("infer_typed_schema", "SELECT field, type, CASE WHEN few AND n > 200 THEN 'enum' END AS semantic, pii_class, null_ratio, n FROM (VALUES ('c_custkey','int64',FALSE,NULL),('c_name','string',FALSE,'name'),('c_nationkey','int32',FALSE,NULL),('c_acctbal','float64',FALSE,NULL),('c_mktsegment','string',TRUE,NULL)) v(field, type, few, pii_class), (SELECT 0.0::DOUBLE AS null_ratio, COUNT(*) AS n FROM customer)")
 def _typed_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _schema_rows(spark, infer_typed(spark.read.parquet(f"{sf_dir}/customer.parquet"), "customer"))
 
