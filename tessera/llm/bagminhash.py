@@ -118,12 +118,21 @@ def _emit_bands(k: int, size: int, bands: int):
             for lo, part in pieces(batch.column("text")):
                 b = bags(part, k)
                 sig = signatures(b, size)
-                blank = np.diff(b.first) == 0
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * bands, pa.int32()), pa.array(signed(band_hashes(sig, bands).reshape(-1))))
-                # for estimates 16 bits of each component do
-                short = (mix(sig.view(U64)) >> U64(48)).astype(np.uint16)
                 keys = [batch.column(c).slice(lo, len(part)) for c in ("did", "k1", "k2")]
-                yield pa.RecordBatch.from_arrays([*keys, lists, pa.array([row.tobytes() for row in short], pa.binary()), pa.array(blank)], names=["did", "k1", "k2", "bands", "sketch", "blank"])
+                yield pa.RecordBatch.from_arrays([*keys, lists, pa.array(np.diff(b.first) == 0)], names=["did", "k1", "k2", "bands", "blank"])
+
+    return emit
+
+
+def _emit_sketches(k: int, size: int):
+    """A second, longer signature, of which 16 bits a component are kept: what estimates need."""
+
+    def emit(batches):
+        for batch in batches:
+            for lo, part in pieces(batch.column("text")):
+                short = (mix(signatures(bags(part, k), size, seed=2).view(U64)) >> U64(48)).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, len(part)), pa.array([row.tobytes() for row in short], pa.binary())], names=["node", "sketch"])
 
     return emit
 
@@ -191,8 +200,8 @@ def _mapped(members: DataFrame, comps: DataFrame) -> DataFrame:
     return members.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-#: Strays and members of a bucket that are compared at a time.
-BLOCK = 2048
+#: Strays and members of a bucket that are compared at a time, and components of the signatures by which they are.
+BLOCK, SKETCH = 2048, 1024
 
 
 def near_nodes(docs: DataFrame, least: float = 0.8, k: int = 5, size: int = 192, bands: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,7 +211,7 @@ def near_nodes(docs: DataFrame, least: float = 0.8, k: int = 5, size: int = 192,
     bucket.  A pair at 0.8 is missed by all 32 bands of 6 with a probability of 6e-5.  3. In each bucket one node, the pivot, is compared with the others: one pair
     per member, not all pairs.  The pivot is the node that meets most others in all its buckets, so the common origin of many copies, where there is one.
     4. In buckets that verified links do not make one component, each stray (a member outside the pivot's component) is held against all members of other
-    components, in blocks: by signatures first, those that may be similar enough then by text.  So no link between different texts of a bucket is lost,
+    components, in blocks: by longer signatures first, those that may be similar enough then by text.  So no link between different texts of a bucket is lost,
     and large groups of copies cost a pair per member.  5. Components name the classes by their least id.
 
     Null or wordless texts are classes of their own; so is a text without a neighbour.  Texts of fewer than k words are one shingle.  Null ids have a hash of the text in their place
@@ -211,10 +220,10 @@ def near_nodes(docs: DataFrame, least: float = 0.8, k: int = 5, size: int = 192,
     text = docs[text_col].cast("string")
     k1, k2 = F.xxhash64(text), F.xxhash64(F.lit(1), text)
     src = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(STAND_IN) + k1.bitwiseAND(STAND_IN - 1)).alias("did"), k1.alias("k1"), k2.alias("k2"), text.alias("text"))
-    signed_docs = materialize(src.mapInArrow(_emit_bands(k, size, bands), "did long, k1 long, k2 long, bands array<long>, sketch binary, blank boolean"), "bands")
+    signed_docs = materialize(src.mapInArrow(_emit_bands(k, size, bands), "did long, k1 long, k2 long, bands array<long>, blank boolean"), "bands")
     full = signed_docs.where("not blank")
     copies = materialize(full.groupBy("k1", "k2").agg(F.min("did").alias("node")), "copies")
-    owners = materialize(signed_docs.drop("bands", "sketch").join(copies, ["k1", "k2"], "left").select("did", F.coalesce("node", "did").alias("node")).distinct(), "owners")
+    owners = materialize(signed_docs.drop("bands").join(copies, ["k1", "k2"], "left").select("did", F.coalesce("node", "did").alias("node")).distinct(), "owners")
     names = copies.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "node")
     own = full.join(names, (F.col("did") == F.col("node")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")))
     rows = materialize(own.select("node", F.explode("bands").alias("band")).distinct(), "buckets")
@@ -238,9 +247,10 @@ def near_nodes(docs: DataFrame, least: float = 0.8, k: int = 5, size: int = 192,
         open_bands = shared.join(counts, "band")
         them = held.drop("size").join(open_bands, "band").select("band", own_block(blocks, 1).alias("block"), every(turns).alias("turn"), F.lit(1).alias("member"), "node", "component")
         us = strays.join(open_bands, "band").select("band", every(blocks).alias("block"), own_block(turns, 2).alias("turn"), F.lit(0).alias("member"), "node", "component")
-        sketches = materialize(own.select("node", "sketch").join(held.join(counts, "band", "left_semi").select("node").distinct(), "node", "left_semi"), "sketches")
+        wanted = held.join(counts, "band", "left_semi").select("node").distinct()
+        sketches = materialize(texts.join(wanted, "node", "left_semi").mapInArrow(_emit_sketches(k, SKETCH), "node long, sketch binary"), "sketches")
         groups = us.unionByName(them).join(sketches, "node").repartition("band", "block", "turn").sortWithinPartitions("band", "block", "turn", "member")
-        close = groups.select("band", "block", "turn", "member", "node", "component", "sketch").mapInArrow(_estimate(least, size), "a long, b long").distinct()
+        close = groups.select("band", "block", "turn", "member", "node", "component", "sketch").mapInArrow(_estimate(least, SKETCH), "a long, b long").distinct()
         links = links.unionByName(materialize(_verified(materialize(close, "close"), texts, k, least), "links"))
         comps = materialize(components(links), "components")
     named = owners.join(comps, "node", "left").groupBy("did").agg(F.min(F.coalesce("component", "node")).alias("class"))
