@@ -156,7 +156,7 @@ dsl("window_rank", "SELECT o_orderkey, o_custkey, ROW_NUMBER() OVER (PARTITION B
 
 def _ranked(t: Table) -> Table:
     ranked = t.window("o_custkey", [col("o_totalprice").desc(), col("o_orderkey")]).over(call("row_number").alias("r"))
-    return ranked.select("o_orderkey", "o_custkey", "r")
+    return ranked.select(col("o_orderkey"), col("o_custkey"), col("r").cast("BIGINT").alias("r"))
 
 
 # --- inference
