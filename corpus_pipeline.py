@@ -16,7 +16,8 @@ from tessera.llm.store import materialize
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or the isolation forest reject go."""
-    return isolation.judge(docs, table(spark, sf_dir, "labels"), keep_text=True).where("kept").select("row.*")
+    kept = isolation.judge(docs, table(spark, sf_dir, "labels"), keep_text=True).where("kept")
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

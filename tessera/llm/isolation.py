@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.boosting import FIT_ROWS, labelled_sample
-from tessera.llm.statistics import COUNTS, RATES, rates, with_counts
+from tessera.llm.statistics import COUNTS, RATES, count, rates, with_counts
 from tessera.llm.store import materialize
+from tessera.llm.words import pieces
 
 #: Rows that each tree is grown on: isolation forests want few, so that anomalies do not hide one another.
 TREE_ROWS = 128
@@ -19,6 +20,7 @@ TREE_ROWS = 128
 #: The statistics the rules look at; of RATES.
 RULES = ["mean_word", "symbol_share", "upper_word_share", "symbol_word_share", "pipe_share", "top_share", "distinct_share", "repeat_share", "dup_line_share", "punctuation_share", "short_share"]
 _RULES = [RATES.index(r) for r in RULES]
+VERDICT = ["base_failed", "anomaly", "kept"]
 
 
 def _average_path(n: np.ndarray) -> np.ndarray:
@@ -82,27 +84,46 @@ def calibrate(score: np.ndarray, good: np.ndarray, lost: float) -> float:
     kept = np.sort(score[good])
     t = kept[min(kept.size - 1, int(np.ceil(kept.size * (1 - lost))) - 1)]
     over = score > t
-    # an anomaly is rejected only if labels bear out that anomalies are bad: at least half beyond the threshold
-    return float(t) if over.any() and (~good[over]).mean() >= 0.5 else np.inf
+    # anomalies are rejected only if labels bear out that they are bad: most of those beyond the threshold, and far more than elsewhere
+    return float(t) if over.any() and (~good[over]).mean() >= (1 + (~good).mean()) / 2 else np.inf
 
 
 def base_failed(n_words, n_repeat_words):
     return (n_words < 10) | (100 * n_repeat_words > 20 * n_words)
 
 
+def _verdict(forest: Forest | None, threshold: float, counts: dict[str, np.ndarray]) -> list[pa.Array]:
+    x = rates(counts)
+    score = forest.score(x[:, _RULES]) if forest else np.zeros(len(x))
+    failed = base_failed(counts["n_words"], counts["n_repeat_words"])
+    return [pa.array(failed), pa.array(score), pa.array(~failed & (score <= threshold))]
+
+
 def _judge(forest: Forest | None, threshold: float):
-    def judge(batches):
+    """For statistics that are counted already."""
+
+    def run(batches):
         for batch in batches:
-            x = rates({c: batch.column(c).to_numpy() for c in COUNTS})
-            score = forest.score(x[:, _RULES]) if forest else np.zeros(len(x))
-            failed = base_failed(batch.column("n_words").to_numpy(), batch.column("n_repeat_words").to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *(batch.column(c) for c in COUNTS), pa.array(failed), pa.array(score), pa.array(~failed & (score <= threshold))], names=["row", *COUNTS, "base_failed", "anomaly", "kept"])
+            counts = {c: batch.column(c).to_numpy() for c in COUNTS}
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *(batch.column(c) for c in COUNTS), *_verdict(forest, threshold, counts)], names=["row", *COUNTS, *VERDICT])
 
-    return judge
+    return run
+
+
+def _count_and_judge(forest: Forest | None, threshold: float):
+    """For texts, which are passed on: one Python worker for both."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, part in pieces(batch.column("text")):
+                counts = {c: np.asarray(v, dtype=np.int64) for c, v in count(part).items()}
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, len(part)), part, *(pa.array(counts[c]) for c in COUNTS), *_verdict(forest, threshold, counts)], names=["row", "text", *COUNTS, *VERDICT])
+
+    return run
 
 
 def judge(docs: DataFrame, labels: DataFrame | None, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", lost: float = 0.005, fit_rows: int = FIT_ROWS, keep_text: bool = False) -> DataFrame:
-    """Quality rules for every document: `row` (struct of its columns; without the text unless keep_text), the counts, `base_failed`, `anomaly` and `kept`.
+    """Quality rules for every document: `row` (struct of its columns other than the text), `text` if keep_text, the counts, `base_failed`, `anomaly` and `kept`.
 
     A document fails the base rules with fewer than 10 words or with more than a fifth of its words in repeated 5-word windows.  Of the others, an isolation forest finds
     those whose statistics random splits set apart early.  The forest is grown on at most fit_rows labelled rows;
@@ -111,16 +132,19 @@ def judge(docs: DataFrame, labels: DataFrame | None, label_col: str = "quality",
     Null or empty texts have no words and fail; null ids are judged and never learnt from; of several labels for one id the largest counts;
     repeated rows are judged alike; an empty table gives an empty one.
     """
-    counts = with_counts(docs, text_col, None if keep_text else [c for c in docs.columns if c != text_col])
-    learn = with_counts(docs.select(id_col, text_col), text_col, [id_col]) if keep_text else None
+    others = [c for c in docs.columns if c != text_col]
+    counts = with_counts(docs, text_col, others)
     if not keep_text:
-        counts = learn = materialize(counts, "rules")
+        counts = materialize(counts, "rules")
     forest, threshold = None, np.inf
     if labels is not None:
-        x, y = labelled_sample(learn.where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))), labels, label_col, id_col, fit_rows)
+        x, y = labelled_sample(counts.where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))), labels, label_col, id_col, fit_rows)
         x, good = x[:, _RULES], y == 1
         if x.shape[0]:
             forest = grow(x)
             threshold = calibrate(forest.score(x), good, lost)
-    row = counts.schema["row"].dataType.simpleString()
-    return counts.mapInArrow(_judge(forest, threshold), f"row {row}, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, anomaly double, kept boolean")
+    row, out = counts.schema["row"].dataType.simpleString(), ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, anomaly double, kept boolean"
+    if not keep_text:
+        return counts.mapInArrow(_judge(forest, threshold), f"row {row}, {out}")
+    src = docs.select(F.struct(*[docs[c] for c in others]).alias("row"), docs[text_col].cast("string").alias("text"))
+    return src.mapInArrow(_count_and_judge(forest, threshold), f"row {row}, text string, {out}")

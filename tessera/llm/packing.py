@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.tokens import encoder
+from tessera.llm.tokens import PIECE_BYTES, encoder
 from tessera.llm.words import pieces
 
 PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long, tokens array<int>"
@@ -78,7 +78,7 @@ def _pack(path: str, end: int, capacity: int, linear: float, quadratic: float, w
             return pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32", "tokens"])
 
         for batch in batches:
-            for lo, texts in pieces(batch.column(1)):
+            for lo, texts in pieces(batch.column(1), PIECE_BYTES):
                 names = batch.column(0).slice(lo, len(texts)).to_pylist()
                 found, at = encoder(path).with_end(texts, end)
                 for name, a, b in zip(names, at[:-1].tolist(), at[1:].tolist()):

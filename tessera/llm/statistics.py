@@ -61,6 +61,8 @@ def _repeated(keys: np.ndarray) -> np.ndarray:
 
 def count(texts: pa.Array) -> dict[str, np.ndarray]:
     """COUNTS of each text; null counts as empty."""
+    if not len(texts):
+        return {c: np.zeros(0, np.int64) for c in COUNTS}
     w = split(texts)
     n_docs, n = len(texts), w.counts()
     doc, h = w.texts(), w.hashes()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.store import new_path
-from tessera.llm.tokens import encoder
+from tessera.llm.tokens import PIECE_BYTES, encoder
 from tessera.llm.words import pieces
 
 FILE_SCHEMA = "doc_id long, part int, within long, n_tokens int, tokens array<int>"
@@ -24,7 +24,7 @@ def _encode(path: str, end: int):
     def encode(batches):
         part, within = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for lo, texts in pieces(batch.column(1)):
+            for lo, texts in pieces(batch.column(1), PIECE_BYTES):
                 ids, at = encoder(path).with_end(texts, end)
                 n = np.diff(at)
                 tokens = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view(np.int32)))

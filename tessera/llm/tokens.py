@@ -19,6 +19,8 @@ _CONTROL = np.zeros(256, bool)
 _CONTROL[0x1C:0x20] = True
 #: Words that a worker keeps at most (about 80 bytes each); the half that was used last stays.
 KEPT = 1 << 20
+#: Bytes of text at a time: the more, the fewer calls.
+PIECE_BYTES = 2 << 20
 #: Words that are encoded in one call.
 CALL = 20_000
 

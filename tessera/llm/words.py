@@ -18,7 +18,7 @@ SEPARATORS = np.zeros(256, dtype=bool)
 SEPARATORS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 #: Bytes of text that are worked on at a time; one longer text is one piece.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD6E8FEB86659FD93
