@@ -78,5 +78,53 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v) and k[2].isdigit()}
 
 
+_WORDS = r"""w AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)"""
+
+_REPEATS = f"""
+WITH {_WORDS},
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+low AS (SELECT k, MIN(doc_id) AS d0 FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, j FROM (SELECT win.doc_id, unnest(range(i, i + 50)) AS j FROM win JOIN low USING (k) WHERE d0 < win.doc_id)),
+each AS (SELECT doc_id, j, ws[j] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS j FROM w)),
+kept AS (SELECT e.doc_id, COUNT(g.j) AS n_removed, string_agg(word, ' ' ORDER BY e.j) FILTER (WHERE g.j IS NULL) AS t FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.j = g.j GROUP BY e.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, COALESCE(n_removed, 0)::BIGINT AS n_removed, sha256(COALESCE(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+_NEAR = f"""
+WITH RECURSIVE {_WORDS},
+shingles AS (
+  SELECT doc_id, array_to_string(ws[i:i + 4], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4),
+bag AS (SELECT doc_id, k, COUNT(*) AS c FROM shingles GROUP BY ALL),
+total AS (SELECT doc_id, SUM(c) AS n FROM bag GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, SUM(LEAST(a.c, b.c)) AS m FROM bag a JOIN bag b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN total s ON x = s.doc_id JOIN total t ON y = t.doc_id WHERE m >= 0.8 * (s.n + t.n - m)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, edges.y FROM reach JOIN edges ON reach.other = edges.x)
+SELECT doc_id, MIN(other) AS class_id FROM reach GROUP BY doc_id
+"""
+
+
+def _spans_sql(kind: str, rank: int, pattern: str, test: str) -> str:
+    """Matches with their places: the pieces between matches, and the matches before, add up to a match's start."""
+    return f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, (list_sum([len(x) for x in pieces[1:i]]) + COALESCE(list_sum([len(x) for x in matches[1:i - 1]]), 0))::BIGINT AS s, len(matches[i]) AS n
+FROM (SELECT *, unnest(range(1, len(matches) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, $p${pattern}$p$) AS matches, string_split_regex(text, $p${pattern}$p$) AS pieces FROM documents WHERE text IS NOT NULL)) WHERE {test}"""
+
+
+_ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
+_VALUE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+_SECRETS = f"""
+WITH found AS ({_spans_sql("assign", 0, _ASSIGN, f"len(regexp_extract(matches[i], $p${_VALUE}$p$, 1)) >= 12")}
+UNION ALL {_spans_sql("access", 1, "AKIA[A-Z0-9]+", "len(matches[i]) >= 18")} UNION ALL {_spans_sql("hex", 2, "[0-9a-f]{16,}", "TRUE")}),
+listed AS (SELECT doc_id, COUNT(*) FILTER (WHERE rank = 0) AS a, COUNT(*) FILTER (WHERE rank = 1) AS b, COUNT(*) FILTER (WHERE rank = 2) AS c, string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, rank) AS spans FROM found GROUP BY doc_id)
+SELECT doc_id, COALESCE(a, 0)::BIGINT AS n_assign, COALESCE(b, 0)::BIGINT AS n_access, COALESCE(c, 0)::BIGINT AS n_hex, sha256(COALESCE(spans, '')) AS base_sha256, COALESCE(spans, '') AS spans FROM documents LEFT JOIN listed USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that it can express; the others are tested against brute force, round trips or held-out labels.
+
+    That of the near duplicates compares all pairs that share a shingle; that of the secrets has the base rules (the test tables hold no others).
+    """
+    return {"op2_substring_dedup": _REPEATS, "op7_trigram_secrets": _SECRETS, "op9_bagminhash_dedup": _NEAR}
