@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ from tessera.llm.store import materialize
 BROADCAST_SOURCES = 10_000
 #: Documents at a time of which the last selection is made one by one.
 LAST = 128
+#: How near to its target a source has to come, as a share, before the search for documents that still fit ends; and how often it is resumed at most.
+NEAR, ROUNDS = 0.002, 6
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -74,7 +77,7 @@ def _last(pdf: pd.DataFrame) -> pd.DataFrame:
         if 0 < size <= left:
             took.append(int(key))
             left -= size
-    return pd.DataFrame({"source": [pdf.source.iloc[0]], "taken_keys": [took]})
+    return pd.DataFrame({"source": [pdf.source.iloc[0]], "taken_keys": [took], "left": [left]})
 
 
 def mix(docs: DataFrame, size: Column | None = None, share: float = 1.5, weights: Sequence[float] = (5, 2, 1), cap: float = 2.0, power: float = 0.25, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -125,23 +128,36 @@ def mix(docs: DataFrame, size: Column | None = None, share: float = 1.5, weights
     def ranked(df: DataFrame) -> DataFrame:
         return df.withColumn("inclusion", inclusion).withColumn("rank", q).drop("inclusion")
 
-    # narrow down each source's threshold: first to one of up to 4096 steps of rank, then to about LAST documents
-    level, lo, width = with_source(small, plans).where("rest > 0"), F.lit(0.0), F.lit(1.0)
-    level = ranked(level).select("source", "size", "key", "rank", "n", lo.alias("lo"), width.alias("width"), F.col("rest").alias("left"))
-    for _ in range(2):
-        steps = F.least(F.lit(4096.0), F.ceil(F.col("n") / LAST)).cast("double")
-        level = level.withColumn("steps", steps).withColumn("bin", F.least(F.floor((F.col("rank") - F.col("lo")) / F.col("width") * F.col("steps")), F.col("steps") - 1).cast("int"))
-        bins = level.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.count("*").alias("in_bin"), F.first("left").alias("left"), F.first("lo").alias("lo"), F.first("width").alias("width"), F.first("steps").alias("steps"))
-        run = Window.partitionBy("source").orderBy("bin")
-        bins = bins.withColumn("upto", F.sum("words").over(run))
-        stop = bins.where(F.col("upto") > F.col("left")).groupBy("source").agg(F.min_by(F.struct("bin", (F.col("left") - F.col("upto") + F.col("words")).alias("left"), (F.col("lo") + F.col("bin") * F.col("width") / F.col("steps")).alias("lo"), (F.col("width") / F.col("steps")).alias("width"), F.col("in_bin").alias("n")), "bin").alias("s"))
-        stop = materialize(stop.select("source", F.col("s.bin").alias("at"), F.col("s.left").alias("left"), F.col("s.lo").alias("lo"), F.col("s.width").alias("width"), F.col("s.n").alias("n")), "thresholds")
-        level = with_source(level.select("source", "size", "key", "rank", "bin"), stop).where("bin = at").select("source", "size", "key", "rank", "n", "lo", "width", "left")
-    # beyond the threshold: documents of the last step, in order; each that fits
-    last = level.groupBy("source").applyInPandas(_last, "source string, taken_keys array<long>")
-    final = with_source(with_source(plans, stop.select("source", F.col("lo").alias("below"))), last)
-    final = materialize(final.select("source", "source_size", "target", "whole", "scale", F.when(F.col("rest") <= 0, -1.0).otherwise(F.coalesce("below", F.lit(1.0))).alias("below"), "taken_keys"), "mix")
+    # narrow down each source's threshold: first to one of up to 4096 steps of rank, then to about LAST documents, of which each that fits is taken;
+    # where one was so large that words are left over, go on behind it
+    state = plans.where("rest > 0").select("source", F.col("rest").alias("left"), F.lit(0.0).alias("lo"), "n")
+    spans, keys = [], []
+    for _ in range(ROUNDS):
+        level = ranked(with_source(small, plans.drop("rest", "n"))).join(F.broadcast(state.withColumnRenamed("source", "of")) if n_sources <= BROADCAST_SOURCES else state.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).where("rank >= lo and rank < 1")
+        level = level.select("source", "size", "key", "rank", "n", "lo", (1 - F.col("lo")).alias("width"), "left")
+        begin = state.select("source", F.col("lo").alias("begin"))
+        for _ in range(2):
+            steps = F.least(F.lit(4096.0), F.ceil(F.col("n") / LAST)).cast("double")
+            level = level.withColumn("steps", steps).withColumn("bin", F.least(F.floor((F.col("rank") - F.col("lo")) / F.col("width") * F.col("steps")), F.col("steps") - 1).cast("int"))
+            bins = level.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.count("*").alias("in_bin"), F.first("left").alias("left"), F.first("lo").alias("lo"), F.first("width").alias("width"), F.first("steps").alias("steps"))
+            run = Window.partitionBy("source").orderBy("bin")
+            bins = bins.withColumn("upto", F.sum("words").over(run))
+            stop = bins.where(F.col("upto") > F.col("left")).groupBy("source").agg(F.min_by(F.struct("bin", (F.col("left") - F.col("upto") + F.col("words")).alias("left"), (F.col("lo") + F.col("bin") * F.col("width") / F.col("steps")).alias("lo"), (F.col("width") / F.col("steps")).alias("width"), F.col("in_bin").alias("n")), "bin").alias("s"))
+            stop = materialize(stop.select("source", F.col("s.bin").alias("at"), F.col("s.left").alias("left"), F.col("s.lo").alias("lo"), F.col("s.width").alias("width"), F.col("s.n").alias("n")), "thresholds")
+            level = with_source(level.select("source", "size", "key", "rank", "bin"), stop).where("bin = at").select("source", "size", "key", "rank", "n", "lo", "width", "left")
+        last = materialize(level.groupBy("source").applyInPandas(_last, "source string, taken_keys array<long>, left double"), "last")
+        keys.append(last.select("source", "taken_keys"))
+        # all up to the last step are taken; without a step beyond the target, all there are
+        spans.append(with_source(begin, stop.select("source", F.col("lo").alias("end"))).select("source", F.struct("begin", F.coalesce("end", F.lit(1.0)).alias("end")).alias("span")))
+        behind = with_source(with_source(last.select("source", "left"), stop.select("source", (F.col("lo") + F.col("width")).alias("lo"))), plans.select("source", "target", "n"))
+        state = materialize(behind.where((F.col("left") > NEAR * F.col("target")) & (F.col("lo") < 1)).select("source", "left", "lo", "n"), "left")
+        if state.isEmpty():
+            break
+    gather = lambda parts, column, name: reduce(DataFrame.unionByName, parts).groupBy("source").agg(F.collect_list(column).alias(name))
+    final = with_source(with_source(plans, gather(spans, "span", "spans")), gather(keys, "taken_keys", "keys").select("source", F.flatten("keys").alias("taken_keys")))
+    final = materialize(final.select("source", "source_size", "target", "whole", "scale", "spans", "taken_keys"), "mix")
 
     out = ranked(with_source(base, final))
-    chosen = (F.col("rank") < F.col("below")) | F.coalesce(F.array_contains("taken_keys", F.col("key")), F.lit(False))
+    in_span = F.exists("spans", lambda x: (F.col("rank") >= x["begin"]) & (F.col("rank") < x["end"]))
+    chosen = F.coalesce(in_span, F.lit(False)) | F.coalesce(F.array_contains("taken_keys", F.col("key")), F.lit(False))
     return out.select("row", "size", "source_size", "target", (F.col("whole") + F.when(chosen, 1).otherwise(0)).alias("copies"))
