@@ -165,10 +165,11 @@ def remove_repeated(docs: DataFrame, words: int = 50, id_col: str = "doc_id", te
     row = F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row")
     src = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID)).alias("did"), F.xxhash64(docs[text_col]).bitwiseAND(0x7FFFFFFF).alias("th"), docs[text_col].alias("text"), row)
     found = src.select("did", "th", "text").mapInArrow(_emit_runs(words), RUN_SCHEMA)
-    grams = found.groupBy("gram").agg(F.min("did").alias("d0"), F.max("did").alias("d1"), F.min("seg").alias("x"), F.max("seg").alias("y")).where("d0 < d1").drop("d1")
+    # aggregates are written before they are joined, so that a hot key's rows on the other side can be split
+    grams = materialize(found.groupBy("gram").agg(F.min("did").alias("d0"), F.max("did").alias("d1"), F.min("seg").alias("x"), F.max("seg").alias("y")).where("d0 < d1").drop("d1"), "repeated")
     common = materialize(found.join(grams, "gram"), "grams")
     pure, mixed = common.where("x = y"), common.where("x < y").drop("d0")
-    first = mixed.groupBy("gram", "seg").agg(F.min("did").alias("d0"))
+    first = materialize(mixed.groupBy("gram", "seg").agg(F.min("did").alias("d0")), "first")
     both = pure.where("did > d0").select("did", "at", "n", F.lit(False).alias("open")).unionByName(mixed.join(first, ["gram", "seg"]).select("did", "at", "n", (F.col("did") == F.col("d0")).alias("open")))
     spans = both.groupBy("did", F.shiftright("at", 32).alias("th")).agg(F.collect_list(F.struct(F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("s"), "n", "open")).alias("found"))
     found_type = spans.schema["found"].dataType
@@ -181,7 +182,7 @@ def remove_repeated(docs: DataFrame, words: int = 50, id_col: str = "doc_id", te
     is_open = F.col("text").isNotNull()
     windows = settled.where(is_open).select("did", "th", "found", "text").mapInArrow(_emit_windows(words), WINDOW_SCHEMA)
     windows = materialize(windows, "windows")
-    least = windows.groupBy("w1", "w2").agg(F.min("did").alias("d0"))
+    least = materialize(windows.groupBy("w1", "w2").agg(F.min("did").alias("d0"), F.max("did").alias("d1")).where("d0 < d1").drop("d1"), "least")
     more = windows.join(least, ["w1", "w2"]).where("did > d0").groupBy("did", "th").agg(F.collect_list("s").alias("more"))
     again = settled.where(is_open).join(more, ["did", "th"], "left").select("row", "did", "th", "found", "text", "more").mapInArrow(_settle(words), schema)
     out = ["row", "n_words", "n_removed", "removed", "kept_text"]
