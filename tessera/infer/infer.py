@@ -55,7 +55,7 @@ def summarize(observations: DataFrame, locale: str) -> dict[str, dict[str, Kind]
     aggs = [F.sum("n").alias("n"), F.min("first").alias("first"), F.approx_count_distinct("value", 0.01).alias("values"), F.min(number).alias("low"), F.max(number).alias("high")]
     aggs += [F.sum(F.when(top, matched(F.col("value"), s) * F.col("n"))).alias(f"_{s.label}") for s in known]
     out: dict[str, dict[str, Kind]] = defaultdict(dict)
-    for r in observations.groupBy("path", "kind").agg(*aggs).toLocalIterator():
+    for r in observations.groupBy("path", "kind").agg(*aggs).collect():  # a row per path and kind
         out[r.path][r.kind] = Kind(r.n, r["first"], r["values"], r.low, r.high, {s.label: r[f"_{s.label}"] or 0 for s in known})
     return dict(out)
 
