@@ -201,7 +201,7 @@ def _mapped(members: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 #: Strays and members of a bucket that are compared at a time, and components of the signatures by which they are.
-BLOCK, SKETCH = 2048, 1024
+BLOCK, SKETCH = 1024, 1024
 
 
 def near_nodes(docs: DataFrame, least: float = 0.8, k: int = 5, size: int = 192, bands: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
