@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.graph import components
-from tessera.llm.store import materialize
+from tessera.llm.store import materialize, small_batches
 from tessera.llm.words import U64, between, mix, pieces, prefix, signed, split
 
 #: Ids at and above this stand in for null ids.
@@ -217,6 +217,7 @@ def near_nodes(docs: DataFrame, least: float = 0.8, k: int = 5, size: int = 192,
     Null or wordless texts are classes of their own; so is a text without a neighbour.  Texts of fewer than k words are one shingle.  Null ids have a hash of the text in their place
     (STAND_IN or more); rows with equal ids count as one document; an empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     text = docs[text_col].cast("string")
     k1, k2 = F.xxhash64(text), F.xxhash64(F.lit(1), text)
     src = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(STAND_IN) + k1.bitwiseAND(STAND_IN - 1)).alias("did"), k1.alias("k1"), k2.alias("k2"), text.alias("text"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import materialize
+from tessera.llm.store import materialize, small_batches
 from tessera.llm.words import U64, pieces, signed, split
 
 #: A word belongs to the shared vocabulary if it makes up this share of the words of either corpus, so there are 2 / WORD_SHARE words at most.
@@ -145,6 +145,7 @@ def _counts(target: DataFrame, background: DataFrame, keys_of) -> DataFrame:
 
 def train(target: DataFrame, background: DataFrame, target_text: str = "text", background_text: str = "text", word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> Model:
     """Both models, from all texts of both corpora.  All words and pairs are counted; what comes to the driver is bounded by the shares: 2 / share rows."""
+    small_batches(target.sparkSession)
     t = target.select(target[target_text].cast("string").alias("text"))
     b = background.select(background[background_text].cast("string").alias("text"))
     words = materialize(_counts(t, b, _word_keys), "words")

@@ -25,6 +25,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{folder(spark)}/tessera/{label}-{uuid.uuid4().hex}"
 
 
+#: Rows that go to a Python worker at a time: documents can be long, and both sides hold whole batches.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS.  It stays so: results are lazy, and run when the caller wants them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet and return what was written: later readers neither recompute df nor depend on the executors that made it."""
     spark = df.sparkSession

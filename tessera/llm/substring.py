@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.store import materialize
+from tessera.llm.store import materialize, small_batches
 from tessera.llm.words import U64, between, pieces, prefix, signed, split
 
 
@@ -162,6 +162,7 @@ def remove_repeated(docs: DataFrame, words: int = 50, id_col: str = "doc_id", te
     Null texts have no words; texts shorter than a window lose nothing; null ids come after all ids; rows with equal ids do not remove
     from one another; repeated rows give repeated results; an empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     row = F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row")
     src = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID)).alias("did"), F.xxhash64(docs[text_col]).bitwiseAND(0x7FFFFFFF).alias("th"), docs[text_col].alias("text"), row)
     found = src.select("did", "th", "text").mapInArrow(_emit_runs(words), RUN_SCHEMA)

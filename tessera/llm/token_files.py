@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.store import new_path
+from tessera.llm.store import new_path, small_batches
 from tessera.llm.tokens import PIECE_BYTES, encoder
 from tessera.llm.words import pieces
 
@@ -44,6 +44,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 0, encod
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"encoding is dictionary or delta, not {encoding}")
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
     ids = ordered.mapInArrow(_encode(tokenizer, end), FILE_SCHEMA)

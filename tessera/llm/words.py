@@ -6,6 +6,7 @@ single bytes in UTF-8, so texts are split as bytes, many texts at a time, withou
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -62,6 +63,12 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, off - off[0]
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
 def pieces(texts: pa.Array, most: int = PIECE_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """(index of the first text, texts) with at most so many bytes, one text at least."""
     if isinstance(texts, pa.ChunkedArray):
@@ -73,6 +80,8 @@ def pieces(texts: pa.Array, most: int = PIECE_BYTES) -> Iterator[tuple[int, pa.A
         hi = max(lo + 1, int(np.searchsorted(sizes, done + most, side="right")))
         yield lo, texts.slice(lo, hi - lo)
         lo = hi
+    if _trim is not None:
+        _trim(0)  # large arrays come and go; without this the allocator keeps their memory
 
 
 @dataclass
