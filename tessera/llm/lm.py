@@ -6,20 +6,31 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.store import materialize, small_batches
-from tessera.llm.words import U64, pieces, signed, split
+from tessera.llm.words import U64, _trim, mix, pieces, signed, split
 
-#: A word belongs to the shared vocabulary if it makes up this share of the words of either corpus, so there are 2 / WORD_SHARE words at most.
-WORD_SHARE = 2e-5
-#: A pair of words has a probability of its own if it makes up this share of the pairs of either corpus: 2 / PAIR_SHARE pairs at most.
-PAIR_SHARE = 2e-6
+#: A word belongs to the shared vocabulary, and a pair of words has a probability of its own, if either corpus has it so often: both grow with the corpora.
+LEAST = 2
 #: What is taken from each count and given to pairs without one of their own.
 DISCOUNT = 0.5
 #: Distinct keys that a task counts before it hands them on.
 HELD = 2_000_000
+#: Bytes of text in a block: documents of a task whose words and pairs are counted, asked for and scored together.
+BLOCK_BYTES = 8 << 20
+#: A text's begin and end among the words' hashes.
+EDGE = U64(0x5DEECE66D1CE4E5B)
+#: What a block's texts count for: the target, the background, or neither, where they are only scored.
+TARGET, BACKGROUND, NEITHER = 0, 1, 2
+#: The part of rows that hold sums over a whole corpus; other parts are ranges of keys.
+SUMS = -1
+_ASKED = "block long, part int, keys binary, sums binary"
+_ANSWERED = "block long, part int, own binary, sums binary"
+
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -143,14 +154,13 @@ def _counts(target: DataFrame, background: DataFrame, keys_of) -> DataFrame:
     return parts[0].unionByName(parts[1]).groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
 
 
-def train(target: DataFrame, background: DataFrame, target_text: str = "text", background_text: str = "text", word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> Model:
-    """Both models, from all texts of both corpora.  All words and pairs are counted; what comes to the driver is bounded by the shares: 2 / share rows."""
+def train(target: DataFrame, background: DataFrame, target_text: str = "text", background_text: str = "text") -> Model:
+    """Both models on the driver, from all texts of both corpora: for small ones.  cross_entropy_difference has the same losses without gathering a model."""
     small_batches(target.sparkSession)
     t = target.select(target[target_text].cast("string").alias("text"))
     b = background.select(background[background_text].cast("string").alias("text"))
     words = materialize(_counts(t, b, _word_keys), "words")
-    n_t, n_b = words.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
-    common = words.where((F.col("t") >= max(2.0, word_share * n_t)) | (F.col("b") >= max(2.0, word_share * n_b)))
+    common = words.where((F.col("t") >= LEAST) | (F.col("b") >= LEAST))
     vocabulary = Vocabulary(np.sort(common.select("key").toArrow().column(0).to_numpy().view(U64)))
     pairs = materialize(_counts(t, b, lambda part: vocabulary.pairs(part)[0]), "pairs")
     size = vocabulary.size
@@ -164,35 +174,300 @@ def train(target: DataFrame, background: DataFrame, target_text: str = "text", b
 
     firsts = margin(F.floor((F.col("key") - F.pmod(F.col("key"), F.lit(size))) / size).cast("long"))
     seconds = margin(F.pmod(F.col("key"), F.lit(size)))
-    total = seconds.sum(1)
-    own = pairs.where((F.col("t") >= max(2.0, pair_share * total[0])) | (F.col("b") >= max(2.0, pair_share * total[1]))).toArrow()
+    own = pairs.where((F.col("t") >= LEAST) | (F.col("b") >= LEAST)).toArrow()
     return build(vocabulary, own.column("key").to_numpy(), np.stack([own.column("t").to_numpy(), own.column("b").to_numpy()]), firsts, seconds)
 
 
-def _score(shared):
-    def score(batches):
-        model = shared.value
+def _planes(x: np.ndarray) -> bytes:
+    """Integers by bytes of the same weight, most of which are zero, compressed."""
+    data = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+
+def _integers(data: bytes, kind=np.int64) -> np.ndarray:
+    plain = pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(8, -1).T).reshape(-1).view(kind)
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values as they come, and which of them each one is; by hashing, not sorting."""
+    found = pa.array(x).dictionary_encode()
+    return found.dictionary.to_numpy(), found.indices.to_numpy()
+
+
+def _in_blocks(corpus: int, most: int):
+    """Deal a task's texts into blocks of about so many bytes."""
+
+    def deal(batches):
+        base, done, size = (corpus << 60) + (TaskContext.get().partitionId() << 30), 0, 0
         for batch in batches:
             for lo, part in pieces(batch.column("text")):
-                keys, n = model.vocabulary.pairs(part)
-                losses = model.losses(keys)
-                mean = np.stack([np.add.reduceat(x, np.cumsum(n) - n) for x in losses]) / n
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, len(part)), pa.array(n), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])], names=["row", "n_tokens", "target_loss", "background_loss", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), base + done)), batch.column("row").slice(lo, len(part)), part], names=["block", "row", "text"])
+                size += part.nbytes
+                if size >= most:
+                    done, size = done + 1, 0
+
+    return deal
+
+
+class Block:
+    """A block's words and pairs: `words` and `keys` (of words and pairs) in order, pairs as places of their words in `words`, and the pair of each token."""
+
+    def __init__(self, texts: list[pa.Array]):
+        hashes, counts = [], []
+        for text in texts:
+            for _, part in pieces(text):
+                w = split(part)
+                hashes.append(w.hashes())
+                counts.append(w.counts())
+        n = np.concatenate(counts)
+        self.tokens = n + 1
+        seq = np.full(int(n.sum()) + n.size + 1, EDGE, U64)
+        inside = np.ones(seq.size, bool)
+        inside[np.append(0, np.cumsum(n + 1))] = False
+        seq[inside] = np.concatenate(hashes)
+        del hashes, inside
+        words, at = _distinct(seq)
+        order = np.argsort(words)
+        self.words, rank = words[order], np.empty(order.size, np.int64)
+        rank[order] = np.arange(order.size)
+        at = rank[at]
+        self.uses = np.bincount(at[1:], minlength=self.words.size)
+        codes, self.pair = _distinct(at[:-1] * self.words.size + at[1:])
+        self.n = np.bincount(self.pair, minlength=codes.size)
+        self.first, self.second = np.divmod(codes, self.words.size)
+        pairs = mix(mix(self.words[self.first] + U64(1)) * U64(3) + self.words[self.second])
+        both = np.concatenate([self.words, pairs])
+        order = np.argsort(both)
+        both = both[order]
+        new = np.append(True, both[1:] != both[:-1])
+        self.keys, place = both[new], np.empty(order.size, np.int64)
+        place[order] = np.cumsum(new) - 1
+        self.word_at, self.pair_at = place[: self.words.size], place[self.words.size :]
+
+
+def _asked(block: int, keys: np.ndarray, sums: np.ndarray, bits: int):
+    """Rows that ask for the corpus' sums (a row of `sums` each) of sorted keys, one per range of keys."""
+    cut = np.searchsorted(keys, np.arange(1 << bits, dtype=U64) << U64(64 - bits))
+    for part, (lo, hi) in enumerate(zip(cut, np.append(cut[1:], keys.size))):
+        if hi > lo:
+            yield block, part, _planes(np.diff(keys[lo:hi], prepend=U64(0))), _planes(sums[:, lo:hi].reshape(-1))
+
+
+def _batch(rows: list, names: str) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in names.split(", ")])
+
+
+def _give_back() -> None:
+    """Hand memory that large arrays have left back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def _runs(batches, column: str):
+    """(value, batches) for each run of equal values in a sorted column."""
+    held, current = [], None
+    for batch in batches:
+        values = batch.column(column).to_numpy()
+        cut = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+        for lo, hi in zip(cut, np.append(cut[1:], len(values))):
+            if held and values[lo] != current:
+                yield current, held
+                held = []
+                _give_back()
+            current = values[lo]
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield current, held
+
+
+def _answer(columns: int, scale: float | None):
+    """Add up each key's sums over all blocks, and give every block those of its keys in their order; the first block with a key owns it.
+
+    With a scale, what pairs of a rare and another word keep for themselves is added up as well.
+    """
 
-    return score
+    def answer(batches):
+        for part, held in _runs(batches, "part"):
+            rows = [r for b in held for r in zip(b.column("block").to_pylist(), b.column("keys").to_pylist(), b.column("sums").to_pylist())]
+            if part == SUMS:
+                yield _batch([(0, SUMS, b"", np.sum([np.frombuffer(s, np.int64) for _, _, s in rows], axis=0).tobytes())], _ANSWERED)
+                continue
+            keys = [np.cumsum(_integers(k, U64), dtype=U64) for _, k, _ in rows]
+            sizes = np.array([k.size for k in keys])
+            keys = np.concatenate(keys)
+            order = np.argsort(keys, kind="stable")  # merges what is in order already
+            new = np.append(True, np.diff(keys[order]) != 0)
+            which, owned = np.empty(keys.size, np.int64), np.zeros(keys.size, np.uint8)
+            which[order] = np.cumsum(new) - 1
+            owned[order[new]] = 1
+            total = np.zeros((columns, int(new.sum())), np.int64)
+            del keys, order, new
+            ends = np.cumsum(sizes)
+            for (_, _, s), lo, hi in zip(rows, ends - sizes, ends):
+                total[:, which[lo:hi]] += _integers(s).reshape(columns, -1)
+            for (block, _, _), lo, hi in zip(rows, ends - sizes, ends):
+                yield _batch([(block, part, np.packbits(owned[lo:hi]).tobytes(), _planes(total[:, which[lo:hi]].reshape(-1)))], _ANSWERED)
+            if scale is not None:
+                yield _batch([(0, SUMS - 1, b"", np.array(_spent(total[6], total[7], scale)).astype(np.int64).tobytes())], _ANSWERED)
+
+    return answer
+
+
+def _spent(t: np.ndarray, b: np.ndarray, scale: float) -> tuple:
+    """Of pairs that have a probability of their own: counts and numbers of those that keep something of it, in the target and in the background."""
+    kept = (t >= LEAST) | (b >= LEAST)
+    in_t, in_b = kept & (t > DISCOUNT), kept & (b * scale > DISCOUNT)
+    return t[in_t].sum(), in_t.sum(), b[in_b].sum(), in_b.sum()
+
+
+def _count(bits: int):
+    """Ask for the counts of each block's words and pairs."""
+
+    def count(batches):
+        for block, held in _runs(batches, "block"):
+            own, corpus = Block([b.column("text") for b in held]), int(block) >> 60
+            sums, tokens = np.zeros((2, own.keys.size), np.int64), np.zeros(2, np.int64)
+            if corpus != NEITHER:
+                sums[corpus, own.word_at], sums[corpus, own.pair_at] = own.uses, own.n
+                tokens[corpus] = own.tokens.sum()
+            yield _batch([*_asked(int(block), own.keys, sums, bits), (0, SUMS, b"", tokens.tobytes())], _ASKED)
+
+    return count
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: DataFrame | None = None, text_col: str = "text", target_text: str = "text", **shares) -> DataFrame:
+def _answers(held: list, kind: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """Who owns a block's keys, and their sums."""
+    owned, sums = [np.zeros(0, np.uint8)], [np.zeros((columns, 0), np.int64)]
+    for b in held:
+        for k, own, s in zip(b.column("kind").to_pylist(), b.column("own"), b.column("sums")):
+            if k == kind:
+                sums.append(_integers(s.as_py()).reshape(columns, -1))
+                owned.append(np.unpackbits(np.frombuffer(own.as_py(), np.uint8), count=sums[-1].shape[1]))
+    return np.concatenate(owned) == 1, np.concatenate(sums, axis=1)
+
+
+def _texts(held: list) -> list[pa.RecordBatch]:
+    found = [b.filter(pc.equal(b.column("kind"), 2)) for b in held]
+    return [b for b in found if len(b)]
+
+
+def _known(own: Block, counts: np.ndarray) -> np.ndarray:
+    return (counts[:, own.word_at] >= LEAST).any(0) | (own.words == EDGE)
+
+
+def _spend(bits: int, scale: float):
+    """Ask for what pairs take from each word: of pairs of known words, once for each pair; with a rare word as second or as first, their counts."""
+
+    def spend(batches):
+        for block, held in _runs(batches, "block"):
+            own, corpus = Block([b.column("text") for b in _texts(held)]), int(block) >> 60
+            owned, counts = _answers(held, 0, 2)
+            known, size = _known(own, counts), own.words.size
+            a, b = known[own.first], known[own.second]
+            sums = np.zeros((8, size))
+            t, g = counts[:, own.pair_at]
+            kept = a & b & owned[own.pair_at] & ((t >= LEAST) | (g >= LEAST))
+            for row, of, x in ((0, t, t > DISCOUNT), (2, g, g * scale > DISCOUNT)):
+                at = own.first[kept & x]
+                sums[row], sums[row + 1] = np.bincount(at, of[kept & x], size), np.bincount(at, minlength=size)
+            # number of known words, counts of rare words, pairs of two rare words
+            other, lone = np.zeros(5, np.int64), owned[own.word_at]
+            other[0] = (lone & known & (own.words != EDGE)).sum()
+            other[1:3] = counts[:, own.word_at[lone & ~known]].sum(1)
+            if corpus != NEITHER:
+                sums[4 + corpus] = np.bincount(own.first[a & ~b], own.n[a & ~b], size)
+                sums[6 + corpus] = np.bincount(own.second[~a & b], own.n[~a & b], size)
+                other[3 + corpus] = own.n[~a & ~b].sum()
+            yield _batch([*_asked(int(block), own.words[known], sums[:, known].astype(np.int64), bits), (0, SUMS, b"", other.tobytes())], _ASKED)
+
+    return spend
+
+
+def _rate(totals: np.ndarray, scale: float, other: np.ndarray, rare_spent: np.ndarray):
+    """Score a block's texts by the sums of its words and pairs."""
+    s = np.array([[1.0], [scale]])
+    rare, both = other[1:3, None] * s, other[3:5, None] * s
+    bottom = totals[:, None] * s + 0.5 * (other[0] + 2)
+    both_own = np.maximum(both - DISCOUNT, 0) * (other[3:5] >= LEAST).any()
+
+    def taken(x):
+        return np.stack([x[0] - DISCOUNT * x[1], x[2] * scale - DISCOUNT * x[3]])
+
+    rare_left = np.clip(1 - (taken(rare_spent[:, None].astype(float)) + both_own) / np.maximum(rare, 1e-9), 1e-6, 1)
+
+    def rate(batches):
+        for _, held in _runs(batches, "block"):
+            texts = _texts(held)
+            own = Block([b.column("text") for b in texts])
+            counts = _answers(held, 0, 2)[1]
+            known = _known(own, counts)
+            sums = np.zeros((8, own.words.size))
+            sums[:, known] = _answers(held, 1, 8)[1]
+            uses = np.where(known, counts[:, own.word_at] * s, rare)
+            word = (uses + 0.5) / bottom
+            before, after = (np.maximum(x * s - DISCOUNT, 0) * (x >= LEAST).any(0) for x in (sums[4:6], sums[6:8]))
+            left = np.where(known, np.clip(1 - (taken(sums) + before) / np.maximum(uses, 1e-9), 1e-6, 1), rare_left)
+            pairs = counts[:, own.pair_at]
+            f, g = own.first, own.second
+            kept = np.maximum(pairs * s - DISCOUNT, 0) * (pairs >= LEAST).any(0)
+            taking = np.where(known[f], np.where(known[g], kept, before[:, f]), np.where(known[g], after[:, g], both_own))
+            loss = -np.log(taking / np.maximum(uses, 1e-9)[:, f] + left[:, f] * word[:, g])
+            mean = np.stack([np.add.reduceat(x[own.pair], np.cumsum(own.tokens) - own.tokens) for x in loss]) / own.tokens
+            lo = 0
+            for b in texts:
+                n, m = own.tokens[lo : lo + len(b)], mean[:, lo : lo + len(b)]
+                yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(n), pa.array(m[0]), pa.array(m[1]), pa.array(m[0] - m[1])], names=["row", "n_tokens", "target_loss", "background_loss", "score"])
+                lo += len(b)
+
+    return rate
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: DataFrame | None = None, text_col: str = "text", target_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Score every document: `row` (struct of its columns other than the text), `n_tokens` (words and the text's end), the mean loss a token under each model, in
     nats, and `score`, target loss less background loss: the lower, the more like the target.
 
-    The models are word bigrams over one vocabulary.  The background is `docs` itself unless given.  The model that goes with the tasks is bounded whatever the input: at most
-    2 / WORD_SHARE words and 2 / PAIR_SHARE pairs of 24 bytes.
+    The models are those of train(), word bigrams over one vocabulary; the background is `docs` itself unless given.  They grow with the corpora: every word and pair
+    that occurs LEAST times counts, and no task or driver holds them.  Texts are dealt into blocks.  Each block asks for the sums of its own words and pairs, ranges of keys
+    add them up, and each block gets an answer for each of its keys; a hot key comes once from a block.  The driver sees a few sums.
 
     Null or empty texts have one token, their end; an empty target makes both models the same up to smoothing; repeated rows score alike; an empty table gives an empty one.
     """
-    model = train(target, docs if background is None else background, target_text, text_col, **shares)
-    row = F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row")
-    src = docs.select(row, docs[text_col].cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return src.mapInArrow(_score(shared), f"row {src.schema['row'].dataType.simpleString()}, n_tokens long, target_loss double, background_loss double, score double")
+    small_batches(docs.sparkSession)
+
+    def dealt(kind: int, df: DataFrame, text: str, row) -> DataFrame:
+        src = df.select(row.alias("row"), df[text].cast("string").alias("text"))
+        return materialize(src.mapInArrow(_in_blocks(kind, block_bytes), f"block long, row {src.schema['row'].dataType.simpleString()}, text string"), "blocks")
+
+    row = F.struct(*[docs[c] for c in docs.columns if c != text_col])
+    corpus = BACKGROUND if background is None else NEITHER
+    scored = dealt(corpus, docs, text_col, row)
+    texts = scored.select("block", "text").unionByName(dealt(TARGET, target, target_text, F.lit(0)).select("block", "text"))
+    if background is not None:
+        texts = texts.unionByName(dealt(BACKGROUND, background, text_col, F.lit(0)).select("block", "text"))
+    bits = max(4, (texts.select("block").distinct().count() // 2).bit_length())
+
+    def answered(asked: DataFrame, columns: int, scale: float | None, label: str) -> DataFrame:
+        by_part = asked.repartition("part").sortWithinPartitions("part", "block")
+        return materialize(by_part.mapInArrow(_answer(columns, scale), _ANSWERED), label)
+
+    def sums(of: DataFrame, part: int, size: int) -> np.ndarray:
+        got = [np.frombuffer(r[0], np.int64) for r in of.where(F.col("part") == part).select("sums").collect()]
+        return np.sum(got, axis=0) if got else np.zeros(size, np.int64)
+
+    def with_answers(of: DataFrame, *answers: DataFrame) -> DataFrame:
+        out = of.select("block", F.lit(2).alias("kind"), F.lit(0).alias("part"), *[c for c in of.columns if c != "block"])
+        for kind, one in enumerate(answers):
+            out = out.unionByName(one.where("part >= 0").select("block", F.lit(kind).alias("kind"), "part", "own", "sums"), allowMissingColumns=True)
+        return out.repartition("block").sortWithinPartitions("block", "kind", "part")
+
+    counts = answered(texts.repartition("block").sortWithinPartitions("block").mapInArrow(_count(bits), _ASKED), 2, None, "counts")
+    totals = sums(counts, SUMS, 2)
+    scale = min(1.0, totals[0] / max(totals[1], 1)) if totals[0] else 1.0
+    spent = answered(with_answers(texts, counts).mapInArrow(_spend(bits, scale), _ASKED), 8, scale, "spent")
+    rate = _rate(totals, scale, sums(spent, SUMS, 5), sums(spent, SUMS - 1, 4))
+    own = [a.where(F.shiftright("block", 60) == corpus) for a in (counts, spent)]
+    kind = scored.schema["row"].dataType.simpleString()
+    return with_answers(scored, *own).mapInArrow(rate, f"row {kind}, n_tokens long, target_loss double, background_loss double, score double")

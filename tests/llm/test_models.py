@@ -52,6 +52,26 @@ def test_losses_are_those_of_the_counts(spark):
         assert r.target_loss == pytest.approx(want[0]) and r.background_loss == pytest.approx(want[1]) and r.score == pytest.approx(want[0] - want[1])
 
 
+def test_rare_words_and_pairs_count_in_large_corpora(spark):
+    rng = np.random.default_rng(5)
+    passages = [f"rare{i} w{i} w{2 * i} seldom{i} once{i % 3}" for i in range(40)]
+    texts = [" ".join(f"w{int(w)}" for w in rng.zipf(1.3, 3000) % 4000) for _ in range(400)]  # 1.2 million words: two are fewer than 2e-6 of them
+    back = [f"{t} {passages[i % 40]}" if i < 80 else t for i, t in enumerate(texts)]
+    target = [" ".join(f"w{int(w)}" for w in rng.integers(0, 900, 50)) for _ in range(300)] + [None, "", "lonely1 lonely2", "lonely1 lonely3"]
+    df = lambda ts: spark.createDataFrame([(i, t) for i, t in enumerate(ts)], "doc_id long, text string").repartition(3)
+    shown = [*passages, None, "", "new1 new2 w3 rare1 new4", *target[:20], texts[100]]
+    model = lm.train(df(target), df(back))
+    got = {r.row.doc_id: r for r in lm.cross_entropy_difference(df(shown), df(target), df(back), block_bytes=1 << 20).collect()}
+    for i, t in enumerate(shown):
+        want = model.losses(model.vocabulary.pairs(lm.pa.array([t], lm.pa.string()))[0]).mean(1)
+        assert (got[i].target_loss, got[i].background_loss) == pytest.approx(tuple(want)), t
+    own = {r.row.doc_id: r for r in lm.cross_entropy_difference(df(back), df(target), block_bytes=1 << 20).collect()}
+    for i in (0, 79, 80, 399):
+        assert own[i].score == pytest.approx(np.subtract(*model.losses(model.vocabulary.pairs(lm.pa.array([back[i]]))[0]).mean(1)))
+    got = {r.row.doc_id: r for r in lm.cross_entropy_difference(df(shown), df(back), df(target)).collect()}
+    assert all(got[i].target_loss < 6 for i in range(40))  # each passage occurs twice
+
+
 def test_scores_tell_the_target(spark, sf):
     _, table = sf
     docs = table("documents").select("doc_id", "text", "lang")
