@@ -211,8 +211,9 @@ def near_nodes(docs: DataFrame, least: float = 0.8, k: int = 5, size: int = 192,
     bucket.  A pair at 0.8 is missed by all 32 bands of 6 with a probability of 6e-5.  3. In each bucket one node, the pivot, is compared with the others: one pair
     per member, not all pairs.  The pivot is the node that meets most others in all its buckets, so the common origin of many copies, where there is one.
     4. In buckets that verified links do not make one component, each stray (a member outside the pivot's component) is held against all members of other
-    components, in blocks: by longer signatures first, those that may be similar enough then by text.  So no link between different texts of a bucket is lost,
-    and large groups of copies cost a pair per member.  5. Components name the classes by their least id.
+    components, in blocks: by longer signatures first, those that may be similar enough then by text.  A link at exactly 0.8 is passed over
+    by the longer signatures with a probability of 2e-4, unless the pivot or another path has it; closer pairs less often.  Large groups of copies
+    cost a pair per member.  5. Components name the classes by their least id.
 
     Null or wordless texts are classes of their own; so is a text without a neighbour.  Texts of fewer than k words are one shingle.  Null ids have a hash of the text in their place
     (STAND_IN or more); rows with equal ids count as one document; an empty table gives an empty one.
