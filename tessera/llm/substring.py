@@ -1,4 +1,4 @@
-"""Removal of long passages that an earlier document has: level-wise doubling of repeated windows."""
+"""Removal of long passages that an earlier document has: one doubling, from repeated half-length anchors to windows."""
 
 from __future__ import annotations
 
