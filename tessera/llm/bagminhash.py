@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.graph import components
 from tessera.llm.store import materialize, small_batches
-from tessera.llm.words import U64, between, mix, pieces, prefix, signed, split
+from tessera.llm.words import U64, Runs, mix, pieces, signed, split
 
 #: Ids at and above this stand in for null ids.
 STAND_IN = 1 << 62
@@ -31,11 +31,11 @@ def bags(texts: pa.Array, k: int = 5) -> Bags:
     """Shingles of k words; a text of fewer words is one shingle, a text without words has none."""
     w = split(texts)
     h, n = w.hashes(), w.counts()
-    sums = prefix(h)
+    runs = Runs(h)
     doc = w.texts()
     at = np.flatnonzero(doc[: -(k - 1)] == doc[k - 1 :]) if k > 1 and h.size >= k else np.arange(h.size if k == 1 else 0)
     short = np.flatnonzero((n > 0) & (n < k))
-    shingle = np.concatenate([between(sums, at, at + k), between(sums, w.first[short], w.first[short + 1])])
+    shingle = np.concatenate([runs.all(k)[at], runs.some(w.first[short], n[short])])
     text = np.concatenate([doc[at], short]) if at.size else short
     order = np.lexsort((shingle, text))
     shingle, text = shingle[order], text[order]

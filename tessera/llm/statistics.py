@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.store import small_batches
-from tessera.llm.words import _BYTE_BASE, U64, Words, grams, mix, pieces, powers, split
+from tessera.llm.words import U64, Words, grams, mix, pieces, span_hashes, split
 
 #: The characters that the rules count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -111,10 +111,7 @@ def count(texts: pa.Array) -> dict[str, np.ndarray]:
     text, lo, hi = text[worded], lo[worded], hi[worded]
     out["n_word_lines"] = np.bincount(text, minlength=n_docs)
     if lo.size:
-        size = hi - lo
-        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        body = (w.data[at + np.repeat(lo, size)].astype(U64) + U64(1)) * powers(_BYTE_BASE, int(size.max()))[at]
-        line = mix(np.add.reduceat(body, np.cumsum(size) - size) + size.astype(U64)) ^ salt[text]
+        line = span_hashes(w.data, lo, hi) ^ salt[text]
         kinds, where = np.unique(line, return_index=True)
         out["n_dup_lines"] = out["n_word_lines"] - np.bincount(text[where], minlength=n_docs)
     else:

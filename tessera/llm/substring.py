@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.store import materialize, small_batches
-from tessera.llm.words import U64, between, pieces, prefix, signed, split
+from tessera.llm.words import U64, Runs, pieces, signed, split
 
 
 def leftmost_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -22,33 +22,32 @@ def leftmost_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def runs(hashes: np.ndarray, counts: np.ndarray, length: int):
+def runs(one: Runs, two: Runs, counts: np.ndarray, length: int):
     """Windows of `length` words, gathered into runs of neighbouring windows that have the same anchor.
 
     The anchor of a window is its half-length gram of the least hash, so it depends on the window's words alone: equal windows,
-    wherever they are, have equal anchors at the same place.  Returns (text, first window, last window, anchor's hash, hash of the words of the
-    whole run, prefix sums); window numbers count all words of all texts.
+    wherever they are, have equal anchors at the same place.  `one` and `two` are runs of the words' hashes of two seeds.  Returns (text, first window,
+    last window, anchor's hash by the first, hash of the words of the whole run by the second); window numbers count all words of all texts.
     """
-    half, n = (length + 1) // 2, hashes.size
-    sums = prefix(hashes)
+    half, n = (length + 1) // 2, one.levels[0].size
     none = np.zeros(0, np.int64)
+    nothing = none, none, none, none.view(U64), none.view(U64)
     if n < length:
-        return none, none, none, none.view(U64), none.view(U64), sums
-    low = np.arange(n - half + 1)
-    gram = between(sums, low, low + half)
+        return nothing
+    gram = one.all(half)
     anchor = leftmost_minimum(gram, length - half + 1)
     text = np.repeat(np.arange(counts.size), counts)
     window = np.arange(n - length + 1)
     valid = text[window] == text[window + length - 1]
     window, anchor = window[valid], anchor[valid]
     if not window.size:
-        return none, none, none, none.view(U64), none.view(U64), sums
+        return nothing
     new = np.ones(window.size, dtype=bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (text[window[1:]] != text[window[:-1]])
     at = np.flatnonzero(new)
     lo = window[at]
     hi = window[np.append(at[1:], window.size) - 1]
-    return text[lo], lo, hi, gram[anchor[at]], between(sums, lo, hi + length, 7), sums
+    return text[lo], lo, hi, gram[anchor[at]], two.some(lo, hi - lo + length)
 
 
 # --- the distributed part -------------------------------------------------------------------------------------------------
@@ -56,20 +55,30 @@ def runs(hashes: np.ndarray, counts: np.ndarray, length: int):
 #: Null ids come after every id.
 LAST_ID = (1 << 63) - 1
 
-RUN_SCHEMA = "gram long, seg long, did long, at long, n int"
-WINDOW_SCHEMA = "w1 long, w2 long, did long, th long, s int"
+#: Of the second hash of a word.
+SEED = 0x5EED
+
+#: r1 and r2 name a row by its id and text, in 128 bits; did is its id.
+ROW = ["did", "r1", "r2"]
+RUN_SCHEMA = "gram long, seg long, did long, r1 long, r2 long, s int, n int"
+WINDOW_SCHEMA = "w1 long, w2 long, did long, r1 long, r2 long, s int"
+
+
+def _rows(batch: pa.RecordBatch, lo: int, text: np.ndarray) -> list[pa.Array]:
+    """ROW of the texts with these numbers, counted from the batch's row `lo`."""
+    own = pa.array(lo + text)
+    return [batch.column(c).take(own) for c in ROW]
 
 
 def _emit_runs(length: int):
     def emit(batches):
         for batch in batches:
-            did, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for lo, part in pieces(batch.column(2)):
+            for lo, part in pieces(batch.column("text")):
                 w = split(part)
-                text, a, b, gram, seg, _ = runs(w.hashes(), w.counts(), length)
+                text, a, b, gram, seg = runs(Runs(w.hashes()), Runs(w.hashes(SEED)), w.counts(), length)
                 if text.size:
-                    at = (th[lo + text] << 32) | (a - w.first[text])
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (signed(gram), signed(seg), did[lo + text], at, (b - a + 1).astype(np.int32))], names=["gram", "seg", "did", "at", "n"])
+                    cols = [pa.array(signed(gram)), pa.array(signed(seg)), *_rows(batch, lo, text), pa.array((a - w.first[text]).astype(np.int32)), pa.array((b - a + 1).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["gram", "seg", *ROW, "s", "n"])
 
     return emit
 
@@ -108,7 +117,7 @@ def _settle(length: int):
                     out["keep"].append(b" ".join(words).decode())
                     out["spans"].append([{"start": a, "end": b} for a, b in gone])
                     out["n_removed"].append(sum(b - a for a, b in gone))
-            cols = {name: batch.column(name) for name in ("row", "did", "th", "found")}
+            cols = {name: batch.column(name) for name in ("row", *ROW, "found")}
             cols |= {"n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_text": pa.array(out["keep"], pa.string()), "removed": pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), "text": pa.array(out["text"], pa.string())}
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
@@ -129,12 +138,10 @@ def cover(windows: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
 def _emit_windows(length: int):
     def emit(batches):
         for batch in batches:
-            did, th = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("did", "th"))
             found = batch.column("found").to_pylist()
             for lo, part in pieces(batch.column("text")):
                 w = split(part)
-                h = w.hashes()
-                one, two = prefix(h), prefix(h, 0x5EED)
+                one, two = Runs(w.hashes()).all(length), Runs(w.hashes(SEED)).all(length)
                 starts, texts = [], []
                 for i in range(len(part)):
                     own = np.unique(np.concatenate([np.arange(f["s"], f["s"] + f["n"]) for f in found[lo + i] if f["open"]]))
@@ -142,7 +149,7 @@ def _emit_windows(length: int):
                     texts.append(np.full(own.size, i))
                 s, t = np.concatenate(starts), np.concatenate(texts)
                 at = s + w.first[t]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (signed(between(one, at, at + length)), signed(between(two, at, at + length, 0x5EED)), did[lo + t], th[lo + t], s.astype(np.int32))], names=["w1", "w2", "did", "th", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(one[at])), pa.array(signed(two[at])), *_rows(batch, lo, t), pa.array(s.astype(np.int32))], names=["w1", "w2", *ROW, "s"])
 
     return emit
 
@@ -164,27 +171,27 @@ def remove_repeated(docs: DataFrame, words: int = 50, id_col: str = "doc_id", te
     """
     small_batches(docs.sparkSession)
     row = F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row")
-    src = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID)).alias("did"), F.xxhash64(docs[text_col]).bitwiseAND(0x7FFFFFFF).alias("th"), docs[text_col].alias("text"), row)
-    found = src.select("did", "th", "text").mapInArrow(_emit_runs(words), RUN_SCHEMA)
+    did, text = F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID)), docs[text_col].cast("string")
+    src = docs.select(did.alias("did"), F.xxhash64(did, text).alias("r1"), F.xxhash64(F.lit(SEED), text, did).alias("r2"), text.alias("text"), row)
+    found = src.select(*ROW, "text").mapInArrow(_emit_runs(words), RUN_SCHEMA)
     # aggregates are written before they are joined, so that a hot key's rows on the other side can be split
     grams = materialize(found.groupBy("gram").agg(F.min("did").alias("d0"), F.max("did").alias("d1"), F.min("seg").alias("x"), F.max("seg").alias("y")).where("d0 < d1").drop("d1"), "repeated")
     common = materialize(found.join(grams, "gram"), "grams")
     pure, mixed = common.where("x = y"), common.where("x < y").drop("d0")
     first = materialize(mixed.groupBy("gram", "seg").agg(F.min("did").alias("d0")), "first")
-    both = pure.where("did > d0").select("did", "at", "n", F.lit(False).alias("open")).unionByName(mixed.join(first, ["gram", "seg"]).select("did", "at", "n", (F.col("did") == F.col("d0")).alias("open")))
-    spans = both.groupBy("did", F.shiftright("at", 32).alias("th")).agg(F.collect_list(F.struct(F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("s"), "n", "open")).alias("found"))
-    found_type = spans.schema["found"].dataType
-    schema = T.StructType([T.StructField("row", src.schema["row"].dataType), T.StructField("did", T.LongType()), T.StructField("th", T.LongType()), T.StructField("found", found_type)])
+    both = pure.where("did > d0").select(*ROW, "s", "n", F.lit(False).alias("open")).unionByName(mixed.join(first, ["gram", "seg"]).select(*ROW, "s", "n", (F.col("did") == F.col("d0")).alias("open")))
+    spans = both.groupBy(*ROW).agg(F.collect_list(F.struct("s", "n", "open")).alias("found"))
+    schema = src.select("row", *ROW).schema.add("found", spans.schema["found"].dataType)
     for name, kind in (("n_words", "long"), ("n_removed", "long"), ("kept_text", "string"), ("removed", "array<struct<start:int,end:int>>"), ("text", "string")):
         schema = schema.add(name, T.DataType.fromDDL(kind))
     # the text is shuffled once; documents that are settled leave it behind
-    joined = src.join(spans, ["did", "th"], "left").select("row", "did", "th", "found", "text")
+    joined = src.join(spans, ROW, "left").select("row", *ROW, "found", "text")
     settled = materialize(joined.mapInArrow(_settle(words), schema), "settled")
     is_open = F.col("text").isNotNull()
-    windows = settled.where(is_open).select("did", "th", "found", "text").mapInArrow(_emit_windows(words), WINDOW_SCHEMA)
+    windows = settled.where(is_open).select(*ROW, "found", "text").mapInArrow(_emit_windows(words), WINDOW_SCHEMA)
     windows = materialize(windows, "windows")
     least = materialize(windows.groupBy("w1", "w2").agg(F.min("did").alias("d0"), F.max("did").alias("d1")).where("d0 < d1").drop("d1"), "least")
-    more = windows.join(least, ["w1", "w2"]).where("did > d0").groupBy("did", "th").agg(F.collect_list("s").alias("more"))
-    again = settled.where(is_open).join(more, ["did", "th"], "left").select("row", "did", "th", "found", "text", "more").mapInArrow(_settle(words), schema)
+    more = windows.join(least, ["w1", "w2"]).where("did > d0").groupBy(*ROW).agg(F.collect_list("s").alias("more"))
+    again = settled.where(is_open).join(more, ROW, "left").select("row", *ROW, "found", "text", "more").mapInArrow(_settle(words), schema)
     out = ["row", "n_words", "n_removed", "removed", "kept_text"]
     return settled.where(~is_open).select(*out).unionByName(again.select(*out))

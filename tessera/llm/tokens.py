@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm.words import SEPARATORS, U64, mix, powers, raw
+from tessera.llm.words import SEPARATORS, U64, eights, mix, raw
 
 #: White space beyond ASCII, by its bytes in UTF-8, and those that such a character begins with.
 _WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8a\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80")
@@ -24,16 +24,20 @@ PIECE_BYTES = 2 << 20
 #: Words that are encoded in one call.
 CALL = 20_000
 
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Words of fewer bytes are their own keys: two integers that hold their bytes, and their length in the last one.  Longer ones are numbered.
+SHORT = 16
+#: Bytes of a word beyond which it is not looked for again.
+RECURS = 1 << 12
+_LENGTH, _LONG = U64(56), U64(0xFF << 56)
 
 
 class WordTable:
-    """Ids of words by a 128-bit hash, in arrays: open addressing, looked up and filled a batch at a time."""
+    """Ids of words by 128-bit keys that are the words themselves, in arrays: open addressing, looked up and filled a batch at a time."""
 
     def __init__(self, kept: int):
         self.kept = kept
         self.slots = np.full(1 << int(np.ceil(np.log2(kept * 2.5))), -1, np.int32)
-        self.mask = self.slots.size - 1
+        self.mask = U64(self.slots.size - 1)
         self.h = np.zeros((2, 0), U64)
         self.start = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int32)
@@ -41,27 +45,30 @@ class WordTable:
         self.pool = np.zeros(0, np.uint32)
         self.now = 0
 
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (mix(h[0] + mix(h[1])) & self.mask).astype(np.int64)
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """The entry of each word, -1 where there is none."""
         out = np.full(h.shape[1], -1, np.int64)
-        left, at = np.arange(h.shape[1]), (h[0] & U64(self.mask)).astype(np.int64)
+        left, at = np.arange(h.shape[1]), self._slot(h)
         while left.size:
             entry = self.slots[at]
             full = entry >= 0
             left, at, entry = left[full], at[full], entry[full]
             same = (self.h[0, entry] == h[0, left]) & (self.h[1, entry] == h[1, left])
             out[left[same]] = entry[same]
-            left, at = left[~same], (at[~same] + 1) & self.mask
+            left, at = left[~same], (at[~same] + 1) & int(self.mask)
         return out
 
     def _place(self, first: int) -> None:
         todo = np.arange(first, self.h.shape[1])
-        at = (self.h[0, todo] & U64(self.mask)).astype(np.int64)
+        at = self._slot(self.h[:, todo])
         while todo.size:
             free = self.slots[at] < 0
             self.slots[at[free]] = todo[free]  # of several for one slot the last stays
             lost = self.slots[at] != todo
-            todo, at = todo[lost], (at[lost] + 1) & self.mask
+            todo, at = todo[lost], (at[lost] + 1) & int(self.mask)
 
     def add(self, h: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         if self.h.shape[1] + h.shape[1] > self.kept:
@@ -72,6 +79,10 @@ class WordTable:
         self.h = np.concatenate([self.h, h], 1)
         self.stamp = np.append(self.stamp, np.full(h.shape[1], self.now))
         self.pool = np.append(self.pool, ids)
+        if self.h.shape[1] * 2 > self.slots.size:  # a batch of more words than are kept
+            self.slots = np.full(1 << int(np.ceil(np.log2(self.h.shape[1] * 2.5))), -1, np.int32)
+            self.mask = U64(self.slots.size - 1)
+            first = 0
         self._place(first)
 
     def _shrink(self) -> None:
@@ -112,6 +123,8 @@ class Encoder:
         self.spaced = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.spaced[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True  # a space as byte-level vocabularies write it
         self.table = WordTable(kept)
+        self.long: dict[bytes, int] = {}  # numbers of long words; they go up for good, so no number means two words
+        self.numbered = 0
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -130,6 +143,25 @@ class Encoder:
             sizes.append(np.diff(np.append(at, got.size)))
         return np.concatenate(ids), np.concatenate(sizes)
 
+    def _keys(self, data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """The key of each word."""
+        h = np.stack([eights(data, starts, lens), eights(data, np.minimum(starts + 8, data.size), np.maximum(lens - 8, 0))])
+        h[1] |= lens.astype(U64) << _LENGTH
+        far = np.flatnonzero(lens >= SHORT)
+        if far.size:
+            if len(self.long) > self.table.kept // 8:
+                self.long.clear()
+            for i, a, n in zip(far.tolist(), starts[far].tolist(), lens[far].tolist()):
+                word = data[a : a + n].tobytes()
+                number = self.long.get(word)
+                if number is None:
+                    number, self.numbered = self.numbered, self.numbered + 1
+                    if n <= RECURS:
+                        self.long[word] = number
+                h[0, i] = number
+            h[1, far] = _LONG
+        return h
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and the len + 1 places where texts begin; null counts as empty."""
         data, off = raw(texts)
@@ -157,20 +189,15 @@ class Encoder:
         if not starts.size:
             return self._merge(texts, odd, np.zeros(0, np.uint32), np.zeros(n + 1, np.int64))
         lens = np.diff(np.append(begin, inside.size))
-        at = np.arange(inside.size, dtype=np.int32 if inside.size < 1 << 31 else np.int64)
-        at -= np.repeat(begin.astype(at.dtype), lens)
-        wide = inside.astype(U64)
-        wide += U64(1)
-        most = int(lens.max())
-        h = np.stack([mix(np.add.reduceat(wide * powers(b, most)[at], begin) + lens.astype(U64)) for b in _BASES])
+        h = self._keys(inside, begin, lens)
         table = self.table
         table.now += 1
         entry = table.find(h)
         table.stamp[entry[entry >= 0]] = table.now
         new = np.flatnonzero(entry < 0)
         if new.size:
-            _, first = np.unique(h[0, new], return_index=True)
-            own = new[first]
+            order = new[np.lexsort(h[:, new])]
+            own = order[np.append(True, (h[:, order[1:]] != h[:, order[:-1]]).any(0))]
             flat = inside.tobytes()
             units = [flat[a:b] for a, b in zip(begin[own].tolist(), (begin[own] + lens[own]).tolist())]
             spaced = inside[begin[own]] == 0x20

@@ -21,22 +21,10 @@ SEPARATORS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Bytes of text that are worked on at a time; one longer text is one piece.
 PIECE_BYTES = 1 << 20
 
-_BYTE_BASE = 0x9E3779B97F4A7C15
-_WORD_BASE = 0xD6E8FEB86659FD93
-_WORD_BASE_INVERSE = pow(_WORD_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** i modulo 2 ** 64 for i < n; the longest array so far is kept."""
-    have = _powers.get(base)
-    if have is None or have.size < n:
-        out = np.full(max(n, 4096), base, dtype=U64)
-        out[0] = 1
-        have = np.multiply.accumulate(out)
-        if have.size <= 1 << 21:
-            _powers[base] = have
-    return have[:n]
+#: Odd constants that set apart seeds, places and lengths.
+_STEP, _LINK = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
+#: Masks that keep the first bytes of eight.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -100,18 +88,9 @@ class Words:
         """The text of each word."""
         return np.repeat(np.arange(self.first.size - 1), self.counts())
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        lens = self.ends - self.starts
-        if not lens.size:
-            return np.zeros(0, U64)
-        begin = np.cumsum(lens) - lens
-        at = np.arange(int(lens.sum()), dtype=np.int64)
-        at -= np.repeat(begin, lens)
-        body = self.data[self.inside].astype(U64)
-        body += U64(1)
-        body *= powers(_BYTE_BASE, int(lens.max()))[at]
-        return mix(np.add.reduceat(body, begin) ^ (lens.astype(U64) << U64(48)))
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word; different seeds give independent ones."""
+        return span_hashes(self.data, self.starts, self.ends, seed)
 
     def strings(self, i: int) -> list[bytes]:
         """The words of text i."""
@@ -131,26 +110,78 @@ def split(texts: pa.Array) -> Words:
     return Words(data, off, starts, ends, np.searchsorted(starts, off), inside)
 
 
-def grams(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """A hash of each run of k neighbouring values; fewer than k values have none.  The caller leaves out runs over two texts."""
-    n = hashes.size - k + 1
-    if n <= 0:
+def eights(data: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place, as integers; those beyond `left` are zero."""
+    whole = np.zeros((data.size + 23) // 8, U64)
+    whole.view(np.uint8)[: data.size] = data
+    low, shift = at >> 3, ((at & 7) << 3).astype(U64)
+    out = whole[low] >> shift
+    out |= (whole[low + 1] << (U64(63) - shift)) << U64(1)
+    out &= _FIRST[np.minimum(left, 8)]
+    return out
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: its blocks of eight are mixed, each with its place and the seed, and then summed and mixed with the length.
+
+    Every block goes through a function that is not linear before it is added, so no arrangement of few letters cancels out, as it does in polynomials.
+    """
+    lens = ends - starts
+    if not lens.size:
         return np.zeros(0, U64)
-    sums = prefix(hashes, seed)
-    return between(sums, np.arange(n), np.arange(n) + k, seed)
+    n = np.maximum((lens + 7) >> 3, 1)
+    first = np.cumsum(n) - n
+    place = np.arange(int(n.sum()))
+    place -= np.repeat(first, n)
+    x = eights(data, np.repeat(starts, n) + 8 * place, np.repeat(lens, n) - 8 * place)
+    keys = mix((np.arange(int(n.max()), dtype=U64) + U64(1)) * _STEP + U64(seed))
+    x ^= keys[place]
+    return mix(np.add.reduceat(mix(x), first) + lens.astype(U64) * _LINK)
 
 
-def prefix(hashes: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Sums from which between() has a hash of any run of values."""
-    h = mix(hashes ^ U64(seed)) if seed else hashes
-    out = np.zeros(h.size + 1, U64)
-    np.cumsum(h * powers(_WORD_BASE, h.size), out=out[1:])
-    return out
+def link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes, one after the other."""
+    return mix(a * _LINK + b)
+
+
+class Runs:
+    """Hashes of runs of neighbouring values by doubling: those of 1, 2, 4, ... values, each made of two of half the length.
 
+    Any run is its first part and its last part, each the longest power of two that it holds.  The caller leaves out runs over two texts.
+    """
 
-def between(sums: np.ndarray, lo: np.ndarray, hi: np.ndarray, seed: int = 0) -> np.ndarray:
-    back = powers(_WORD_BASE_INVERSE, sums.size)
-    return mix((sums[hi] - sums[lo]) * back[lo] + (hi - lo).astype(U64) * U64(_BYTE_BASE) + U64(seed))
+    def __init__(self, values: np.ndarray):
+        self.levels = [values]
+
+    def _level(self, j: int) -> np.ndarray:
+        while len(self.levels) <= j:
+            last, step = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(link(last[:-step], last[step:]) if last.size > step else last[:0])
+        return self.levels[j]
+
+    def all(self, k: int) -> np.ndarray:
+        """A hash of each run of k values; fewer than k values have none."""
+        n = self.levels[0].size - k + 1
+        if n <= 0:
+            return np.zeros(0, U64)
+        j = k.bit_length() - 1
+        level = self._level(j)
+        return level[:n] if k == 1 << j else link(level[:n], level[k - (1 << j) :][:n] + U64(k))
+
+    def some(self, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """A hash of each run of n[i] values from lo[i] on."""
+        out = np.zeros(lo.size, U64)
+        power = np.frexp(n.astype(float))[1] - 1
+        for j in np.unique(power):
+            own = np.flatnonzero(power == j)
+            a, size, level = lo[own], n[own], self._level(int(j))
+            out[own] = np.where(size == 1 << j, level[a], link(level[a], level[a + size - (1 << j)] + size.astype(U64)))
+        return out
+
+
+def grams(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of k neighbouring values."""
+    return Runs(hashes).all(k)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -15,6 +15,12 @@ def prose(n, seed, vocabulary=3000):
     return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
 
 
+def thue_morse(n):
+    """Two sequences of n of two letters, one the other's complement, whose polynomials agree modulo 2 ** 64 for large n and any base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return bits, [1 - b for b in bits]
+
+
 def odd_rows():
     """Nulls, empty and long texts, copies and near copies, shared passages, repeated rows."""
     passage, base = prose(70, 1), prose(300, 2)

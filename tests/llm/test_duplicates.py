@@ -7,7 +7,7 @@ import pytest
 
 from tessera.llm import bagminhash, substring
 from tessera.llm.graph import components
-from tests.llm.conftest import WORD, odd_rows, prose
+from tests.llm.conftest import WORD, odd_rows, prose, thue_morse
 
 
 def removed(rows, length):
@@ -51,6 +51,18 @@ def test_passages_in_many_neighbourhoods(spark):
     assert got == {i: " ".join(k) for (i, _), k in removed(rows, 50).items()}
 
 
+def test_passages_of_few_letters(spark):
+    """Words, and windows, whose polynomials agree are told apart."""
+    a, b = (" ".join("ab"[x] for x in bits) for bits in thue_morse(128))
+    one, two = ("".join("ab"[x] for x in bits) for bits in thue_morse(1024))
+    rest = prose(49, 77)
+    rows = [(1, a), (2, b), (3, f"{one} {rest}"), (4, f"{two} {rest}"), (None, prose(61, 78)), (None, prose(80, 79)), (None, prose(80, 79))]
+    got = sorted(((r.row.doc_id or 99, r.kept_text) for r in substring.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted((i or 99, " ".join(removed(rows, 50)[i, t])) for i, t in rows)
+    near = {r.doc_id: r.class_id for r in bagminhash.near_classes(spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")).collect()}
+    assert near == {1: 1, 2: 2}
+
+
 def similarity(x, y):
     both = sum((x & y).values())
     return both / max(sum(x.values()) + sum(y.values()) - both, 1)

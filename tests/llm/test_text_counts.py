@@ -6,8 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import boosting, isolation, statistics
-from tessera.llm.words import grams, pieces, split
-from tests.llm.conftest import WORD, odd_rows
+from tessera.llm.words import Runs, grams, pieces, split
+from tests.llm.conftest import WORD, odd_rows, thue_morse
 
 texts = st.lists(st.one_of(st.none(), st.text(alphabet="ab é日\n\t \x0b\x1f|#.A", max_size=30)), max_size=8)
 
@@ -31,6 +31,27 @@ def test_slices_and_pieces():
     assert split(a).counts().tolist() == [0, 1, 0, 1] and grams(np.zeros(2, np.uint64), 3).size == 0
 
 
+def test_hashes_tell_few_letters_apart():
+    for n in (8, 64, 1024, 4096):
+        words = ["".join("ab"[b] for b in bits) for bits in thue_morse(n)]
+        assert len(set(split(pa.array([*words, words[0] + "a", words[0] + "\x00"])).hashes().tolist())) == 4
+        lines = statistics.count(pa.array(["\n".join(words), "\n".join([words[0]] * 2), "\n".join(" ".join(w) for w in words)]))
+        assert lines["n_dup_lines"].tolist() == [0, 1, 0]
+        one, two = (np.array([11, 17], np.uint64)[np.array(bits)] for bits in thue_morse(n))
+        assert (grams(one, n) != grams(two, n)).all()
+
+
+def test_runs_are_the_same_wherever_they_are():
+    rng = np.random.default_rng(0)
+    h = rng.integers(0, 1 << 60, 300).astype(np.uint64)
+    h[150:280] = h[3:133]
+    runs = Runs(h)
+    for k in (1, 2, 3, 5, 8, 25, 50, 77):
+        every = runs.all(k)
+        assert (every[150 : 280 - k + 1] == every[3 : 133 - k + 1]).all() and len(set(every[:150].tolist())) == 150
+        assert (runs.some(np.arange(every.size), np.full(every.size, k)) == every).all()
+
+
 def expected(t):
     t = t or ""
     w = WORD.findall(t)
