@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.llm import mixing, packing, token_files
 from tessera.llm.store import materialize
 from tessera.llm.tokens import Encoder
-from tests.llm.conftest import WORD, odd_rows
+from tests.llm.conftest import WORD, odd_rows, thue_morse
 
 
 @given(st.lists(st.integers(0, 1000), min_size=1, max_size=9))
@@ -35,6 +35,40 @@ def test_mix_comes_near_its_targets(spark):
     assert ((got.taken - got.target).abs() <= 0.01 * got.target).all() and runs[0].copies.max() <= 2
 
 
+def same_rows(spark, n):
+    one = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a b c d e f").alias("text"), F.lit("s").alias("source"), "id")
+    other = spark.range(3000).select("id", F.lit("a b c d e f g h").alias("text")).select((F.col("id") + 5).alias("doc_id"), "text", F.lit("t").alias("source"), "id")
+    return one.unionByName(other).unionByName(spark.range(40).select(F.lit(2).cast("long").alias("doc_id"), F.lit("x y z").alias("text"), F.lit(None).cast("string").alias("source"), "id"))
+
+
+@pytest.mark.parametrize("share", [0.2, 0.45, 0.9])
+def test_rows_that_are_the_same(spark, share):
+    """Of a thousand rows with one id and text as many are taken as the target has room for; twice alike."""
+    docs = same_rows(spark, 1000)
+    for rows in (docs, docs.repartition(7)):
+        got = mixing.mix(rows, share=share, weights=(1, 3, 1)).groupBy("row.source").agg(F.first("target").alias("target"), F.sum(F.col("size") * F.col("copies")).alias("taken"), F.count("*").alias("n"), F.max("copies").alias("most"), F.max("size").alias("size")).collect()
+        assert {r.source: r.n for r in got} == {"s": 1000, "t": 3000, None: 40}
+        assert all(abs(r.taken - r.target) < max(r["size"], 0.01 * r.target) and r.taken <= r.target and r.most <= 2 for r in got), got
+
+
+def test_documents_larger_than_what_is_left(spark):
+    """The search goes on as long as something fits, however many documents are too large."""
+    sizes = [4000] * 30 + [1700] * 40 + [900] * 30 + [333] * 60 + [50] * 40 + [7] * 400
+    docs = spark.createDataFrame([(i, "x", "a", s) for i, s in enumerate(sizes)], "doc_id long, text string, source string, n long")
+    for share in (0.003, 0.03, 0.31, 0.62):
+        got = mixing.mix(docs, size=docs.n, share=share).agg(F.first("target").alias("target"), F.sum(F.col("size") * F.col("copies")).alias("taken")).first()
+        assert 0 <= got.target - got.taken <= max(0.002 * got.target, 7)
+
+
+def test_targets_of_many_sources(spark):
+    sizes = {f"s{i}": i * 7919 % 1000 for i in range(700)} | {None: 50, "": 3}
+    table = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5)
+    got = {r.source: r.target for r in mixing.many_targets(table, (5, 2, 1), 1.5, 2.0).collect()}
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    assert [got[s] for s in order] == pytest.approx(mixing.targets([sizes[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], 1.5, 2.0).tolist())
+    assert mixing.many_targets(table.where("false"), (1,), 1.5, 2.0).count() == 0
+
+
 def test_pareto_inclusion_goes_with_the_odds(spark):
     docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.when(F.col("id") % 10 == 0, "big").otherwise("small").alias("source"), F.when(F.col("id") % 2 == 0, 16).otherwise(1).alias("n"))
     got = mixing.mix(docs, size=docs.n, share=0.5, power=0.5).where("row.source = 'small'").groupBy("size").agg(F.avg("copies").alias("p")).collect()
@@ -63,6 +97,16 @@ def test_words_encode_as_whole_texts(tokenizer, ts):
         assert ids[at[i] : at[i + 1]].tolist() == want.tolist()
 
 
+def test_words_are_told_apart_by_their_bytes(tokenizer):
+    a, b = ("".join("ab"[x] for x in bits) for bits in thue_morse(1024))
+    ts = [a, b, f"x {a}", f"x {b}", "x" * 15, "x" * 16, "x" * 15 + "\x00", "x\x00", "x", "q" * 5000, "q" * 5000 + "r", " ".join(["w" * n for n in range(1, 40)])]
+    for kept in (4, 1 << 12):
+        e = Encoder(tokenizer, kept=kept)
+        for _ in range(2):
+            ids, at = e.encode(pa.array(ts))
+            assert [ids[p:q].tolist() for p, q in zip(at, at[1:])] == [x.tolist() for x in e.whole(ts)]
+
+
 _kept = {}
 
 
