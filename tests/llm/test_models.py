@@ -4,9 +4,11 @@ import re
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import collisions, lm, secrets
+from tessera.llm import collisions, lm, secrets, trigrams
 from tests.llm.conftest import WORD, odd_rows
 
 
@@ -114,13 +116,54 @@ def test_secret_spans(spark, odd, nothing):
     assert secrets.scan(nothing).count() == 0 and secrets.scan(odd).count() == len(odd_rows())
 
 
-def test_trigram_queries_and_index(spark):
-    assert secrets.trigram_query(secrets.BASE[1]) == [["aki", "kia"]] and secrets.trigram_query(secrets.BASE[2]) == []
-    rows = [(str(i), t) for i, t in enumerate(["a password b", "pass word ssw swo", "AKIA", "kia aki", "none", "api_key", "apikey", "api key"])]
+PUBLIC = [
+    (r"AIza[0-9A-Za-z_-]{35}", "AIza" + "b" * 35), (r"sk_live_[0-9a-zA-Z]{24}", "sk_live_" + "9" * 24), (r"npm_[A-Za-z0-9]{36}", "npm_" + "Q" * 36), (r"(?i)aws_secret|https?://", "HTTPS://x"), (r"https?://[^/\s]+:[^@\s]+@", "http://u:p@"),
+    (r"ya29\.[0-9A-Za-z_-]+", "ya29.abc"), (r"SG\.[\w-]{22}\.[\w-]{43}", "SG." + "a" * 22 + "." + "b" * 43), (r"(?:abc){2,}x?", "abcabcabc"), (r"\bkey\s*=", "key ="), (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "123-45-6789"), (r"[a-c][d-f]g", "aFg".lower()), (r"(ab|cd)+(?=e)ef", "abcdef"),
+]
+
+
+def test_trigrams_are_derived_from_patterns():
+    assert trigrams.query_of(secrets.ACCESS) == ("and", ("aki", "kia")) and trigrams.query_of(secrets.HEX) == trigrams.ALL == trigrams.query_of(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
+    assert {"ike", "_ke", "swo", "swd"} <= trigrams.trigrams_of(trigrams.query_of(secrets.ASSIGN))
+    for pattern, text in PUBLIC:
+        low = text.lower()
+        have, query = {low[i : i + 3] for i in range(len(low) - 2)}, trigrams.query_of(pattern)
+        assert re.search(pattern, text) and trigrams.meets(query, have) and (query == trigrams.ALL or trigrams.heads(query) & have), pattern
+    assert sum(trigrams.query_of(p) != trigrams.ALL for p, _ in PUBLIC) >= 10
+    assert trigrams.query_of("(") == trigrams.query_of("x[a[b]]yzw") == trigrams.query_of("a*") == trigrams.ALL  # beyond the parser, or nothing mandatory
+
+
+ATOMS = st.one_of(st.sampled_from(["a", "b", "C", "abc", "ca", "[ab]", "[^a]", ".", r"\w", "x?", "(ab|c)", "(?:bc)+", "(?i:cab)", "a{2,3}", "(?:a|bc)?", "^", "$", "é"]))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(ATOMS, min_size=1, max_size=6), st.text("abcCxé", max_size=14))
+def test_no_match_without_its_trigrams(atoms, text):
+    pattern, low = "".join(atoms), text.lower()
+    if re.search(pattern, text):
+        assert trigrams.meets(trigrams.query_of(pattern), {low[i : i + 3] for i in range(len(low) - 2)})
+
+
+def test_index(spark):
+    rows = [(str(i), t) for i, t in enumerate(["a password b", "pass word ssw swo", "AKIA", "kia aki", "none", "api_key", "apikey", "api key", "wor ord passw swo"])]
     docs = spark.createDataFrame(rows, "key string, text string")
     for n in (1, 100_000):  # one block, and many
         hits = {r.key: set(r.kinds) for r in secrets.candidates(docs, secrets.BASE, n).collect()}
-        assert hits == {"0": {"assign"}, "1": {"assign"}, "2": {"access"}, "3": {"access"}, "5": {"assign"}, "6": {"assign"}}
+        assert hits == {"0": {"assign"}, "1": {"assign"}, "2": {"access"}, "3": {"access"}, "5": {"assign"}, "6": {"assign"}, "8": {"assign"}}
+
+
+def test_rules_given_a_pattern_alone(spark):
+    rules = tuple(secrets.Rule(f"r{i}", p, 0) for i, (p, _) in enumerate(PUBLIC))
+    rows = [(i, f"x {t} y") for i, (_, t) in enumerate(PUBLIC)] + [(99, None), (98, "nothing")]
+    for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), rules).collect():
+        want = sorted((m.start(), i, m.end()) for i, (p, _) in enumerate(PUBLIC) for m in re.finditer(p, dict(rows)[r.row.doc_id] or ""))
+        assert [(s.start, s["rank"], s.end) for s in r.spans] == want, r
+
+
+def test_very_many_matches_in_a_text(spark):
+    text = " ".join(f"{i:016x}" for i in range(5000))
+    got = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans
+    assert [(s.start, s.end) for s in got] == [(17 * i, 17 * i + 16) for i in range(5000)]
 
 
 def test_redaction(spark):
