@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,171 +9,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import materialize, small_batches
-from tessera.llm.words import U64, _trim, mix, pieces, signed, split
+from tessera.llm.store import materialize
+from tessera.llm.words import U64, _trim, link, mix, pieces, split
 
-#: A word belongs to the shared vocabulary, and a pair of words has a probability of its own, if either corpus has it so often: both grow with the corpora.
-LEAST = 2
-#: What is taken from each count and given to pairs without one of their own.
-DISCOUNT = 0.5
-#: Distinct keys that a task counts before it hands them on.
-HELD = 2_000_000
-#: Bytes of text in a block: documents of a task whose words and pairs are counted, asked for and scored together.
+#: What the counts of a history have to say about the next word; the rest is left to the history shorter by a word.
+WEIGHT = 0.7
+#: Added to the count of each word of the shared vocabulary, and of the one event that stands for all other words.
+ADDED = 0.5
+#: Bytes of text in a block: documents of a task whose words and n-grams are counted, asked for and scored together.
 BLOCK_BYTES = 8 << 20
 #: A text's begin and end among the words' hashes.
 EDGE = U64(0x5DEECE66D1CE4E5B)
 #: What a block's texts count for: the target, the background, or neither, where they are only scored.
 TARGET, BACKGROUND, NEITHER = 0, 1, 2
-#: The part of rows that hold sums over a whole corpus; other parts are ranges of keys.
-SUMS = -1
-_ASKED = "block long, part int, keys binary, sums binary"
-_ANSWERED = "block long, part int, own binary, sums binary"
-
-
-
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    all_keys, all_counts = np.concatenate(keys), np.concatenate(counts)
-    own, which = np.unique(all_keys, return_inverse=True)
-    return own, np.bincount(which, weights=all_counts, minlength=own.size).astype(np.int64)
-
-
-def _counted(keys_of):
-    """A task's keys with their counts, combined before they are shuffled."""
-
-    def count(batches):
-        keys, counts, held = [], [], 0
-        for batch in batches:
-            for _, part in pieces(batch.column(0)):
-                own, n = np.unique(keys_of(part), return_counts=True)
-                keys.append(own)
-                counts.append(n)
-                held += own.size
-                if held > HELD:
-                    own, n = _merged(keys, counts)
-                    keys, counts, held = [own], [n], own.size
-                    if held > HELD // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], names=["key", "n"])
-                        keys, counts, held = [], [], 0
-        if keys:
-            own, n = _merged(keys, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], names=["key", "n"])
-
-    return count
-
-
-def _word_keys(part: pa.Array) -> np.ndarray:
-    return signed(split(part).hashes())
-
-
-@dataclass
-class Vocabulary:
-    """Hashes of the shared words, in order; the numbers after them stand for any other word, and for a text's begin and end."""
-
-    words: np.ndarray
-
-    @property
-    def unknown(self) -> int:
-        return self.words.size
-
-    @property
-    def edge(self) -> int:
-        return self.words.size + 1
-
-    @property
-    def size(self) -> int:
-        return self.words.size + 2
-
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        if not self.words.size:
-            return np.full(hashes.size, self.unknown, np.int64)
-        at = np.searchsorted(self.words, hashes)
-        at[at == self.words.size] = 0
-        return np.where(self.words[at] == hashes, at, self.unknown)
-
-    def pairs(self, part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs of neighbours of all texts, edges included, as first * size + second; and how many each text has, its words and one."""
-        w = split(part)
-        n = w.counts()
-        seq = np.full(int(n.sum()) + n.size + 1, self.edge, np.int64)
-        inside = np.ones(seq.size, bool)
-        inside[np.append(0, np.cumsum(n + 1))] = False
-        seq[inside] = self.numbers(w.hashes())
-        return seq[:-1] * self.size + seq[1:], n + 1
-
-
-@dataclass
-class Model:
-    """Losses of pairs under both models.
-
-    A pair with a probability of its own: (count - DISCOUNT) / count of its first word + what is left over for that word * p(second);
-    any other pair: the latter alone.  The background's counts are scaled to the target's size, so that both are discounted alike.
-    """
-
-    vocabulary: Vocabulary
-    pair: np.ndarray  # keys in order
-    pair_loss: np.ndarray  # a row per model: target, background
-    left_loss: np.ndarray  # per first word
-    word_loss: np.ndarray  # per second word
-
-    def losses(self, keys: np.ndarray) -> np.ndarray:
-        first, second = np.divmod(keys, self.vocabulary.size)
-        out = self.left_loss[:, first] + self.word_loss[:, second]
-        if self.pair.size:
-            at = np.searchsorted(self.pair, keys)
-            at[at == self.pair.size] = 0
-            own = self.pair[at] == keys
-            out[:, own] = self.pair_loss[:, at[own]]
-        return out
-
-
-def build(vocabulary: Vocabulary, keys: np.ndarray, counts: np.ndarray, firsts: np.ndarray, seconds: np.ndarray) -> Model:
-    """counts: a row per model for the pairs in keys; firsts, seconds: how often each word begins and ends a pair, whether the pair is in keys or not."""
-    size = vocabulary.size
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[:, order].astype(float)
-    total = seconds.sum(1)
-    scale = np.array([1.0, min(1.0, total[0] / max(total[1], 1)) if total[0] else 1.0])
-    counts, firsts, seconds = counts * scale[:, None], firsts * scale[:, None], seconds * scale[:, None]
-    word = (seconds + 0.5) / (seconds + 0.5).sum(1, keepdims=True)
-    first, second = np.divmod(keys, size)
-    held = np.maximum(counts - DISCOUNT, 0)
-    own = held / np.maximum(firsts, 1e-9)[:, first]
-    spent = np.stack([np.bincount(first, weights=own[m], minlength=size) for m in (0, 1)])
-    left = np.clip(1 - spent, 1e-6, 1)
-    pair = own + left[:, first] * word[:, second]
-    return Model(vocabulary, keys, -np.log(pair), -np.log(left), -np.log(word))
-
-
-def _counts(target: DataFrame, background: DataFrame, keys_of) -> DataFrame:
-    """key, t and b: counts in the target and in the background."""
-    parts = []
-    for corpus, t, b in ((target, F.col("n"), F.lit(0).cast("long")), (background, F.lit(0).cast("long"), F.col("n"))):
-        parts.append(corpus.mapInArrow(_counted(keys_of), "key long, n long").select("key", t.alias("t"), b.alias("b")))
-    return parts[0].unionByName(parts[1]).groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-
-
-def train(target: DataFrame, background: DataFrame, target_text: str = "text", background_text: str = "text") -> Model:
-    """Both models on the driver, from all texts of both corpora: for small ones.  cross_entropy_difference has the same losses without gathering a model."""
-    small_batches(target.sparkSession)
-    t = target.select(target[target_text].cast("string").alias("text"))
-    b = background.select(background[background_text].cast("string").alias("text"))
-    words = materialize(_counts(t, b, _word_keys), "words")
-    common = words.where((F.col("t") >= LEAST) | (F.col("b") >= LEAST))
-    vocabulary = Vocabulary(np.sort(common.select("key").toArrow().column(0).to_numpy().view(U64)))
-    pairs = materialize(_counts(t, b, lambda part: vocabulary.pairs(part)[0]), "pairs")
-    size = vocabulary.size
-
-    def margin(of) -> np.ndarray:
-        got = pairs.groupBy(of.alias("word")).agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow()
-        out = np.zeros((2, size))
-        at = got.column("word").to_numpy().astype(np.int64)
-        out[0, at], out[1, at] = got.column("t").to_numpy(), got.column("b").to_numpy()
-        return out
-
-    firsts = margin(F.floor((F.col("key") - F.pmod(F.col("key"), F.lit(size))) / size).cast("long"))
-    seconds = margin(F.pmod(F.col("key"), F.lit(size)))
-    own = pairs.where((F.col("t") >= LEAST) | (F.col("b") >= LEAST)).toArrow()
-    return build(vocabulary, own.column("key").to_numpy(), np.stack([own.column("t").to_numpy(), own.column("b").to_numpy()]), firsts, seconds)
+#: Kinds of rows: texts, a block's keys and counts, the sums over all blocks.
+TEXT, ASKED, ANSWERED = 0, 1, 2
+_ANSWER = "block long, part int, sums binary, words long"
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -195,25 +44,14 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found.dictionary.to_numpy(), found.indices.to_numpy()
 
 
-def _in_blocks(corpus: int, most: int):
-    """Deal a task's texts into blocks of about so many bytes."""
-
-    def deal(batches):
-        base, done, size = (corpus << 60) + (TaskContext.get().partitionId() << 30), 0, 0
-        for batch in batches:
-            for lo, part in pieces(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), base + done)), batch.column("row").slice(lo, len(part)), part], names=["block", "row", "text"])
-                size += part.nbytes
-                if size >= most:
-                    done, size = done + 1, 0
-
-    return deal
-
-
 class Block:
-    """A block's words and pairs: `words` and `keys` (of words and pairs) in order, pairs as places of their words in `words`, and the pair of each token."""
+    """The n-grams of a block's texts, of one word up to `order`.
+
+    A token is a word or a text's end; `tokens` has the number of each text.  `keys` are the n-grams in order, `counts` how often each occurs.  at[k] says for each token
+    which key the n-gram of k + 1 words that it ends is, -1 where the text has not begun so many words ago; before[k] the same for the history of k + 1 words before it.
+    """
 
-    def __init__(self, texts: list[pa.Array]):
+    def __init__(self, texts: list[pa.Array], order: int):
         hashes, counts = [], []
         for text in texts:
             for _, part in pieces(text):
@@ -222,41 +60,67 @@ class Block:
                 counts.append(w.counts())
         n = np.concatenate(counts)
         self.tokens = n + 1
-        seq = np.full(int(n.sum()) + n.size + 1, EDGE, U64)
+        ends = np.append(0, np.cumsum(n + 1))
+        seq = np.full(int(ends[-1]) + 1, EDGE, U64)
         inside = np.ones(seq.size, bool)
-        inside[np.append(0, np.cumsum(n + 1))] = False
+        inside[ends] = False
         seq[inside] = np.concatenate(hashes)
         del hashes, inside
-        words, at = _distinct(seq)
-        order = np.argsort(words)
-        self.words, rank = words[order], np.empty(order.size, np.int64)
-        rank[order] = np.arange(order.size)
-        at = rank[at]
-        self.uses = np.bincount(at[1:], minlength=self.words.size)
-        codes, self.pair = _distinct(at[:-1] * self.words.size + at[1:])
-        self.n = np.bincount(self.pair, minlength=codes.size)
-        self.first, self.second = np.divmod(codes, self.words.size)
-        pairs = mix(mix(self.words[self.first] + U64(1)) * U64(3) + self.words[self.second])
-        both = np.concatenate([self.words, pairs])
-        order = np.argsort(both)
-        both = both[order]
-        new = np.append(True, both[1:] != both[:-1])
-        self.keys, place = both[new], np.empty(order.size, np.int64)
-        place[order] = np.cumsum(new) - 1
-        self.word_at, self.pair_at = place[: self.words.size], place[self.words.size :]
-
-
-def _asked(block: int, keys: np.ndarray, sums: np.ndarray, bits: int):
-    """Rows that ask for the corpus' sums (a row of `sums` each) of sorted keys, one per range of keys."""
-    cut = np.searchsorted(keys, np.arange(1 << bits, dtype=U64) << U64(64 - bits))
-    for part, (lo, hi) in enumerate(zip(cut, np.append(cut[1:], keys.size))):
-        if hi > lo:
-            yield block, part, _planes(np.diff(keys[lo:hi], prepend=U64(0))), _planes(sums[:, lo:hi].reshape(-1))
-
-
-def _batch(rows: list, names: str) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in names.split(", ")])
+        self.text = np.repeat(np.arange(n.size), self.tokens)
+        since = np.arange(seq.size - 1) - ends[self.text] + 1  # tokens of the text up to this one
+        # the lowest bit tells words from longer n-grams
+        grams, run, valid = [(seq | U64(1))[1:]], seq, [np.ones(seq.size - 1, bool)]
+        for k in range(1, order):
+            run = link(run[:-1], seq[k:])  # the n-gram of k + 1 that begins at each place
+            ended = np.concatenate([np.zeros(k - 1, U64), run])
+            grams.append(mix(ended + U64(k)) & ~U64(1))
+            valid.append(since >= k)
+        found, which = _distinct(np.concatenate([g[v] for g, v in zip(grams, valid)]))
+        del grams, run, seq
+        by = np.argsort(found)
+        self.keys, rank = found[by], np.empty(by.size, np.int64)
+        rank[by] = np.arange(by.size)
+        which = rank[which]
+        self.counts = np.bincount(which, minlength=by.size)
+        self.at, lo = [], 0
+        for v in valid:
+            own = np.full(v.size, -1, np.int64)
+            m = int(v.sum())
+            own[v] = which[lo : lo + m]
+            self.at.append(own)
+            lo += m
+        edge = int(np.searchsorted(self.keys, EDGE | U64(1)))
+        first = since == 1
+        self.before = []
+        for k in range(order - 1):
+            own = np.append(-1, self.at[k][:-1])
+            own[first] = edge if k == 0 else -1
+            self.before.append(own)
+
+    def own(self, which: np.ndarray) -> np.ndarray:
+        """How often the n-gram of each token occurs in the token's text, as `which` says; 0 where there is none."""
+        _, place = _distinct(self.text * (self.keys.size + 1) + which + 1)
+        return np.where(which >= 0, np.bincount(place)[place], 0)
+
+    def losses(self, sums: np.ndarray, totals: np.ndarray, words: int, left_out: int | None) -> np.ndarray:
+        """The loss of each token under each model (a row); sums has the models' counts of the keys, totals their tokens, words the vocabulary's size.
+
+        left_out names the model whose corpus the texts are part of: a text's own counts are taken from it.
+        """
+        out = []
+        for m in range(2):
+            own = (lambda which: self.own(which)) if m == left_out else (lambda which: 0)  # noqa: B023
+            count = lambda which: np.where(which >= 0, sums[m][which], 0) - own(which)  # noqa: B023, E731
+            tokens = totals[m] - (np.repeat(self.tokens, self.tokens) if m == left_out else 0)
+            p = (count(self.at[0]) + ADDED) / (tokens + ADDED * (words + 1))
+            for k, before in enumerate(self.before):
+                seen = count(before)
+                # the history before a text's first word is its begin, as often as there are ends
+                here = np.where(self.at[k + 1] >= 0, count(self.at[k + 1]), 0)
+                known = (seen > 0) & (before >= 0)
+                p = np.where(known, WEIGHT * here / np.maximum(seen, 1) + (1 - WEIGHT) * p, p)
+            out.append(-np.log(p))
+        return np.stack(out)
 
 
 def _give_back() -> None:
@@ -283,139 +147,84 @@ def _runs(batches, column: str):
         yield current, held
 
 
-def _answer(columns: int, scale: float | None):
-    """Add up each key's sums over all blocks, and give every block those of its keys in their order; the first block with a key owns it.
+def _deal(corpus: int, order: int, bits: int, most: int, keep: bool):
+    """Deal a task's texts into blocks of about so many bytes; pass on the texts if keep, and after each block's what it asks for: its keys and counts, by ranges of keys."""
 
-    With a scale, what pairs of a rare and another word keep for themselves is added up as well.
-    """
+    def rows(block: int, n: int, row_type: pa.DataType, **columns) -> pa.RecordBatch:
+        types = {"kind": pa.int32(), "block": pa.int64(), "part": pa.int32(), "keys": pa.binary(), "counts": pa.binary(), "tokens": pa.int64(), "row": row_type, "text": pa.string()}
+        columns |= {"block": pa.array(np.full(n, block)), "kind": pa.array(np.full(n, columns["kind"], np.int32))}
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in types.items()], names=list(types))
+
+    def ask(block: int, texts: list[pa.Array], row_type: pa.DataType) -> pa.RecordBatch:
+        own = Block(texts, order)
+        cut = np.append(np.searchsorted(own.keys, np.arange(1 << bits, dtype=U64) << U64(64 - bits)), own.keys.size)
+        parts = np.flatnonzero(np.diff(cut))
+        keys = [_planes(np.diff(own.keys[cut[p] : cut[p + 1]], prepend=U64(0))) for p in parts]
+        counts = [_planes(own.counts[cut[p] : cut[p + 1]]) for p in parts]
+        tokens = np.zeros(parts.size, np.int64)
+        tokens[0] = own.tokens.sum()
+        return rows(block, parts.size, row_type, kind=ASKED, part=pa.array(parts, pa.int32()), keys=pa.array(keys, pa.binary()), counts=pa.array(counts, pa.binary()), tokens=pa.array(tokens))
+
+    def deal(batches):
+        block, held, size = (corpus << 60) + (TaskContext.get().partitionId() << 30), [], 0
+        for batch in batches:
+            row_type = batch.column("row").type
+            for lo, part in pieces(batch.column("text")):
+                if keep:
+                    yield rows(block, len(part), row_type, kind=TEXT, row=batch.column("row").slice(lo, len(part)), text=part)
+                held.append(part)
+                size += part.nbytes
+                if size >= most:
+                    yield ask(block, held, row_type)
+                    _give_back()
+                    block, held, size = block + 1, [], 0
+        if held:
+            yield ask(block, held, row_type)
+
+    return deal
+
+
+def _answer(wanted: int):
+    """Add up each key's counts over all blocks, and give the blocks of the wanted corpus the two corpora's sums of their keys, in their order; and how many words there are."""
 
     def answer(batches):
         for part, held in _runs(batches, "part"):
-            rows = [r for b in held for r in zip(b.column("block").to_pylist(), b.column("keys").to_pylist(), b.column("sums").to_pylist())]
-            if part == SUMS:
-                yield _batch([(0, SUMS, b"", np.sum([np.frombuffer(s, np.int64) for _, _, s in rows], axis=0).tobytes())], _ANSWERED)
-                continue
-            keys = [np.cumsum(_integers(k, U64), dtype=U64) for _, k, _ in rows]
+            blocks = np.concatenate([b.column("block").to_numpy() for b in held])
+            keys = [np.cumsum(_integers(k.as_py(), U64), dtype=U64) for b in held for k in b.column("keys")]
             sizes = np.array([k.size for k in keys])
             keys = np.concatenate(keys)
             order = np.argsort(keys, kind="stable")  # merges what is in order already
             new = np.append(True, np.diff(keys[order]) != 0)
-            which, owned = np.empty(keys.size, np.int64), np.zeros(keys.size, np.uint8)
+            which = np.empty(keys.size, np.int64)
             which[order] = np.cumsum(new) - 1
-            owned[order[new]] = 1
-            total = np.zeros((columns, int(new.sum())), np.int64)
-            del keys, order, new
+            is_word = (keys[order[new]] & U64(1)) == 1
+            del keys, order
+            total = np.zeros((2, is_word.size), np.int64)
             ends = np.cumsum(sizes)
-            for (_, _, s), lo, hi in zip(rows, ends - sizes, ends):
-                total[:, which[lo:hi]] += _integers(s).reshape(columns, -1)
-            for (block, _, _), lo, hi in zip(rows, ends - sizes, ends):
-                yield _batch([(block, part, np.packbits(owned[lo:hi]).tobytes(), _planes(total[:, which[lo:hi]].reshape(-1)))], _ANSWERED)
-            if scale is not None:
-                yield _batch([(0, SUMS - 1, b"", np.array(_spent(total[6], total[7], scale)).astype(np.int64).tobytes())], _ANSWERED)
+            counts = (c for b in held for c in b.column("counts"))
+            for block, c, lo, hi in zip(blocks >> 60, counts, ends - sizes, ends):
+                if block != NEITHER:
+                    total[block, which[lo:hi]] += _integers(c.as_py())  # a block has each key once
+            words = int((is_word & (total.sum(0) > 0)).sum())
+            for block, lo, hi in zip(blocks, ends - sizes, ends):
+                if block >> 60 == wanted:
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([part], pa.int32()), pa.array([_planes(total[:, which[lo:hi]].reshape(-1))], pa.binary()), pa.array([0])], names=["block", "part", "sums", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([part], pa.int32()), pa.array([b""], pa.binary()), pa.array([words])], names=["block", "part", "sums", "words"])
 
     return answer
 
 
-def _spent(t: np.ndarray, b: np.ndarray, scale: float) -> tuple:
-    """Of pairs that have a probability of their own: counts and numbers of those that keep something of it, in the target and in the background."""
-    kept = (t >= LEAST) | (b >= LEAST)
-    in_t, in_b = kept & (t > DISCOUNT), kept & (b * scale > DISCOUNT)
-    return t[in_t].sum(), in_t.sum(), b[in_b].sum(), in_b.sum()
-
-
-def _count(bits: int):
-    """Ask for the counts of each block's words and pairs."""
-
-    def count(batches):
-        for block, held in _runs(batches, "block"):
-            own, corpus = Block([b.column("text") for b in held]), int(block) >> 60
-            sums, tokens = np.zeros((2, own.keys.size), np.int64), np.zeros(2, np.int64)
-            if corpus != NEITHER:
-                sums[corpus, own.word_at], sums[corpus, own.pair_at] = own.uses, own.n
-                tokens[corpus] = own.tokens.sum()
-            yield _batch([*_asked(int(block), own.keys, sums, bits), (0, SUMS, b"", tokens.tobytes())], _ASKED)
-
-    return count
-
-
-def _answers(held: list, kind: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
-    """Who owns a block's keys, and their sums."""
-    owned, sums = [np.zeros(0, np.uint8)], [np.zeros((columns, 0), np.int64)]
-    for b in held:
-        for k, own, s in zip(b.column("kind").to_pylist(), b.column("own"), b.column("sums")):
-            if k == kind:
-                sums.append(_integers(s.as_py()).reshape(columns, -1))
-                owned.append(np.unpackbits(np.frombuffer(own.as_py(), np.uint8), count=sums[-1].shape[1]))
-    return np.concatenate(owned) == 1, np.concatenate(sums, axis=1)
-
-
-def _texts(held: list) -> list[pa.RecordBatch]:
-    found = [b.filter(pc.equal(b.column("kind"), 2)) for b in held]
-    return [b for b in found if len(b)]
-
-
-def _known(own: Block, counts: np.ndarray) -> np.ndarray:
-    return (counts[:, own.word_at] >= LEAST).any(0) | (own.words == EDGE)
-
-
-def _spend(bits: int, scale: float):
-    """Ask for what pairs take from each word: of pairs of known words, once for each pair; with a rare word as second or as first, their counts."""
-
-    def spend(batches):
-        for block, held in _runs(batches, "block"):
-            own, corpus = Block([b.column("text") for b in _texts(held)]), int(block) >> 60
-            owned, counts = _answers(held, 0, 2)
-            known, size = _known(own, counts), own.words.size
-            a, b = known[own.first], known[own.second]
-            sums = np.zeros((8, size))
-            t, g = counts[:, own.pair_at]
-            kept = a & b & owned[own.pair_at] & ((t >= LEAST) | (g >= LEAST))
-            for row, of, x in ((0, t, t > DISCOUNT), (2, g, g * scale > DISCOUNT)):
-                at = own.first[kept & x]
-                sums[row], sums[row + 1] = np.bincount(at, of[kept & x], size), np.bincount(at, minlength=size)
-            # number of known words, counts of rare words, pairs of two rare words
-            other, lone = np.zeros(5, np.int64), owned[own.word_at]
-            other[0] = (lone & known & (own.words != EDGE)).sum()
-            other[1:3] = counts[:, own.word_at[lone & ~known]].sum(1)
-            if corpus != NEITHER:
-                sums[4 + corpus] = np.bincount(own.first[a & ~b], own.n[a & ~b], size)
-                sums[6 + corpus] = np.bincount(own.second[~a & b], own.n[~a & b], size)
-                other[3 + corpus] = own.n[~a & ~b].sum()
-            yield _batch([*_asked(int(block), own.words[known], sums[:, known].astype(np.int64), bits), (0, SUMS, b"", other.tobytes())], _ASKED)
-
-    return spend
-
-
-def _rate(totals: np.ndarray, scale: float, other: np.ndarray, rare_spent: np.ndarray):
-    """Score a block's texts by the sums of its words and pairs."""
-    s = np.array([[1.0], [scale]])
-    rare, both = other[1:3, None] * s, other[3:5, None] * s
-    bottom = totals[:, None] * s + 0.5 * (other[0] + 2)
-    both_own = np.maximum(both - DISCOUNT, 0) * (other[3:5] >= LEAST).any()
-
-    def taken(x):
-        return np.stack([x[0] - DISCOUNT * x[1], x[2] * scale - DISCOUNT * x[3]])
-
-    rare_left = np.clip(1 - (taken(rare_spent[:, None].astype(float)) + both_own) / np.maximum(rare, 1e-9), 1e-6, 1)
+def _rate(order: int, totals: np.ndarray, words: int, left_out: int | None):
+    """Score a block's texts by the sums of its keys."""
 
     def rate(batches):
         for _, held in _runs(batches, "block"):
-            texts = _texts(held)
-            own = Block([b.column("text") for b in texts])
-            counts = _answers(held, 0, 2)[1]
-            known = _known(own, counts)
-            sums = np.zeros((8, own.words.size))
-            sums[:, known] = _answers(held, 1, 8)[1]
-            uses = np.where(known, counts[:, own.word_at] * s, rare)
-            word = (uses + 0.5) / bottom
-            before, after = (np.maximum(x * s - DISCOUNT, 0) * (x >= LEAST).any(0) for x in (sums[4:6], sums[6:8]))
-            left = np.where(known, np.clip(1 - (taken(sums) + before) / np.maximum(uses, 1e-9), 1e-6, 1), rare_left)
-            pairs = counts[:, own.pair_at]
-            f, g = own.first, own.second
-            kept = np.maximum(pairs * s - DISCOUNT, 0) * (pairs >= LEAST).any(0)
-            taking = np.where(known[f], np.where(known[g], kept, before[:, f]), np.where(known[g], after[:, g], both_own))
-            loss = -np.log(taking / np.maximum(uses, 1e-9)[:, f] + left[:, f] * word[:, g])
-            mean = np.stack([np.add.reduceat(x[own.pair], np.cumsum(own.tokens) - own.tokens) for x in loss]) / own.tokens
+            texts = [b.filter(pc.equal(b.column("kind"), TEXT)) for b in held]
+            texts = [b for b in texts if len(b)]
+            own = Block([b.column("text") for b in texts], order)
+            sums = [_integers(s.as_py()).reshape(2, -1) for b in held for s in b.column("sums") if s.is_valid]
+            losses = own.losses(np.concatenate(sums, 1), totals, words, left_out)
+            mean = np.add.reduceat(losses, np.cumsum(own.tokens) - own.tokens, axis=1) / own.tokens
             lo = 0
             for b in texts:
                 n, m = own.tokens[lo : lo + len(b)], mean[:, lo : lo + len(b)]
@@ -425,49 +234,45 @@ def _rate(totals: np.ndarray, scale: float, other: np.ndarray, rare_spent: np.nd
     return rate
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: DataFrame | None = None, text_col: str = "text", target_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: DataFrame | None = None, order: int = 2, text_col: str = "text", target_text: str = "text", block_bytes: int = BLOCK_BYTES, part_bits: int | None = None) -> DataFrame:
     """Score every document: `row` (struct of its columns other than the text), `n_tokens` (words and the text's end), the mean loss a token under each model, in
     nats, and `score`, target loss less background loss: the lower, the more like the target.
 
-    The models are those of train(), word bigrams over one vocabulary; the background is `docs` itself unless given.  They grow with the corpora: every word and pair
-    that occurs LEAST times counts, and no task or driver holds them.  Texts are dealt into blocks.  Each block asks for the sums of its own words and pairs, ranges of keys
-    add them up, and each block gets an answer for each of its keys; a hot key comes once from a block.  The driver sees a few sums.
+    Both models are n-grams of `order` words over one vocabulary, all words of both corpora, smoothed alike: what a history's counts say of the next word, by WEIGHT,
+    and what the history shorter by a word says; a word's own probability is (count + ADDED) / (tokens + ADDED * (words + 1)), that of any word outside the vocabulary
+    that of a word without a count.  Weights are the same for both and go by relative counts, so corpora of different sizes are matched.  The background is `docs` itself
+    unless given; then a document's own counts are left out of the model that scores it, so that each is scored by the others.
+
+    Every word and n-gram counts, however rare, and no task or driver holds the models, which grow with the corpora.  Texts are dealt into blocks of block_bytes.  Each block
+    asks for the sums of its own n-grams, 2 ** part_bits ranges of keys add them up, and each block is answered; a hot key comes once from a block.  The driver sees three sums.  A row
+    holds what a block asks of a range, so at hundreds of TB larger blocks (and executors) keep those rows few.
 
-    Null or empty texts have one token, their end; an empty target makes both models the same up to smoothing; repeated rows score alike; an empty table gives an empty one.
+    Null or empty texts have one token, their end; very long texts are a block each and whole; repeated rows score alike, each as the others' copy; an empty target has no counts, so
+    it predicts all words alike; an empty table gives an empty one.
     """
-    small_batches(docs.sparkSession)
 
-    def dealt(kind: int, df: DataFrame, text: str, row) -> DataFrame:
+    def dealt(kind: int, df: DataFrame, text: str, row, keep: bool) -> DataFrame:
         src = df.select(row.alias("row"), df[text].cast("string").alias("text"))
-        return materialize(src.mapInArrow(_in_blocks(kind, block_bytes), f"block long, row {src.schema['row'].dataType.simpleString()}, text string"), "blocks")
+        return src.mapInArrow(_deal(kind, order, bits, block_bytes, keep), f"kind int, block long, part int, keys binary, counts binary, tokens long, row {src.schema['row'].dataType.simpleString()}, text string")
 
+    corpora = [(BACKGROUND if background is None else NEITHER, docs, text_col), (TARGET, target, target_text)] + ([] if background is None else [(BACKGROUND, background, text_col)])
+    if part_bits is None:
+        size = sum(df.agg(F.coalesce(F.sum(F.octet_length(df[text])), F.lit(0))).first()[0] for _, df, text in corpora)
+        part_bits = (size // block_bytes // 2).bit_length()
+    bits = max(4, part_bits)
     row = F.struct(*[docs[c] for c in docs.columns if c != text_col])
-    corpus = BACKGROUND if background is None else NEITHER
-    scored = dealt(corpus, docs, text_col, row)
-    texts = scored.select("block", "text").unionByName(dealt(TARGET, target, target_text, F.lit(0)).select("block", "text"))
-    if background is not None:
-        texts = texts.unionByName(dealt(BACKGROUND, background, text_col, F.lit(0)).select("block", "text"))
-    bits = max(4, (texts.select("block").distinct().count() // 2).bit_length())
-
-    def answered(asked: DataFrame, columns: int, scale: float | None, label: str) -> DataFrame:
-        by_part = asked.repartition("part").sortWithinPartitions("part", "block")
-        return materialize(by_part.mapInArrow(_answer(columns, scale), _ANSWERED), label)
-
-    def sums(of: DataFrame, part: int, size: int) -> np.ndarray:
-        got = [np.frombuffer(r[0], np.int64) for r in of.where(F.col("part") == part).select("sums").collect()]
-        return np.sum(got, axis=0) if got else np.zeros(size, np.int64)
-
-    def with_answers(of: DataFrame, *answers: DataFrame) -> DataFrame:
-        out = of.select("block", F.lit(2).alias("kind"), F.lit(0).alias("part"), *[c for c in of.columns if c != "block"])
-        for kind, one in enumerate(answers):
-            out = out.unionByName(one.where("part >= 0").select("block", F.lit(kind).alias("kind"), "part", "own", "sums"), allowMissingColumns=True)
-        return out.repartition("block").sortWithinPartitions("block", "kind", "part")
-
-    counts = answered(texts.repartition("block").sortWithinPartitions("block").mapInArrow(_count(bits), _ASKED), 2, None, "counts")
-    totals = sums(counts, SUMS, 2)
-    scale = min(1.0, totals[0] / max(totals[1], 1)) if totals[0] else 1.0
-    spent = answered(with_answers(texts, counts).mapInArrow(_spend(bits, scale), _ASKED), 8, scale, "spent")
-    rate = _rate(totals, scale, sums(spent, SUMS, 5), sums(spent, SUMS - 1, 4))
-    own = [a.where(F.shiftright("block", 60) == corpus) for a in (counts, spent)]
-    kind = scored.schema["row"].dataType.simpleString()
-    return with_answers(scored, *own).mapInArrow(rate, f"row {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    corpus = corpora[0][0]
+    own = materialize(dealt(corpus, docs, text_col, row, True), "blocks")
+    columns = ["block", "part", "keys", "counts", "tokens"]
+    asked = own.where(F.col("kind") == ASKED).select(*columns)
+    for kind, df, text in corpora[1:]:
+        asked = asked.unionByName(materialize(dealt(kind, df, text, F.lit(0), False).select(*columns), "asked"))
+    got = {r[0]: r[1] for r in asked.groupBy(F.shiftright("block", 60)).agg(F.sum("tokens")).collect()}
+    totals = np.array([got.get(TARGET, 0), got.get(BACKGROUND, 0)])
+    answers = materialize(asked.drop("tokens").repartition("part").sortWithinPartitions("part", "block").mapInArrow(_answer(corpus), _ANSWER), "answers")
+    words = answers.where("block = -1").agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    texts = own.where(F.col("kind") == TEXT).select("block", "kind", "part", "row", "text")
+    both = texts.unionByName(answers.where("block >= 0").select("block", F.lit(ANSWERED).alias("kind"), "part", "sums"), allowMissingColumns=True)
+    both = both.repartition("block").sortWithinPartitions("block", "kind", "part")
+    kind = own.schema["row"].dataType.simpleString()
+    return both.mapInArrow(_rate(order, totals, words, BACKGROUND if background is None else None), f"row {kind}, n_tokens long, target_loss double, background_loss double, score double")

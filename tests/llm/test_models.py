@@ -12,66 +12,71 @@ from tessera.llm import collisions, lm, secrets, trigrams
 from tests.llm.conftest import WORD, odd_rows
 
 
-def test_losses_are_those_of_the_counts(spark):
-    target, back = ["a b a b c", "a b"], ["c c c d", "b a d c", "a b c d e"]
-    df = lambda ts: spark.createDataFrame([(t,) for t in ts], "text string")
-    model = lm.train(df(target), df(back))
-    size = model.vocabulary.size
-    for first in range(size):
-        assert np.allclose(np.exp(-model.losses(first * size + np.arange(size))).sum(1), 1)
-
-    words = collections.Counter(w for t in target for w in t.split()), collections.Counter(w for t in back for w in t.split())
-    shared = {w for c in words for w in c if c[w] >= 2}
-
-    def pairs(texts):
-        out = collections.Counter()
+def models(target, back, order):
+    """By brute force: counts of n-grams, each text between marks, and the probability of a word after a history."""
+    grams = []
+    for texts in (target, back):
+        c = collections.Counter()
         for t in texts:
-            seq = ["<>", *(w if w in shared else "?" for w in t.split()), "<>"]
-            out.update(zip(seq, seq[1:]))
-        return out
-
-    counts = [pairs(target), pairs(back)]
-    own = {p for c in counts for p in c if c[p] >= 2}
-    scale = [1.0, min(1.0, sum(counts[0].values()) / sum(counts[1].values()))]
-
-    def loss(m, first, second):
-        c = {p: n * scale[m] for p, n in counts[m].items()}
-        ends = collections.Counter()
-        for (_, b), n in c.items():
-            ends[b] += n
-        events = [*shared, "?", "<>"]
-        word = (ends[second] + 0.5) / (sum(ends.values()) + 0.5 * len(events))
-        total = sum(n for (a, _), n in c.items() if a == first)
-        held = {p: max(c.get(p, 0) - lm.DISCOUNT, 0) / total if total else 0 for p in own if p[0] == first}
-        return -math.log(held.get((first, second), 0) + max(1 - sum(held.values()), 1e-6) * word)
-
-    docs = spark.createDataFrame([(1, "a b zzz c", "k"), (2, None, "k"), (3, "", "k")], "doc_id long, text string, score string")
-    for r in lm.cross_entropy_difference(docs, df(target), df(back)).collect():
-        text = {1: "a b zzz c"}.get(r.row.doc_id, "")
-        seq = ["<>", *(w if w in shared else "?" for w in text.split()), "<>"]
-        want = [np.mean([loss(m, a, b) for a, b in zip(seq, seq[1:])]) for m in (0, 1)]
-        assert (r.n_tokens, r.row.score) == (len(seq) - 1, "k")
-        assert r.target_loss == pytest.approx(want[0]) and r.background_loss == pytest.approx(want[1]) and r.score == pytest.approx(want[0] - want[1])
+            seq = ["<>", *WORD.findall(t or ""), "<>"]
+            for i in range(1, len(seq)):
+                c.update(tuple(seq[j : i + 1]) for j in range(max(0, i - order + 1), i + 1))
+        grams.append(c)
+    words = {g for c in grams for g in c if len(g) == 1}
+
+    def p(m, history, word, less):
+        count = lambda g: grams[m][g] - less[g]
+        if not history:
+            tokens = sum(n for g, n in grams[m].items() if len(g) == 1) - sum(n for g, n in less.items() if len(g) == 1)
+            return (count((word,)) + lm.ADDED) / (tokens + lm.ADDED * (len(words) + 1))
+        lower = p(m, history[1:], word, less)
+        return lm.WEIGHT * count((*history, word)) / count(history) + (1 - lm.WEIGHT) * lower if count(history) > 0 else lower
+
+    return words, p
+
+
+def losses(target, back, order, text, left_out):
+    words, p = models(target, back, order)
+    less = [collections.Counter(), collections.Counter()]
+    seq = ["<>", *WORD.findall(text or ""), "<>"]
+    if left_out:
+        for i in range(1, len(seq)):
+            less[1].update(tuple(seq[j : i + 1]) for j in range(max(0, i - order + 1), i + 1))
+    return len(seq) - 1, *[np.mean([-math.log(p(m, tuple(seq[max(0, i - order + 1) : i]), seq[i], less[m])) for i in range(1, len(seq))]) for m in (0, 1)]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_losses_are_those_of_the_counts(spark, order):
+    target, back = ["a b a b c", "a b", None], ["c c c d", "b a d c", "a b c d e", "a b c d e", "", "only here", "a"]
+    df = lambda ts: spark.createDataFrame([(i, t, "k") for i, t in enumerate(ts)], "doc_id long, text string, score string").repartition(3)
+    words, p = models(target, back, order)
+    for history in ((), ("a",), ("zzz",), ("a", "b"))[: order + 1]:
+        for m in (0, 1):
+            every = sum(p(m, history[-(order - 1) :] if order > 1 else (), w, collections.Counter()) for (w,) in [*words, ("zzz",)])
+            assert every == pytest.approx(1)
+    shown = ["a b zzz c", None, "", "c d e a b", "b", *back]
+    for r in lm.cross_entropy_difference(df(shown), df(target), df(back), order=order).collect():
+        want = losses(target, back, order, shown[r.row.doc_id], False)
+        assert (r.n_tokens, r.target_loss, r.background_loss, r.score) == pytest.approx((*want, want[1] - want[2])) and r.row.score == "k"
+    for r in lm.cross_entropy_difference(df(back), df(target), order=order, block_bytes=1).collect():
+        assert (r.n_tokens, r.target_loss, r.background_loss) == pytest.approx(losses(target, back, order, back[r.row.doc_id], True))
 
 
 def test_rare_words_and_pairs_count_in_large_corpora(spark):
     rng = np.random.default_rng(5)
     passages = [f"rare{i} w{i} w{2 * i} seldom{i} once{i % 3}" for i in range(40)]
-    texts = [" ".join(f"w{int(w)}" for w in rng.zipf(1.3, 3000) % 4000) for _ in range(400)]  # 1.2 million words: two are fewer than 2e-6 of them
+    texts = [" ".join(f"w{int(w)}" for w in rng.zipf(1.3, 1000) % 4000) for _ in range(200)]
     back = [f"{t} {passages[i % 40]}" if i < 80 else t for i, t in enumerate(texts)]
     target = [" ".join(f"w{int(w)}" for w in rng.integers(0, 900, 50)) for _ in range(300)] + [None, "", "lonely1 lonely2", "lonely1 lonely3"]
     df = lambda ts: spark.createDataFrame([(i, t) for i, t in enumerate(ts)], "doc_id long, text string").repartition(3)
-    shown = [*passages, None, "", "new1 new2 w3 rare1 new4", *target[:20], texts[100]]
-    model = lm.train(df(target), df(back))
-    got = {r.row.doc_id: r for r in lm.cross_entropy_difference(df(shown), df(target), df(back), block_bytes=1 << 20).collect()}
-    for i, t in enumerate(shown):
-        want = model.losses(model.vocabulary.pairs(lm.pa.array([t], lm.pa.string()))[0]).mean(1)
-        assert (got[i].target_loss, got[i].background_loss) == pytest.approx(tuple(want)), t
-    own = {r.row.doc_id: r for r in lm.cross_entropy_difference(df(back), df(target), block_bytes=1 << 20).collect()}
-    for i in (0, 79, 80, 399):
-        assert own[i].score == pytest.approx(np.subtract(*model.losses(model.vocabulary.pairs(lm.pa.array([back[i]]))[0]).mean(1)))
-    got = {r.row.doc_id: r for r in lm.cross_entropy_difference(df(shown), df(back), df(target)).collect()}
-    assert all(got[i].target_loss < 6 for i in range(40))  # each passage occurs twice
+    shown = [*passages, None, "new1 new2 w3 rare1 new4", target[3]]
+    got = {r.row.doc_id: r for r in lm.cross_entropy_difference(df(shown), df(target), df(back), block_bytes=1 << 18, part_bits=7).collect()}
+    for i in (0, 39, 40, 41, 42):
+        assert (got[i].target_loss, got[i].background_loss) == pytest.approx(losses(target, back, 2, shown[i], False)[1:])
+    twice = ["unheard " + " ".join(f"x{i}y{j}" for j in range(30)) for i in range(5)]
+    once = ["unseen " + " ".join(f"q{i}z{j}" for j in range(30)) for i in range(5)]
+    own = {r.row.doc_id: r.background_loss for r in lm.cross_entropy_difference(df([*twice, *twice, *once, *back]), df(target)).collect()}
+    assert max(own[i] for i in range(10)) + 3 < min(own[i] for i in range(10, 15))  # what occurs twice is known, what occurs once is not
 
 
 def test_scores_tell_the_target(spark, sf):
