@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import small_batches
+
 from tessera.llm.tokens import PIECE_BYTES, encoder
 from tessera.llm.words import pieces
 
@@ -102,7 +102,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 1, li
 
     Null or empty texts have the end id alone; null ids stay null; repeated rows are packed once each; an empty table has no pieces.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     out = rows.mapInArrow(_pack(tokenizer, end, capacity, linear, quadratic, with_tokens), PIECE_SCHEMA)
     return out if with_tokens else out.drop("tokens")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import small_batches
+
 from tessera.llm.words import U64, Words, grams, mix, pieces, span_hashes, split
 
 #: The characters that the rules count as symbols.
@@ -128,7 +128,6 @@ def _count(batches):
 
 def with_counts(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """`row` (struct of the input's columns, or of those in keep) and COUNTS, for each document; whole texts, one pass, no shuffle."""
-    small_batches(docs.sparkSession)
     row = F.struct(*[docs[c] for c in (keep or docs.columns)]).alias("row")
     src = docs.select(row, docs[text_col].cast("string").alias("text"))
     schema = src.schema["row"].dataType

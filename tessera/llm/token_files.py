@@ -40,17 +40,19 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 0, encod
     encoding: "dictionary" (ids as indexes into each row group's dictionary, bit-packed) or "delta" (DELTA_BINARY_PACKED, for vocabularies
     beyond a dictionary page).  doc_id, part and counts are delta encoded; a reader of those alone touches no token page.
 
-    Null or empty texts have the end id alone; null ids come first; rows with equal ids are ordered by text; an empty table writes a file without rows.
+    Null or empty texts have the end id alone; null ids come first; rows with equal ids are ordered by a hash of the text and may go to several files; very long texts are one row each; an empty table writes a file without rows.
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"encoding is dictionary or delta, not {encoding}")
-    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    ids = ordered.mapInArrow(_encode(tokenizer, end), FILE_SCHEMA)
+    # rows with one id, and copies of one text among them, can go to several files too
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("at", F.monotonically_increasing_id())
+    ordered = rows.repartitionByRange("doc_id", "tie", "at").sortWithinPartitions("doc_id", "tie", "at")
+    ids = ordered.select("doc_id", "text").mapInArrow(_encode(tokenizer, end), FILE_SCHEMA)
     out = ids.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 1).option("parquet.writer.version", "v2").option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE).option("parquet.page.row.count.limit", PAGE_ROWS)
     out = out.option("parquet.enable.dictionary", "false").option("parquet.enable.dictionary#tokens.list.element", str(encoding == "dictionary").lower())
-    out.parquet(path)
+    with small_batches(docs.sparkSession):
+        out.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:

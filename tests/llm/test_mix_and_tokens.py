@@ -1,5 +1,6 @@
 import collections
 import glob
+import itertools
 import zlib
 
 import numpy as np
@@ -124,11 +125,8 @@ def test_token_files_round_trip(odd, nothing, spark, tokenizer, tmp_path):
     token_files.write_tokens(odd, path, tokenizer, 0)
     rows = token_files.with_start(token_files.checksums(token_files.read_tokens(spark, path)), token_files.read_tokens(spark, path)).collect()
     rows.sort(key=lambda r: r.start)
-    order = sorted(want(tokenizer, 0), key=lambda x: (x[0] is not None, x[0] or 0, x[2] is not None, x[2] or ""))
-    at = 0
-    for r, (doc_id, ids, _) in zip(rows, order, strict=True):
-        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc_id, at, len(ids), zlib.crc32(ids.tobytes()))
-        at += len(ids)
+    assert [r.doc_id or -1 for r in rows] == sorted(r.doc_id or -1 for r in rows) and [r.start for r in rows] == [0, *itertools.accumulate(r.n_tokens for r in rows)][:-1]
+    assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == collections.Counter((doc_id, len(ids), zlib.crc32(ids.tobytes())) for doc_id, ids, _ in want(tokenizer, 0))
     assert token_files.token_table(nothing, tokenizer).count() == 0
 
 
