@@ -2,46 +2,83 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import erf, sqrt
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a block, each of which is an index of its own, and queries that meet it at a time.
-BLOCK, QUERIES = 8192, 1024
+from tessera.llm.store import materialize
 
-RESULT = "query_id long, vec_id long, score double"
+#: Vectors of a block, each of which has its part of the sorted projections; the blocks there are at most, so that their bounds (1 KB each) fit everywhere: beyond, blocks grow.
+BLOCK, MOST_BLOCKS = 8192, 1 << 15
+#: Vectors from which the quantiles are taken that cells are cut by, those of least hash, at most; every vector is indexed.
+SAMPLE = 4096
+#: Functions that the order of vectors goes by, and levels of each, in bits.
+CELL_FUNCTIONS, CELL_BITS = 10, 6
 
+RESULT = "query_id long, vec_id long, score double, verified long"
 
-class Index:
-    """Sorted projections of a block of vectors.
 
-    Inner products become distances by one more coordinate, sqrt(M ** 2 - |x| ** 2) with M the block's largest norm: the nearest to (q, 0) scaled to M has
-    the largest inner product with q.  For each of `functions` random directions the projections are sorted.  A query counts, per vector, the
-    functions in which the vector lies in the window around the query's projection; both distances and windows are in units of the projection, so a vector at distance d is
-    in a window of half-width h with probability P(|N(0, 1)| <= h / d).
+@dataclass(frozen=True)
+class Family:
+    """The functions of an index: `functions` random directions, the largest norm of all vectors, and how wide windows and how many collisions are asked for.
+
+    Inner products become distances by one more coordinate, sqrt(most ** 2 - |x| ** 2): the nearest to (q, 0) scaled to `most` has the largest inner product with q.
+    A vector at distance d is in a window of half-width h around the query's projection with probability P(|N(0, 1)| <= h / d).
     """
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, functions: int = 128, reach: float = 1.28, slack: float = 1.9, grow: float = 1.6, seed: int = 5):
+    most: float
+    functions: int = 128
+    reach: float = 1.28
+    slack: float = 1.9
+    grow: float = 1.6
+    seed: int = 5
+
+    @property
+    def threshold(self) -> int:
+        p = erf(self.reach / sqrt(2))
+        return max(1, int(np.ceil(self.functions * p - self.slack * sqrt(self.functions * p * (1 - p)))))
+
+    def directions(self, dim: int) -> np.ndarray:
+        return np.random.default_rng([self.seed, dim]).normal(size=(dim + 1, self.functions))
+
+    def shadows(self, x: np.ndarray) -> np.ndarray:
+        """Projections of vectors, a row each."""
+        d = self.directions(x.shape[1])
+        return x @ d[:-1] + np.sqrt(np.maximum(self.most**2 - np.einsum("ij,ij->i", x, x), 0))[:, None] * d[-1]
+
+    def query_shadows(self, q: np.ndarray) -> np.ndarray:
+        return (q @ self.directions(q.shape[1])[:-1]) * (self.most / np.sqrt(np.einsum("ij,ij->i", q, q)))[:, None]
+
+    def far(self, q: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """The distance of a vector with this inner product from each query; infinite where there is none (-inf)."""
+        with np.errstate(invalid="ignore"):
+            out = np.sqrt(np.maximum(2 * self.most**2 - 2 * self.most * score / np.sqrt(np.einsum("ij,ij->i", q, q)), 0))
+        return np.where(np.isfinite(score), out, np.inf)
+
+
+class Index:
+    """Sorted projections of a block of vectors."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, family: Family):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], np.ascontiguousarray(x[order], dtype=np.float64)
-        norm = np.sqrt(np.einsum("ij,ij->i", self.x, self.x))
-        self.most = float(norm.max())
-        tail = np.sqrt(np.maximum(self.most**2 - norm**2, 0))
-        self.directions = np.random.default_rng(seed).normal(size=(x.shape[1] + 1, functions))
-        shadow = self.x @ self.directions[:-1] + tail[:, None] * self.directions[-1]
+        self.family, self.ids, self.x = family, ids[order], np.ascontiguousarray(x[order], dtype=np.float64)
+        shadow = family.shadows(self.x)
         by = np.argsort(shadow, axis=0, kind="stable")
         self.sorted = np.take_along_axis(shadow, by, 0).T.copy()
         rank = np.empty_like(by)
         np.put_along_axis(rank, by, np.arange(len(ids))[:, None], 0)
         self.rank = rank.T.astype(np.uint16 if len(ids) < 1 << 16 else np.uint32).copy()  # a vector is in a window if its rank is
-        self.reach, self.grow = reach, grow
-        p = erf(reach / sqrt(2))
-        self.threshold = max(1, int(np.ceil(functions * p - slack * sqrt(functions * p * (1 - p)))))
 
-    def _counts(self, shadow: np.ndarray, half: np.ndarray) -> np.ndarray:
+    def bounds(self) -> np.ndarray:
+        """The least and the largest projection by each function: a vector of the block is in no window beyond them."""
+        return np.concatenate([self.sorted[:, 0], self.sorted[:, -1]])
+
+    def counts(self, shadow: np.ndarray, half: np.ndarray) -> np.ndarray:
         """Collisions of each query (its projections, a row) with each vector in windows of its half-width."""
         kind = self.rank.dtype
         out = np.zeros((shadow.shape[0], self.ids.size), np.uint8 if shadow.shape[1] < 256 else np.uint16)
@@ -54,77 +91,185 @@ class Index:
             np.add(out, inside, out=out, casting="unsafe")
         return out
 
-    def search(self, ids: np.ndarray, q: np.ndarray, k: int, at_a_time: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query id, vector id, inner product) of the k nearest found for each query, nearest first, ties to the smaller id.
+    def search(self, ids: np.ndarray, q: np.ndarray, k: int, bound: np.ndarray | None = None, at_a_time: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(query id, vector id, inner product) of the k nearest found for each query, nearest first, ties to the smaller id; and how many vectors each query was verified against.
 
-        Virtual rehashing: windows start narrow and widen, per query, until they are `reach` times as wide as the distance of the k-th nearest so far,
-        or hold everything.  Vectors whose collisions reach the threshold are verified by their inner product, each once.
+        Virtual rehashing: windows start narrow and widen, per query, until they are `reach` times as wide as the distance of the k-th nearest so far (here, or
+        elsewhere with the inner product `bound`), or hold everything.  Vectors whose collisions reach the threshold are verified by their inner product, each once.
         """
         found: list[tuple] = []
-        q = np.ascontiguousarray(q, dtype=np.float64)
-        norm = np.sqrt(np.einsum("ij,ij->i", q, q))
+        verified_of = np.zeros(ids.size, np.int64)
+        f, q = self.family, np.ascontiguousarray(q, dtype=np.float64)
+        bound = np.full(ids.size, -np.inf) if bound is None else bound
         for lo in range(0, ids.size, at_a_time):
             own = slice(lo, lo + at_a_time)
-            shadow = (q[own] @ self.directions[:-1]) * (self.most / norm[own])[:, None]
+            shadow, worst = f.query_shadows(q[own]), bound[own].copy()
             n = shadow.shape[0]
-            verified = np.zeros((n, self.ids.size), bool)
+            verified = self.ids[None, :] == ids[own][:, None]  # a query is no neighbour of its own
+            others = self.ids.size - verified.sum(1)
             best_at, best = [np.zeros(0, np.int64)] * n, [np.zeros(0)] * n
-            half, todo = np.full(n, self.most * 0.6), np.arange(n)
-            for i in range(n):
-                verified[i] = self.ids == ids[lo + i]  # a query is no neighbour of its own
+            limit = f.reach * f.far(q[own], worst)
+            half, todo = np.minimum(f.most * 0.6, np.maximum(limit, 1e-12)), np.arange(n)
             while todo.size:
-                counts = self._counts(shadow[todo], half[todo])
-                go = []
+                counts = self.counts(shadow[todo], half[todo])
                 for i, c in zip(todo, counts):
-                    new = np.flatnonzero((c >= self.threshold) & ~verified[i])
+                    new = np.flatnonzero((c >= f.threshold) & ~verified[i])
                     if new.size:
                         verified[i, new] = True
                         score = np.einsum("ij,j->i", self.x[new], q[lo + i])
-                        at, score = np.append(best_at[i], new), np.append(best[i], score)
+                        close = score >= worst[i]
+                        at, score = np.append(best_at[i], new[close]), np.append(best[i], score[close])
                         if at.size > k:  # ids are sorted, so places break ties as ids do
                             kept = np.lexsort((at, -score))[:k]
                             at, score = at[kept], score[kept]
                         best_at[i], best[i] = at, score
-                    if half[i] > 4 * self.most:  # no two points are farther than 2 M, and windows for 3 of 4 sigma hold all that count
-                        continue
-                    if best[i].size < k:
-                        half[i] *= self.grow
-                        go.append(i)
-                        continue
-                    far = sqrt(max(2 * self.most**2 - 2 * self.most * best[i].min() / norm[lo + i], 0.0))
-                    if half[i] < self.reach * far:
-                        half[i] = min(half[i] * self.grow, self.reach * far)
-                        go.append(i)
-                todo = np.array(go, dtype=np.int64)
+                        if at.size >= k:
+                            worst[i] = max(worst[i], score.min())
+                limit = f.reach * f.far(q[own], worst)
+                # no two points are farther than 2 most apart, and windows for 3 of 4 sigma hold all that count
+                go = (half[todo] < limit[todo]) & (half[todo] <= 4 * f.most)
+                todo = todo[go]
+                half[todo] = np.minimum(half[todo] * f.grow, np.maximum(limit[todo], half[todo]))
             for i in range(n):
-                if best[i].size < min(k, self.ids.size - int((self.ids == ids[lo + i]).sum())):  # fewer than k in sight: all of a small block
+                if not np.isfinite(worst[i]) and best[i].size < min(k, others[i]):  # fewer than k in sight: all of a small block
                     rest = np.flatnonzero(~verified[i])
+                    verified[i, rest] = True
                     best_at[i], best[i] = np.append(best_at[i], rest), np.append(best[i], np.einsum("ij,j->i", self.x[rest], q[lo + i]))
                 kept = np.lexsort((best_at[i], -best[i]))[:k]
                 found.append((np.full(kept.size, ids[lo + i]), self.ids[best_at[i][kept]], best[i][kept]))
+                verified_of[lo + i] = verified[i].sum() - (self.ids.size - others[i])
         if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        return tuple(np.concatenate(x) for x in zip(*found))
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), verified_of
+        return *(np.concatenate(x) for x in zip(*found)), verified_of
+
+
+def _vectors(batch) -> np.ndarray:
+    lists = batch.column("vec")
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _cells(x: np.ndarray, family: Family, cuts: np.ndarray) -> np.ndarray:
+    """Numbers that are near for vectors near each other: levels of the first projections, bits of equal weight together."""
+    shadow, out = family.shadows(x)[:, :CELL_FUNCTIONS], np.zeros(len(x), np.int64)
+    levels = np.column_stack([np.searchsorted(cuts[j], shadow[:, j]) for j in range(shadow.shape[1])])
+    for bit in reversed(range(CELL_BITS)):
+        for j in range(levels.shape[1]):
+            out = out << 1 | (levels[:, j] >> bit & 1)
+    return out
+
+
+def _by_dim(batch) -> list[tuple[int, pa.RecordBatch]]:
+    dim = batch.column("dim").to_numpy()
+    return [(int(d), batch.filter(pa.array(dim == d))) for d in np.unique(dim)]
+
+
+def _place(family: Family, cuts: dict[int, np.ndarray]):
+    def place(batches):
+        for batch in batches:
+            for dim, own in _by_dim(batch):
+                cell = _cells(_vectors(own), family, cuts[dim])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(cell)], names=[*own.schema.names, "cell"])
+
+    return place
+
+
+#: What the first look at each block gives: its vectors, its bounds, and its own queries with their nearest here.
+VECTOR, BOUNDS, QUERY, FOUND = 0, 1, 2, 3
+LOOK = "kind int, block long, dim int, id long, vec array<double>, bound double, verified long, other long, score double"
+
+
+def _rows(n: int, **columns) -> pa.RecordBatch:
+    types = {"kind": pa.int32(), "block": pa.int64(), "dim": pa.int32(), "id": pa.int64(), "vec": pa.list_(pa.float64()), "bound": pa.float64(), "verified": pa.int64(), "other": pa.int64(), "score": pa.float64()}
+    return pa.RecordBatch.from_arrays([(pa.array(np.broadcast_to(columns[c], n), t) if not isinstance(columns[c], pa.Array) else columns[c]) if c in columns else pa.nulls(n, t) for c, t in types.items()], names=list(types))
+
+
+def _listed(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).reshape(-1)))
+
+
+def _look(k: int, family: Family):
+    """Of a range of cells make blocks; each block's own queries are searched in it."""
+
+    def look(batches):
+        base, made, held, size = TaskContext.get().partitionId() << 24, 0, [], 0
+
+        def blocks(parts):
+            nonlocal made
+            together = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            for dim, own in _by_dim(together):
+                block, ids, x, q = base + made, own.column("id").to_numpy(), _vectors(own), own.column("q").to_numpy(zero_copy_only=False)
+                made += 1
+                index = Index(ids, x, family)
+                yield _rows(len(ids), kind=VECTOR, block=block, dim=dim, id=ids, vec=_listed(x))
+                yield _rows(1, kind=BOUNDS, block=block, dim=dim, vec=_listed(index.bounds()[None]))
+                if q.any():
+                    asked, vec = ids[q], x[q]
+                    query, other, score, verified = index.search(asked, vec, k)
+                    bound, at = np.full(asked.size, -np.inf), dict(zip(asked.tolist(), range(asked.size)))
+                    of = np.array([at[i] for i in query.tolist()], np.int64)
+                    full = np.flatnonzero(np.bincount(of, minlength=asked.size) >= k)
+                    worst = np.full(asked.size, np.inf)
+                    np.minimum.at(worst, of, score)
+                    bound[full] = worst[full]
+                    yield _rows(asked.size, kind=QUERY, block=block, dim=dim, id=asked, vec=_listed(vec), bound=bound, verified=verified)
+                    yield _rows(query.size, kind=FOUND, block=block, dim=dim, id=query, other=other, score=score)
+
+        for batch in batches:
+            for lo in range(0, len(batch), BLOCK):
+                held.append(batch.slice(lo, BLOCK))
+                size += len(held[-1])
+                if size >= 2 * BLOCK:
+                    yield from blocks(held)
+                    held, size = [], 0
+        if size:
+            yield from blocks(held)
+
+    return look
+
+
+def _visits(family: Family, bounds: dict[int, tuple[np.ndarray, np.ndarray]]):
+    """Which other blocks a query goes to: those with as many functions in whose window some vector of theirs can lie as collisions are asked for."""
+
+    def visits(batches):
+        for batch in batches:
+            for dim, own in _by_dim(batch):
+                blocks, ends = bounds[dim]
+                low, high = ends[:, : family.functions], ends[:, family.functions :]
+                x, home, bound = _vectors(own), own.column("block").to_numpy(), own.column("bound").to_numpy()
+                shadow, half = family.query_shadows(x), np.minimum(family.reach * family.far(x, bound), 8 * family.most)
+                for i in range(len(x)):
+                    met = ((low <= shadow[i] + half[i]) & (high >= shadow[i] - half[i])).sum(1) >= family.threshold
+                    # without k neighbours at home every block is one to go to
+                    to = blocks[(met | ~np.isfinite(bound[i])) & (blocks != home[i])]
+                    if to.size:
+                        yield _rows(to.size, kind=QUERY, block=to, dim=dim, id=own.column("id")[i].as_py(), vec=_listed(np.repeat(x[i : i + 1], to.size, 0)), bound=bound[i])
 
+    return visits
 
-def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    table = table.combine_chunks()
-    lists = table.column("vec").combine_chunks() if isinstance(table.column("vec"), pa.ChunkedArray) else table.column("vec")
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.chunk(0)
-    values = lists.flatten().to_numpy(zero_copy_only=False)
-    return table.column("id").to_numpy(), values.reshape(len(lists), -1)
 
+def _meet(k: int, family: Family):
+    """Queries that come to a block, one batch after another, are searched in its index."""
 
-def _search(k: int, options: dict):
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            cols = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        else:
-            cols = Index(*_matrix(right), **options).search(*_matrix(left), k)
-        return pa.table([pa.array(c) for c in cols], names=["query_id", "vec_id", "score"])
+    def meet(batches):
+        current, parts, index = None, [], None
+        for batch in batches:
+            block, kind = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            cut = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (kind[1:] != kind[:-1]))) if len(block) else np.zeros(0, np.int64)
+            for lo, hi in zip(cut, np.append(cut[1:], len(block))):
+                own = batch.slice(lo, hi - lo)
+                if block[lo] != current:
+                    current, parts, index = block[lo], [], None
+                if kind[lo] == VECTOR:
+                    parts.append((own.column("id").to_numpy(), _vectors(own)))
+                    continue
+                index = index or Index(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), family)
+                parts = []
+                ids = own.column("id").to_numpy()
+                query, other, score, verified = index.search(ids, _vectors(own), k, own.column("bound").to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(other), pa.array(score), pa.array(np.zeros(query.size, np.int64))], names=["query_id", "vec_id", "score", "verified"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(ids.size, pa.int64()), pa.nulls(ids.size, pa.float64()), pa.array(verified)], names=["query_id", "vec_id", "score", "verified"])
 
-    return search
+    return meet
 
 
 def usable(vec: Column) -> Column:
@@ -133,24 +278,44 @@ def usable(vec: Column) -> Column:
     return F.coalesce(vec.isNotNull() & (F.size(vec) > 0) & ~bad & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", **options) -> DataFrame:
-    """The k nearest by inner product of each query, a row of `vectors` for which is_query holds, among all other rows: query_id, rank, vec_id, score.
+def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, **options) -> DataFrame:
+    """The k nearest by inner product of each query, a row of `vectors` for which is_query holds, among all other rows: query_id, rank, vec_id, score, and verified, the
+    number of vectors that the query was compared with.
 
-    Rows fall into blocks of about 8192 by a hash of their id; each block is indexed whole.  Blocks of queries meet blocks of vectors, and the
-    k best of each meeting are merged: k rows a query and block, never a row per pair.
+    All vectors are projected by the same functions.  1. They are put in the order of cells of their first projections, once, and cut into blocks of about
+    `block` near each other; each block has its part of the sorted arrays, and its least and largest projection by each function.  2. A query is searched in its own
+    block, which says how far its k-th nearest is at most.  3. From there its windows are known in all functions, and it goes to those blocks alone of which some vector
+    can collide often enough.  Vectors are never copied: queries stream through the blocks that they go to.  Vectors with structure are in few cells, so most blocks
+    are passed by; where there is none, every query goes to every block, which is the work of comparing collisions throughout.
 
     Vectors null, empty, zero or holding null or non-finite components take no part, nor do rows without an id; vectors only meet those of their own length;
-    of several rows with one id the least vector counts; with fewer than k candidates all are returned; an empty table gives an empty one.
+    of several rows with one id the least vector counts; ties go to the smaller id; with fewer than k candidates all are returned; an empty table gives an empty one.
     """
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vec_col].cast("array<double>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("id").isNotNull() & usable(F.col("vec")))
-    rows = rows.groupBy("id").agg(F.min("vec").alias("vec"), F.max("q").alias("q")).withColumn("dim", F.size("vec"))
-    n, n_queries = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("q").cast("long")), F.lit(0))).first()
-    blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-n_queries // QUERIES))
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    right = rows.select("dim", own.alias("block"), every(query_blocks).alias("query_block"), "id", "vec")
-    left = rows.where("q").select("dim", every(blocks).alias("block"), F.pmod(F.xxhash64("id", F.lit(3)), F.lit(query_blocks)).cast("int").alias("query_block"), "id", "vec")
-    keys = ["dim", "block", "query_block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(k, options), RESULT)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = materialize(rows.groupBy("id").agg(F.min("vec").alias("vec"), F.max("q").alias("q")).withColumn("dim", F.size("vec")), "vectors")
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    n, most = rows.agg(F.count("*"), F.coalesce(F.max(norm), F.lit(1.0))).first()
+    family = Family(float(most), **options)
+    few = rows.select("dim", "vec").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
+    levels = np.arange(1, 1 << CELL_BITS) / (1 << CELL_BITS)
+    cuts = {int(d): np.quantile(family.shadows(np.stack(own.vec.to_list()))[:, :CELL_FUNCTIONS], levels, axis=0).T for d, own in few.groupby("dim")}
+    # lengths that the sample does not have are few; they share one cell each
+    for (d,) in rows.select("dim").distinct().where(~F.col("dim").isin(list(cuts) or [-1])).collect():
+        cuts[d] = np.full((min(CELL_FUNCTIONS, family.functions), levels.size), np.inf)
+    placed = rows.mapInArrow(_place(family, cuts), "id long, vec array<double>, q boolean, dim int, cell long")
+    blocks = max(1, min(MOST_BLOCKS, -(-n // block)))
+    looked = materialize(placed.repartitionByRange(blocks, "dim", "cell", "id").mapInArrow(_look(k, family), LOOK), "blocks", "kind")
+    ends = looked.where(F.col("kind") == BOUNDS).select("dim", "block", "vec").toPandas()
+    bounds = {int(d): (own.block.to_numpy(), np.stack(own.vec.to_list())) for d, own in ends.groupby("dim")}
+    asked = looked.where(F.col("kind") == QUERY)
+    found = looked.where(F.col("kind") == FOUND).select(F.col("id").alias("query_id"), F.col("other").alias("vec_id"), "score", F.lit(0).cast("long").alias("verified"))
+    found = found.unionByName(asked.select(F.col("id").alias("query_id"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("double").alias("score"), "verified"))
+    if len(ends) > 1:
+        columns = ["kind", "block", "id", "vec", "bound"]
+        visits = asked.select("dim", "block", "id", "vec", "bound").mapInArrow(_visits(family, bounds), LOOK)
+        both = looked.where(F.col("kind") == VECTOR).select(*columns).unionByName(visits.select(*columns))
+        both = both.repartition("block").sortWithinPartitions("block", "kind")
+        found = found.unionByName(both.mapInArrow(_meet(k, family), RESULT))
+    own = Window.partitionBy("query_id")
+    ranked = found.withColumn("verified", F.sum("verified").over(own)).where("vec_id is not null").withColumn("rank", F.row_number().over(own.orderBy(F.col("score").desc(), "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "verified")
