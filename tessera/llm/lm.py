@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import materialize
+from tessera.llm.store import drop, materialize
 from tessera.llm.words import U64, _trim, link, mix, pieces, split
 
 #: What the counts of a history have to say about the next word; the rest is left to the history shorter by a word.
@@ -20,6 +20,9 @@ ADDED = 0.5
 BLOCK_BYTES = 8 << 20
 #: A text's begin and end among the words' hashes.
 EDGE = U64(0x5DEECE66D1CE4E5B)
+#: Bits of an n-gram's key: of 10 ** 12 n-grams about one in 70,000 then shares its count with another.  Each bit is written four times.
+KEY_BITS = 56
+_KEY = U64((1 << KEY_BITS) - 1)
 #: What a block's texts count for: the target, the background, or neither, where they are only scored.
 TARGET, BACKGROUND, NEITHER = 0, 1, 2
 #: Kinds of rows: texts, a block's keys and counts, the sums over all blocks.
@@ -48,7 +51,7 @@ class Block:
     """The n-grams of a block's texts, of one word up to `order`.
 
     A token is a word or a text's end; `tokens` has the number of each text.  `keys` are the n-grams in order, `counts` how often each occurs.  at[k] says for each token
-    which key the n-gram of k + 1 words that it ends is, -1 where the text has not begun so many words ago; before[k] the same for the history of k + 1 words before it.
+    which key the n-gram of k + 1 words that it ends is, -1 where the text has not begun so many words ago.
     """
 
     def __init__(self, texts: list[pa.Array], order: int):
@@ -69,11 +72,11 @@ class Block:
         self.text = np.repeat(np.arange(n.size), self.tokens)
         since = np.arange(seq.size - 1) - ends[self.text] + 1  # tokens of the text up to this one
         # the lowest bit tells words from longer n-grams
-        grams, run, valid = [(seq | U64(1))[1:]], seq, [np.ones(seq.size - 1, bool)]
+        grams, run, valid = [(seq & _KEY | U64(1))[1:]], seq, [np.ones(seq.size - 1, bool)]
         for k in range(1, order):
             run = link(run[:-1], seq[k:])  # the n-gram of k + 1 that begins at each place
             ended = np.concatenate([np.zeros(k - 1, U64), run])
-            grams.append(mix(ended + U64(k)) & ~U64(1))
+            grams.append(mix(ended + U64(k)) & (_KEY - U64(1)))
             valid.append(since >= k)
         found, which = _distinct(np.concatenate([g[v] for g, v in zip(grams, valid)]))
         del grams, run, seq
@@ -89,16 +92,17 @@ class Block:
             own[v] = which[lo : lo + m]
             self.at.append(own)
             lo += m
-        edge = int(np.searchsorted(self.keys, EDGE | U64(1)))
-        first = since == 1
-        self.before = []
-        for k in range(order - 1):
-            own = np.append(-1, self.at[k][:-1])
-            own[first] = edge if k == 0 else -1
-            self.before.append(own)
+        self.first = since == 1
+        self.edge = int(np.searchsorted(self.keys, EDGE & _KEY | U64(1)))
+
+    def before(self, k: int, of: np.ndarray, begin: int, none: int) -> np.ndarray:
+        """For each token what `of` says of the n-gram of k + 1 words before it: begin at a text's first token, where that is its begin alone, and none for longer ones."""
+        out = np.append(none, of[:-1])
+        out[self.first] = none if k else begin
+        return out
 
     def own(self, which: np.ndarray) -> np.ndarray:
-        """How often the n-gram of each token occurs in the token's text, as `which` says; 0 where there is none."""
+        """How often the n-gram of each token occurs in the token's text; 0 where there is none."""
         _, place = _distinct(self.text * (self.keys.size + 1) + which + 1)
         return np.where(which >= 0, np.bincount(place)[place], 0)
 
@@ -109,16 +113,15 @@ class Block:
         """
         out = []
         for m in range(2):
-            own = (lambda which: self.own(which)) if m == left_out else (lambda which: 0)  # noqa: B023
-            count = lambda which: np.where(which >= 0, sums[m][which], 0) - own(which)  # noqa: B023, E731
-            tokens = totals[m] - (np.repeat(self.tokens, self.tokens) if m == left_out else 0)
-            p = (count(self.at[0]) + ADDED) / (tokens + ADDED * (words + 1))
-            for k, before in enumerate(self.before):
-                seen = count(before)
+            counts, tokens, begins = [np.where(at >= 0, sums[m][at], 0) for at in self.at], totals[m], sums[m][self.edge]
+            if m == left_out:
+                counts = [c - self.own(at) for c, at in zip(counts, self.at)]
+                tokens, begins = tokens - np.repeat(self.tokens, self.tokens), begins - 1
+            p = (counts[0] + ADDED) / (tokens + ADDED * (words + 1))
+            for k, here in enumerate(counts[1:]):
                 # the history before a text's first word is its begin, as often as there are ends
-                here = np.where(self.at[k + 1] >= 0, count(self.at[k + 1]), 0)
-                known = (seen > 0) & (before >= 0)
-                p = np.where(known, WEIGHT * here / np.maximum(seen, 1) + (1 - WEIGHT) * p, p)
+                seen = self.before(k, counts[k], begins, 0)
+                p = np.where(seen > 0, WEIGHT * here / np.maximum(seen, 1) + (1 - WEIGHT) * p, p)
             out.append(-np.log(p))
         return np.stack(out)
 
@@ -157,7 +160,7 @@ def _deal(corpus: int, order: int, bits: int, most: int, keep: bool):
 
     def ask(block: int, texts: list[pa.Array], row_type: pa.DataType) -> pa.RecordBatch:
         own = Block(texts, order)
-        cut = np.append(np.searchsorted(own.keys, np.arange(1 << bits, dtype=U64) << U64(64 - bits)), own.keys.size)
+        cut = np.append(np.searchsorted(own.keys, np.arange(1 << bits, dtype=U64) << U64(KEY_BITS - bits)), own.keys.size)
         parts = np.flatnonzero(np.diff(cut))
         keys = [_planes(np.diff(own.keys[cut[p] : cut[p + 1]], prepend=U64(0))) for p in parts]
         counts = [_planes(own.counts[cut[p] : cut[p + 1]]) for p in parts]
@@ -265,11 +268,13 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: Dat
     own = materialize(dealt(corpus, docs, text_col, row, True), "blocks")
     columns = ["block", "part", "keys", "counts", "tokens"]
     asked = own.where(F.col("kind") == ASKED).select(*columns)
-    for kind, df, text in corpora[1:]:
-        asked = asked.unionByName(materialize(dealt(kind, df, text, F.lit(0), False).select(*columns), "asked"))
+    others = [materialize(dealt(kind, df, text, F.lit(0), False).select(*columns), "asked") for kind, df, text in corpora[1:]]
+    for other in others:
+        asked = asked.unionByName(other)
     got = {r[0]: r[1] for r in asked.groupBy(F.shiftright("block", 60)).agg(F.sum("tokens")).collect()}
     totals = np.array([got.get(TARGET, 0), got.get(BACKGROUND, 0)])
     answers = materialize(asked.drop("tokens").repartition("part").sortWithinPartitions("part", "block").mapInArrow(_answer(corpus), _ANSWER), "answers")
+    drop(*others)
     words = answers.where("block = -1").agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     texts = own.where(F.col("kind") == TEXT).select("block", "kind", "part", "row", "text")
     both = texts.unionByName(answers.where("block >= 0").select("block", F.lit(ANSWERED).alias("kind"), "part", "sums"), allowMissingColumns=True)

@@ -52,12 +52,13 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet and return what was written: later readers neither recompute df nor depend on the executors that made it."""
+def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write df as Parquet, in a folder for each value of `by` if given, and return what was written: later readers neither recompute df nor depend on the executors that made it."""
     spark = df.sparkSession
     path = new_path(spark, label)
     with small_batches(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
@@ -74,6 +75,11 @@ def drop(*tables: DataFrame) -> None:
         _delete(df.sparkSession, df._written)
 
 
+def drop_part(table: DataFrame, part: str) -> None:
+    """Delete a folder, as by=value, of a table that was written by a column, once nothing reads it any more."""
+    _delete(table.sparkSession, f"{table._written}/{part}")
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all that this application has written: results are lazy and read it, so call this when they have been used."""
     for path in _written.pop(spark.sparkContext.applicationId, []):
