@@ -20,6 +20,9 @@ SAMPLE = 4096
 #: Functions that the order of vectors goes by, and levels of each, in bits.
 CELL_FUNCTIONS, CELL_BITS = 10, 6
 
+#: A vector that more than one in so many queries have is joined by broadcast: there are no more than that.
+HOT = 1000
+
 RESULT = "query_id long, vec_id long, score double, verified long"
 
 
@@ -91,22 +94,21 @@ class Index:
             np.add(out, inside, out=out, casting="unsafe")
         return out
 
-    def search(self, ids: np.ndarray, q: np.ndarray, k: int, bound: np.ndarray | None = None, at_a_time: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(query id, vector id, inner product) of the k nearest found for each query, nearest first, ties to the smaller id; and how many vectors each query was verified against.
+    def search(self, q: np.ndarray, k: int, bound: np.ndarray | None = None, at_a_time: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row of the query, vector id, inner product) of the k nearest found for each query, nearest first, ties to the smaller id; and how many vectors each query was verified against.
 
         Virtual rehashing: windows start narrow and widen, per query, until they are `reach` times as wide as the distance of the k-th nearest so far (here, or
         elsewhere with the inner product `bound`), or hold everything.  Vectors whose collisions reach the threshold are verified by their inner product, each once.
         """
         found: list[tuple] = []
-        verified_of = np.zeros(ids.size, np.int64)
+        verified_of = np.zeros(len(q), np.int64)
         f, q = self.family, np.ascontiguousarray(q, dtype=np.float64)
-        bound = np.full(ids.size, -np.inf) if bound is None else bound
-        for lo in range(0, ids.size, at_a_time):
+        bound = np.full(len(q), -np.inf) if bound is None else bound
+        for lo in range(0, len(q), at_a_time):
             own = slice(lo, lo + at_a_time)
             shadow, worst = f.query_shadows(q[own]), bound[own].copy()
             n = shadow.shape[0]
-            verified = self.ids[None, :] == ids[own][:, None]  # a query is no neighbour of its own
-            others = self.ids.size - verified.sum(1)
+            verified = np.zeros((n, self.ids.size), bool)
             best_at, best = [np.zeros(0, np.int64)] * n, [np.zeros(0)] * n
             limit = f.reach * f.far(q[own], worst)
             half, todo = np.minimum(f.most * 0.6, np.maximum(limit, 1e-12)), np.arange(n)
@@ -131,13 +133,13 @@ class Index:
                 todo = todo[go]
                 half[todo] = np.minimum(half[todo] * f.grow, np.maximum(limit[todo], half[todo]))
             for i in range(n):
-                if not np.isfinite(worst[i]) and best[i].size < min(k, others[i]):  # fewer than k in sight: all of a small block
+                if not np.isfinite(worst[i]) and best[i].size < min(k, self.ids.size):  # fewer than k in sight: all of a small block
                     rest = np.flatnonzero(~verified[i])
                     verified[i, rest] = True
                     best_at[i], best[i] = np.append(best_at[i], rest), np.append(best[i], np.einsum("ij,j->i", self.x[rest], q[lo + i]))
                 kept = np.lexsort((best_at[i], -best[i]))[:k]
-                found.append((np.full(kept.size, ids[lo + i]), self.ids[best_at[i][kept]], best[i][kept]))
-                verified_of[lo + i] = verified[i].sum() - (self.ids.size - others[i])
+                found.append((np.full(kept.size, lo + i), self.ids[best_at[i][kept]], best[i][kept]))
+                verified_of[lo + i] = verified[i].sum()
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), verified_of
         return *(np.concatenate(x) for x in zip(*found)), verified_of
@@ -173,6 +175,18 @@ def _place(family: Family, cuts: dict[int, np.ndarray]):
     return place
 
 
+def _assign(bounds: dict[int, np.ndarray]):
+    """The block of each vector: how many cuts its cell is at or beyond."""
+
+    def assign(batches):
+        for batch in batches:
+            for dim, own in _by_dim(batch):
+                block = np.searchsorted(bounds[dim], own.column("cell").to_numpy(), side="right")
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("id", "vec", "q", "dim")), pa.array(block.astype(np.int64))], names=["id", "vec", "q", "dim", "block"])
+
+    return assign
+
+
 #: What the first look at each block gives: its vectors, its bounds, and its own queries with their nearest here.
 VECTOR, BOUNDS, QUERY, FOUND = 0, 1, 2, 3
 LOOK = "kind int, block long, dim int, id long, vec array<double>, bound double, verified long, other long, score double"
@@ -204,23 +218,26 @@ def _look(k: int, family: Family):
                 yield _rows(1, kind=BOUNDS, block=block, dim=dim, vec=_listed(index.bounds()[None]))
                 if q.any():
                     asked, vec = ids[q], x[q]
-                    query, other, score, verified = index.search(asked, vec, k)
-                    bound, at = np.full(asked.size, -np.inf), dict(zip(asked.tolist(), range(asked.size)))
-                    of = np.array([at[i] for i in query.tolist()], np.int64)
+                    of, other, score, verified = index.search(vec, k)
+                    bound = np.full(asked.size, -np.inf)
                     full = np.flatnonzero(np.bincount(of, minlength=asked.size) >= k)
                     worst = np.full(asked.size, np.inf)
                     np.minimum.at(worst, of, score)
                     bound[full] = worst[full]
                     yield _rows(asked.size, kind=QUERY, block=block, dim=dim, id=asked, vec=_listed(vec), bound=bound, verified=verified)
-                    yield _rows(query.size, kind=FOUND, block=block, dim=dim, id=query, other=other, score=score)
+                    yield _rows(of.size, kind=FOUND, block=block, dim=dim, id=asked[of], other=other, score=score)
 
+        current = None
         for batch in batches:
-            for lo in range(0, len(batch), BLOCK):
-                held.append(batch.slice(lo, BLOCK))
-                size += len(held[-1])
-                if size >= 2 * BLOCK:
+            key = np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in ("dim", "block")])
+            cut = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1))) if len(key) else np.zeros(0, np.int64)
+            for lo, hi in zip(cut, np.append(cut[1:], len(key))):
+                if held and (tuple(key[lo]) != current or size >= 2 * BLOCK):  # more in a block, of cells that are the same, are blocks of their own
                     yield from blocks(held)
                     held, size = [], 0
+                current = tuple(key[lo])
+                held.append(batch.slice(lo, hi - lo))
+                size += hi - lo
         if size:
             yield from blocks(held)
 
@@ -265,8 +282,8 @@ def _meet(k: int, family: Family):
                 index = index or Index(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), family)
                 parts = []
                 ids = own.column("id").to_numpy()
-                query, other, score, verified = index.search(ids, _vectors(own), k, own.column("bound").to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(other), pa.array(score), pa.array(np.zeros(query.size, np.int64))], names=["query_id", "vec_id", "score", "verified"])
+                of, other, score, verified = index.search(_vectors(own), k, own.column("bound").to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(other), pa.array(score), pa.array(np.zeros(of.size, np.int64))], names=["query_id", "vec_id", "score", "verified"])
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(ids.size, pa.int64()), pa.nulls(ids.size, pa.float64()), pa.array(verified)], names=["query_id", "vec_id", "score", "verified"])
 
     return meet
@@ -282,7 +299,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     """The k nearest by inner product of each query, a row of `vectors` for which is_query holds, among all other rows: query_id, rank, vec_id, score, and verified, the
     number of vectors that the query was compared with.
 
-    All vectors are projected by the same functions.  1. They are put in the order of cells of their first projections, once, and cut into blocks of about
+    All vectors are projected by the same functions.  1. They are cut, in the order of cells of their first projections, into blocks of about
     `block` near each other; each block has its part of the sorted arrays, and its least and largest projection by each function.  2. A query is searched in its own
     block, which says how far its k-th nearest is at most.  3. From there its windows are known in all functions, and it goes to those blocks alone of which some vector
     can collide often enough.  Vectors are never copied: queries stream through the blocks that they go to.  Vectors with structure are in few cells, so most blocks
@@ -291,8 +308,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     Vectors null, empty, zero or holding null or non-finite components take no part, nor do rows without an id; vectors only meet those of their own length;
     of several rows with one id the least vector counts; ties go to the smaller id; with fewer than k candidates all are returned; an empty table gives an empty one.
     """
-    rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vec_col].cast("array<double>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("id").isNotNull() & usable(F.col("vec")))
-    rows = materialize(rows.groupBy("id").agg(F.min("vec").alias("vec"), F.max("q").alias("q")).withColumn("dim", F.size("vec")), "vectors")
+    all_rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vec_col].cast("array<double>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("id").isNotNull() & usable(F.col("vec")))
+    all_rows = materialize(all_rows.groupBy("id").agg(F.min("vec").alias("vec"), F.max("q").alias("q")), "vectors")
+    # vectors that are the same are one, named by the least of their ids, of which no answer needs more than the k + 1 least
+    turn = F.row_number().over(Window.partitionBy("vec", "q").orderBy("id"))
+    few = all_rows.withColumn("turn", turn).where(F.col("turn") <= k + 1)
+    rows = few.groupBy("vec").agg(F.min("id").alias("id"), F.max("q").alias("q"), F.slice(F.sort_array(F.collect_list("id")), 1, k + 1).alias("ids")).withColumn("dim", F.size("vec"))
+    rows = materialize(rows, "distinct")
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
     n, most = rows.agg(F.count("*"), F.coalesce(F.max(norm), F.lit(1.0))).first()
     family = Family(float(most), **options)
@@ -302,9 +324,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     # lengths that the sample does not have are few; they share one cell each
     for (d,) in rows.select("dim").distinct().where(~F.col("dim").isin(list(cuts) or [-1])).collect():
         cuts[d] = np.full((min(CELL_FUNCTIONS, family.functions), levels.size), np.inf)
-    placed = rows.mapInArrow(_place(family, cuts), "id long, vec array<double>, q boolean, dim int, cell long")
+    placed = rows.select("id", "vec", "q", "dim").mapInArrow(_place(family, cuts), "id long, vec array<double>, q boolean, dim int, cell long")
+    placed = materialize(placed, "placed")
     blocks = max(1, min(MOST_BLOCKS, -(-n // block)))
-    looked = materialize(placed.repartitionByRange(blocks, "dim", "cell", "id").mapInArrow(_look(k, family), LOOK), "blocks", "kind")
+    share = F.array(*[F.lit(i / blocks) for i in range(1, blocks)]) if blocks > 1 else None
+    if share is not None:
+        cuts = {r[0]: np.unique(r[1]) for r in placed.groupBy("dim").agg(F.percentile_approx("cell", share, 10 * blocks)).collect()}
+    else:
+        cuts = dict.fromkeys(cuts, np.zeros(0, np.int64))
+    in_blocks = placed.mapInArrow(_assign(cuts), "id long, vec array<double>, q boolean, dim int, block long").repartition("dim", "block").sortWithinPartitions("dim", "block")
+    looked = materialize(in_blocks.mapInArrow(_look(k + 1, family), LOOK), "blocks", "kind")
     ends = looked.where(F.col("kind") == BOUNDS).select("dim", "block", "vec").toPandas()
     bounds = {int(d): (own.block.to_numpy(), np.stack(own.vec.to_list())) for d, own in ends.groupby("dim")}
     asked = looked.where(F.col("kind") == QUERY)
@@ -315,7 +344,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         visits = asked.select("dim", "block", "id", "vec", "bound").mapInArrow(_visits(family, bounds), LOOK)
         both = looked.where(F.col("kind") == VECTOR).select(*columns).unionByName(visits.select(*columns))
         both = both.repartition("block").sortWithinPartitions("block", "kind")
-        found = found.unionByName(both.mapInArrow(_meet(k, family), RESULT))
-    own = Window.partitionBy("query_id")
-    ranked = found.withColumn("verified", F.sum("verified").over(own)).where("vec_id is not null").withColumn("rank", F.row_number().over(own.orderBy(F.col("score").desc(), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "verified")
+        found = found.unionByName(both.mapInArrow(_meet(k + 1, family), RESULT))
+    of_query = Window.partitionBy("query_id")
+    ranked = found.withColumn("verified", F.sum("verified").over(of_query)).where("vec_id is not null").withColumn("turn", F.row_number().over(of_query.orderBy(F.col("score").desc(), "vec_id"))).where(F.col("turn") <= k + 1)
+    each = ranked.join(rows.select(F.col("id").alias("vec_id"), "ids"), "vec_id").select("query_id", "verified", "score", F.explode("ids").alias("of"))
+    lists = each.groupBy("query_id").agg(F.max("verified").alias("verified"), F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "of", "score"))), 1, k + 1).alias("near"))
+    lists = materialize(lists.join(rows.select(F.col("id").alias("query_id"), "vec"), "query_id").drop("query_id"), "lists")
+    queries = all_rows.where("q").select("id", "vec")
+    hot = materialize(queries.groupBy("vec").agg(F.count("*").alias("n")).where(F.col("n") * HOT > queries.count()).select("vec"), "hot")
+    answered = queries.join(F.broadcast(lists.join(F.broadcast(hot), "vec", "left_semi")), "vec").unionByName(queries.join(F.broadcast(hot), "vec", "left_anti").join(lists, "vec"))
+    answered = answered.select(F.col("id").alias("query_id"), "verified", F.slice(F.filter("near", lambda x: x["of"] != F.col("id")), 1, k).alias("near"))
+    answered = answered.select("query_id", "verified", F.posexplode("near").alias("place", "x"))
+    return answered.select("query_id", (F.col("place") + 1).alias("rank"), F.col("x.of").alias("vec_id"), F.col("x.score").alias("score"), "verified")

@@ -225,6 +225,15 @@ def test_search_in_many_blocks(spark):
     searched(spark, rng.normal(size=(5000, 32)), 1024, 0.9)
 
 
+def test_search_of_one_very_common_vector(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 16))
+    x[1000:3000:2] = x[1000] = 2 * np.abs(x[1000])
+    got = searched(spark, x, 256, 0.95)
+    assert got[got.query_id == 1500].sort_values("rank").vec_id.tolist() == list(range(1000, 1040, 2))
+    assert got[got.query_id == 1000].sort_values("rank").vec_id.tolist() == list(range(1002, 1042, 2))
+
+
 def test_search_of_the_tables(spark):
     import __spark_entry__ as entry
 
