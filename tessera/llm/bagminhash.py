@@ -119,8 +119,8 @@ def _emit_bands(k: int, size: int, bands: int):
                 b = bags(part, k)
                 sig = signatures(b, size)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * bands, pa.int32()), pa.array(signed(band_hashes(sig, bands).reshape(-1))))
-                keys = [batch.column(c).slice(lo, len(part)) for c in ("did", "k1", "k2")]
-                yield pa.RecordBatch.from_arrays([*keys, lists, pa.array(np.diff(b.first) == 0)], names=["did", "k1", "k2", "bands", "blank"])
+                keys = [batch.column(c).slice(lo, len(part)) for c in ("did", "id", "k1", "k2")]
+                yield pa.RecordBatch.from_arrays([*keys, lists, pa.array(np.diff(b.first) == 0)], names=["did", "id", "k1", "k2", "bands", "blank"])
 
     return emit
 
@@ -137,10 +137,27 @@ def _emit_sketches(k: int, size: int):
     return emit
 
 
-def _estimate(least: float, size: int):
+def _emit_finer(size: int):
+    """Keys of runs of FINER components of a node's sketch: nodes that are alike have some in common, nodes that merely share a passage hardly any."""
+
+    def emit(batches):
+        for batch in batches:
+            for lo in range(0, len(batch), 4096):
+                own = batch.slice(lo, 4096)
+                sketch = np.frombuffer(b"".join(own.column("sketch").to_pylist()), np.uint16).reshape(len(own), size // FINER, FINER).astype(U64)
+                out = np.tile(np.arange(1, size // FINER + 1, dtype=U64), (len(own), 1))
+                for j in range(FINER):
+                    out = mix(out * U64(0x9E3779B97F4A7C15) ^ sketch[:, :, j])
+                n = out.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(out.reshape(-1))), *(own.column(c).take(pa.array(np.repeat(np.arange(len(own)), n))) for c in ("node", "component"))], names=["band", "node", "component"])
+
+    return emit
+
+
+def _estimate(least: float, size: int, sure: float):
     """Of each group (band, block, turn), whose strays come first, the pairs of strays and members of other components that may be similar enough."""
-    # a pair at `least` shows fewer equal components with a probability of 2e-4
-    enough = int(np.floor(size * least - 3.5 * np.sqrt(size * least * (1 - least))))
+    # a pair at `least` shows fewer equal components as rarely as a normal variable is `sure` deviations off; without a limit every pair is enough
+    enough = int(np.floor(size * least - sure * np.sqrt(size * least * (1 - least)))) if np.isfinite(sure) else 0
     key_columns = ("band", "block", "turn")
 
     def pairs_of(strays: list, node: np.ndarray, component: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch | None:
@@ -200,79 +217,139 @@ def _mapped(members: DataFrame, comps: DataFrame) -> DataFrame:
     return members.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-#: Strays and members of a bucket that are compared at a time, and components of the signatures by which they are.
-BLOCK, SKETCH = 1024, 1024
+#: Strays and members of a bucket that are compared at a time, components of the signatures by which they are, and of a finer key.
+BLOCK, SKETCH, FINER = 1024, 1024, 8
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    """did, id, k1, k2 (the text's hash) and `text` of each row: did is the id, for null ids a stand-in from the text."""
+    text = docs[text_col].cast("string")
+    k1, k2, real = F.xxhash64(text), F.xxhash64(F.lit(1), text), docs[id_col].cast("long")
+    return docs.select(F.coalesce(real, F.lit(STAND_IN) + k1.bitwiseAND(STAND_IN - 1)).alias("did"), real.alias("id"), k1.alias("k1"), k2.alias("k2"), text.alias("text"), *more)
+
+
+def _shared_ids(rows: DataFrame) -> DataFrame | None:
+    """Ids of several texts, with the least text's hash; None if there is none."""
+    one = F.struct("k1", "k2")
+    several = materialize(rows.groupBy("did").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low <> high").select("did", "low"), "ids")
+    return None if several.isEmpty() else several
+
+
+def _told_apart(rows: DataFrame, several: DataFrame | None) -> DataFrame:
+    """Rows whose did names one text: of several texts with one id all but one get a stand-in."""
+    if several is None:
+        return rows
+    other = F.col("low").isNotNull() & (F.struct("k1", "k2") != F.col("low"))
+    named = F.when(other, F.lit(STAND_IN) + F.xxhash64("did", "k1", "k2").bitwiseAND(STAND_IN - 1)).otherwise(F.col("did"))
+    return rows.join(several, "did", "left").withColumn("did", named).drop("low")
+
+
+def _compared(us: DataFrame, them: DataFrame, sketches: DataFrame, least: float, sure: float) -> DataFrame:
+    """Pairs (a, b) of strays (us) and members (them) of one group that may be similar enough."""
+    groups = us.withColumn("member", F.lit(0)).unionByName(them.withColumn("member", F.lit(1))).join(sketches, "node")
+    groups = groups.repartition("band", "block", "turn").sortWithinPartitions("band", "block", "turn", "member")
+    return groups.select("band", "block", "turn", "member", "node", "component", "sketch").mapInArrow(_estimate(least, SKETCH, sure), "a long, b long")
+
 
+def _dealt(members: DataFrame, strays: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Strays and members (band, node, component, size, n_strays) in groups that hold each stray against each member of its band: blocks of members, turns of strays."""
+    blocks, turns = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil(F.col("n_strays") / BLOCK).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "node"), n).cast("int")
+    us = strays.select("band", every(blocks).alias("block"), own(turns, 2).alias("turn"), "node", "component")
+    return us, members.select("band", own(blocks, 1).alias("block"), every(turns).alias("turn"), "node", "component")
 
-def near_nodes(docs: DataFrame, least: float = 0.8, k: int = 5, size: int = 192, bands: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The class of each document: (`did`, `class`), documents linked, directly or through others, by a weighted Jaccard similarity of k-word shingles of `least` or more.
+
+def near_nodes(docs: DataFrame, least: float = 0.8, k: int = 5, size: int = 192, bands: int = 32, sure: float = 5.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The class of each document: (`did`, `id`, `class`), documents linked, directly or through others, by a weighted Jaccard similarity of k-word shingles of `least` or more.
 
     1. Equal texts are one node, named by its least id.  2. Nodes that share a band of their signatures (`bands` of size / bands components) meet in a
     bucket.  A pair at 0.8 is missed by all 32 bands of 6 with a probability of 6e-5.  3. In each bucket one node, the pivot, is compared with the others: one pair
     per member, not all pairs.  The pivot is the node that meets most others in all its buckets, so the common origin of many copies, where there is one.
-    4. In buckets that verified links do not make one component, each stray (a member outside the pivot's component) is held against all members of other
-    components, in blocks: by longer signatures first, those that may be similar enough then by text.  A link at exactly 0.8 is passed over
-    by the longer signatures with a probability of 2e-4, unless the pivot or another path has it; closer pairs less often.  Large groups of copies
-    cost a pair per member.  5. Components name the classes by their least id.
-
-    Null or wordless texts are classes of their own; so is a text without a neighbour.  Texts of fewer than k words are one shingle.  Null ids have a hash of the text in their place
-    (STAND_IN or more); rows with equal ids count as one document; an empty table gives an empty one.
+    4. Members outside the pivot's component are strays.  Where a bucket has more than BLOCK, another pivot is taken among them, as long as that links an eighth of them.
+    5. Strays are held against all members of other components by signatures of SKETCH components; those that may be similar enough then by text.  A link at exactly 0.8 is
+    passed over if its signature is `sure` deviations off (5: 3e-7; math.inf compares all texts).  Buckets that still have more than BLOCK strays are mostly of unlike
+    documents that share a passage: their members meet anew by the finer keys of their sketches (128 of 8 components: a pair at 0.8 is missed with 6e-11), so rows
+    grow with the members; what even then comes together by thousands is alike, and compared in blocks.  6. Components name the classes by their least id.
+
+    A document is an id with a text: rows that repeat both are one; different texts with one id are different documents.  Null or wordless texts are classes of their own; so is a text
+    without a neighbour.  Texts of fewer than k words are one shingle; very long ones are whole.  Null ids have a hash of the text in their place
+    (STAND_IN or more), as have all but one of several texts with one id; an empty table gives an empty one.
     """
-    text = docs[text_col].cast("string")
-    k1, k2 = F.xxhash64(text), F.xxhash64(F.lit(1), text)
-    src = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(STAND_IN) + k1.bitwiseAND(STAND_IN - 1)).alias("did"), k1.alias("k1"), k2.alias("k2"), text.alias("text"))
-    signed_docs = materialize(src.mapInArrow(_emit_bands(k, size, bands), "did long, k1 long, k2 long, bands array<long>, blank boolean"), "bands")
+    src = _rows(docs, id_col, text_col)
+    signed_docs = materialize(src.mapInArrow(_emit_bands(k, size, bands), "did long, id long, k1 long, k2 long, bands array<long>, blank boolean"), "bands")
+    several = _shared_ids(signed_docs)
+    signed_docs, src = _told_apart(signed_docs, several), _told_apart(src, several)
     full = signed_docs.where("not blank")
     copies = materialize(full.groupBy("k1", "k2").agg(F.min("did").alias("node")), "copies")
-    owners = materialize(signed_docs.drop("bands").join(copies, ["k1", "k2"], "left").select("did", F.coalesce("node", "did").alias("node")).distinct(), "owners")
+    owners = materialize(signed_docs.drop("bands").join(copies, ["k1", "k2"], "left").select("did", "id", F.coalesce("node", "did").alias("node")).distinct(), "owners")
     names = copies.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "node")
     own = full.join(names, (F.col("did") == F.col("node")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")))
     rows = materialize(own.select("node", F.explode("bands").alias("band")).distinct(), "buckets")
     shared = materialize(rows.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).where("low < high").select("band", "size"), "shared")
     members = materialize(rows.join(shared, "band"), "members")
     meets = materialize(members.groupBy("node").agg(F.sum("size").alias("meets")), "meets")
-    pivots = materialize(members.join(meets, "node").groupBy("band").agg(F.max(F.struct("meets", (-F.col("node")).alias("node"))).alias("best")).select("band", (-F.col("best.node")).alias("pivot")), "pivots")
+    best = F.max(F.struct("meets", (-F.col("node")).alias("node")))
+    pivots = materialize(members.join(meets, "node").groupBy("band").agg(best.alias("best")).select("band", (-F.col("best.node")).alias("pivot")), "pivots")
     texts = materialize(src.select("did", "text").join(meets.select(F.col("node").alias("did")), "did", "left_semi").select(F.col("did").alias("node"), "text").distinct(), "texts")
 
     pairs = members.join(pivots, "band").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     links = materialize(_verified(pairs, texts, k, least), "links")
-    comps = materialize(components(links), "components")
-    homes = _mapped(pivots.select("band", F.col("pivot").alias("node")), comps).select("band", F.col("component").alias("home"))
-    held = materialize(_mapped(members, comps).join(homes, "band"), "held")
-    strays = materialize(held.where("component <> home").select("band", "node", "component"), "strays")
-    counts = materialize(strays.groupBy("band").agg(F.count("*").alias("n_strays")), "counts")
+    before = None
+    while True:
+        comps = materialize(components(links), "components")
+        homes = _mapped(pivots.select("band", F.col("pivot").alias("node")), comps).select("band", F.col("component").alias("home"))
+        held = materialize(_mapped(members, comps).join(homes, "band"), "held")
+        strays = materialize(held.where("component <> home").select("band", "node", "component"), "strays")
+        counts = materialize(strays.groupBy("band").agg(F.count("*").alias("n_strays")), "counts")
+        wide = counts.where(F.col("n_strays") > BLOCK)
+        now = wide.agg(F.coalesce(F.sum("n_strays"), F.lit(0))).first()[0]
+        if not now or (before is not None and now > before * 7 / 8):
+            break
+        # among many strays another pivot, which is held against all that are not in its component
+        before = now
+        again = strays.join(wide, "band").join(meets, "node").groupBy("band").agg(best.alias("best")).select("band", (-F.col("best.node")).alias("pivot"))
+        again = materialize(_mapped(again.withColumnRenamed("pivot", "node"), comps).select("band", F.col("node").alias("pivot"), F.col("component").alias("its")), "again")
+        pairs = held.join(again, "band").where("component <> its").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        links = links.unionByName(materialize(_verified(pairs, texts, k, least), "links"))
     if not counts.isEmpty():
-        blocks, turns = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil(F.col("n_strays") / BLOCK).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        own_block = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "node"), n).cast("int")
-        open_bands = shared.join(counts, "band")
-        them = held.drop("size").join(open_bands, "band").select("band", own_block(blocks, 1).alias("block"), every(turns).alias("turn"), F.lit(1).alias("member"), "node", "component")
-        us = strays.join(open_bands, "band").select("band", every(blocks).alias("block"), own_block(turns, 2).alias("turn"), F.lit(0).alias("member"), "node", "component")
         wanted = held.join(counts, "band", "left_semi").select("node").distinct()
         sketches = materialize(texts.join(wanted, "node", "left_semi").mapInArrow(_emit_sketches(k, SKETCH), "node long, sketch binary"), "sketches")
-        groups = us.unionByName(them).join(sketches, "node").repartition("band", "block", "turn").sortWithinPartitions("band", "block", "turn", "member")
-        close = groups.select("band", "block", "turn", "member", "node", "component", "sketch").mapInArrow(_estimate(least, SKETCH), "a long, b long").distinct()
-        links = links.unionByName(materialize(_verified(materialize(close, "close"), texts, k, least), "links"))
+        narrow = shared.join(counts.where(F.col("n_strays") <= BLOCK), "band")
+        close = _compared(*_dealt(held.drop("size").join(narrow, "band"), strays.join(narrow, "band")), sketches, least, sure)
+        if now:
+            nodes = held.join(wide, "band", "left_semi").select("node", "component").distinct()
+            finer = materialize(nodes.join(sketches, "node").mapInArrow(_emit_finer(SKETCH), "band long, node long, component long"), "finer")
+            met = finer.groupBy("band").agg(F.min("component").alias("home"), F.max("component").alias("high"), F.count("*").alias("size"))
+            met = finer.join(met.where("home < high").drop("high"), "band")
+            met = materialize(met, "met")
+            n_strays = materialize(met.where("component <> home").groupBy("band").agg(F.count("*").alias("n_strays")), "counts")
+            met = met.join(n_strays, "band")
+            close = close.unionByName(_compared(*_dealt(met, met.where("component <> home")), sketches, least, sure))
+        links = links.unionByName(materialize(_verified(materialize(close.distinct(), "close"), texts, k, least), "links"))
         comps = materialize(components(links), "components")
-    named = owners.join(comps, "node", "left").groupBy("did").agg(F.min(F.coalesce("component", "node")).alias("class"))
-    return named
+    return owners.join(comps, "node", "left").groupBy("did", "id").agg(F.min(F.coalesce("component", "node")).alias("class"))
 
 
 def near_classes(docs: DataFrame, **how) -> DataFrame:
-    """near_nodes(...) as (`doc_id`, `class_id`), a row per distinct id; null for null ids, and for classes without an id."""
-    real = lambda c: F.when(F.col(c) < STAND_IN, F.col(c))
-    return near_nodes(docs, **how).select(real("did").alias("doc_id"), real("class").alias("class_id"))
+    """near_nodes(...) as (`doc_id`, `class_id`), a row per document; class_id is the least id that
+    names a document of the class alone (of several texts with one id, one has it), else the least id of the class, null where none of its documents has one."""
+    named = near_nodes(docs, **how)
+    plain = F.col("class") < STAND_IN
+    least = named.where(~plain).groupBy(F.col("class").alias("of")).agg(F.min("id").alias("class_id"))
+    rest = named.where(~plain).join(least, F.col("class") == F.col("of")).select(F.col("id").alias("doc_id"), "class_id")
+    return named.where(plain).select(F.col("id").alias("doc_id"), F.col("class").alias("class_id")).unionByName(rest)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The input's rows and columns, one document of each class: the one that names it, with the least id.
 
-    Of rows with equal ids one stays.  Rows with null ids go if their class has an id; else one of the class stays.
+    Of rows that repeat id and text (null ids count as one id) one stays; of a class in which some have ids and some have none, one with an id.  Different texts with one
+    id are different documents.  Wordless texts are classes of their own, so they stay.
     """
-    text = docs[text_col].cast("string")
-    did = F.coalesce(docs[id_col].cast("long"), F.lit(STAND_IN) + F.xxhash64(text).bitwiseAND(STAND_IN - 1))
     named = near_nodes(docs, id_col=id_col, text_col=text_col, **how).where("did = class").select(F.col("did").alias("own"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), did.alias("did"))
+    rows = _rows(docs, id_col, text_col, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = _told_apart(rows.drop("text"), _shared_ids(rows.select("did", "k1", "k2")))
     kept = rows.join(named, F.col("did") == F.col("own"), "left_semi")
-    first = Window.partitionBy("did").orderBy(F.xxhash64(F.col("row")[text_col]), F.xxhash64("row"))
+    first = Window.partitionBy("did").orderBy(F.xxhash64("row"))
     return kept.withColumn("turn", F.row_number().over(first)).where("turn = 1").select("row.*")

@@ -118,6 +118,29 @@ def test_groups_of_copies(spark):
     assert got == classes(rows)
 
 
+def test_bucket_of_unlike_members(spark, monkeypatch):
+    """Many unlike documents that share a passage, with a few near copies among them: rows that are compared grow with the members, and no link is lost."""
+    monkeypatch.setattr(bagminhash, "BLOCK", 16)
+    seen, inner = [], bagminhash._dealt
+    monkeypatch.setattr(bagminhash, "_dealt", lambda m, s: seen.append(inner(m, s)) or seen[-1])
+    shared = prose(90, 60)
+    for n in (120, 240):
+        rows = [(i, f"{shared} {prose(50, 7000 + i)}") for i in range(n)]
+        rows += [(9000 + i, rows[i][1] + " and more") for i in range(0, n, 10)]
+        seen.clear()
+        got = {r.doc_id: r.class_id for r in bagminhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), bands=64).collect()}
+        assert got == classes(rows)
+        assert len(seen) == 2 and sum(d.count() for pair in seen for d in pair) < 40 * len(rows), n
+
+
+def test_different_texts_with_one_id(spark):
+    rows = [(1, prose(80, 1)), (1, prose(80, 2)), (1, prose(80, 2)), (2, prose(80, 3)), (3, prose(80, 3)), (4, prose(80, 2)), (None, prose(80, 9)), (None, None), (5, None), (6, " ")]
+    kept = bagminhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.text for r in kept} == {t for _, t in rows} and len(kept) == 7 and {r.doc_id for r in kept if r.text == prose(80, 3)} == {2}
+    got = collections.Counter((r.doc_id, r.class_id) for r in bagminhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got[2, 2] == got[3, 2] == got[5, 5] == got[6, 6] == 1 and got[1, 1] + got[1, 4] == 2 and got[4, 1] + got[4, 4] == 1 and got[4, 1] == (got[1, 1] == 2) and got[None, None] == 2
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     for trial in range(5):
