@@ -84,7 +84,24 @@ def test_lineage():
     g.record("a.b", "t.c", "flatten")
     g.record("a.b", 't."d')
     assert len(g.downstream("a.b")) == 2 and g.upstream("t.c")[0].transform == "flatten" and g.upstream("x") == []
-    assert '"a.b" -> "t.c" [label="flatten"];' in g.to_dot() and g.to_openlineage()[1]["job"]["name"] == "identity"
+    assert '"a.b" -> "t.c" [label="flatten"];' in g.to_dot() and len(g) == 2
+    start, done = g.to_openlineage("load")
+    assert (start["eventType"], done["eventType"]) == ("START", "COMPLETE") and start["run"] == done["run"] and start["run"] != g.to_openlineage("other")[0]["run"]
+    (out,) = done["outputs"]
+    fields = out["facets"]["columnLineage"]["fields"]
+    assert out["name"] == "t" and done["inputs"] == [{"namespace": "tessera", "name": "a"}] and fields["c"]["inputFields"][0]["field"] == "b" and fields["c"]["inputFields"][0]["transformations"][0]["description"] == "flatten"
+    assert Lineage().to_openlineage() == []
+    g.record("t.c", "u.x")
+    g.record("u.x", "a.b")  # a cycle
+    assert [str(e.target) for e in g.downstream("a.b", transitive=True)] == ["t.c", 't."d', "u.x", "a.b"] and len(g.upstream("u.x", transitive=True)) == 3
+    assert [str(e.source) for e in g.upstream("u.x")] == ["t.c"]
+
+
+def test_whole_tables_are_sorted(spark):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["sort_nulls"](spark, DATA).collect()
+    assert len(rows) == spark.read.parquet(f"{DATA}/orders.parquet").count() and rows == sorted(rows, key=lambda r: (r.s is None, [-ord(c) for c in r.s or ""], r.o_orderkey))
 
 
 def test_cli(spark, tmp_path, capsys):
