@@ -144,8 +144,8 @@ def _emit_finer(size: int):
         for batch in batches:
             for lo in range(0, len(batch), 4096):
                 own = batch.slice(lo, 4096)
-                sketch = np.frombuffer(b"".join(own.column("sketch").to_pylist()), np.uint16).reshape(len(own), size // FINER, FINER).astype(U64)
-                out = np.tile(np.arange(1, size // FINER + 1, dtype=U64), (len(own), 1))
+                sketch = np.frombuffer(b"".join(own.column("sketch").to_pylist()), np.uint16).reshape(len(own), size)[:, : FINER_KEYS * FINER].reshape(len(own), FINER_KEYS, FINER).astype(U64)
+                out = np.tile(np.arange(1, FINER_KEYS + 1, dtype=U64), (len(own), 1))
                 for j in range(FINER):
                     out = mix(out * U64(0x9E3779B97F4A7C15) ^ sketch[:, :, j])
                 n = out.shape[1]
@@ -217,8 +217,8 @@ def _mapped(members: DataFrame, comps: DataFrame) -> DataFrame:
     return members.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-#: Strays and members of a bucket that are compared at a time, components of the signatures by which they are, and of a finer key.
-BLOCK, SKETCH, FINER = 1024, 1024, 8
+#: Strays and members of a bucket that are compared at a time, and components of the signatures by which they are; finer keys, and components of each.
+BLOCK, SKETCH, FINER_KEYS, FINER = 1024, 2048, 128, 8
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
