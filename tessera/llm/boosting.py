@@ -100,12 +100,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(counts: DataFrame, labels: DataFrame, label_col: str, id_col: str, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """RATES and labels of at most `rows` labelled documents that aren't held out, those of least hash of their id."""
+def labelled(counts: DataFrame, labels: DataFrame, label_col: str, id_col: str) -> DataFrame:
+    """COUNTS, `label` and the id's hash and name (`order`, `label_of`) of all labelled documents that aren't held out."""
     ids = labels.select(F.col(id_col).alias("label_of"), F.col(label_col).cast("double").alias("label")).where("label is not null and label_of is not null").groupBy("label_of").agg(F.max("label").alias("label"))
     own = counts.where(~held_out(F.col(f"row.{id_col}")))
-    found = own.join(ids, F.col(f"row.{id_col}") == F.col("label_of")).select(*COUNTS, "label", F.xxhash64("label_of").alias("order"), "label_of")
-    pdf = found.orderBy("order", "label_of", *COUNTS[:3]).limit(rows).toPandas()
+    return own.join(ids, F.col(f"row.{id_col}") == F.col("label_of")).select(*COUNTS, "label", F.xxhash64("label_of").alias("order"), "label_of")
+
+
+def sample(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """RATES and labels of at most `most` of labelled(...), those of least hash of their id."""
+    pdf = rows.orderBy("order", "label_of", *COUNTS[:3]).limit(most).toPandas()
     return rates({c: pdf[c].to_numpy() for c in COUNTS}), pdf["label"].to_numpy(float)
 
 
@@ -124,10 +128,10 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
     The statistics are counted once over whole texts and written; at most fit_rows labelled rows are fitted on the driver; the flattened trees
     (about 100 KB whatever the input) go with the tasks that score.  Labels, ids, languages and sources are no inputs.
 
-    Null or empty texts have zeros as statistics and are scored as any other; without usable labels every score is a half; rows with null ids are scored
+    Null or empty texts have zeros as statistics and are scored as any other, very long ones by the whole text; ties score alike, as do repeated rows; without usable labels every score is a half; rows with null ids are scored
     and never learnt from; of several labels for one id the largest counts; an empty table gives an empty one.
     """
     counts = materialize(with_counts(docs, text_col, [c for c in docs.columns if c != text_col]), "statistics")
-    x, y = labelled_sample(counts, labels, label_col, id_col, fit_rows)
+    x, y = sample(labelled(counts, labels, label_col, id_col), fit_rows)
     row = counts.schema["row"].dataType.simpleString()
     return counts.mapInArrow(_score(fit(x, y)), f"row {row}, score double, n_words long")

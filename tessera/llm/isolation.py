@@ -9,10 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.boosting import FIT_ROWS, labelled_sample
-from tessera.llm.statistics import COUNTS, RATES, count, rates, with_counts
+from tessera.llm.boosting import FIT_ROWS, labelled, sample
+from tessera.llm.statistics import COUNTS, RATES, rates, with_counts
 from tessera.llm.store import materialize
-from tessera.llm.words import pieces
 
 #: Rows that each tree is grown on: isolation forests want few, so that anomalies do not hide one another.
 TREE_ROWS = 128
@@ -77,15 +76,27 @@ def grow(x: np.ndarray, trees: int = 200, rows: int = TREE_ROWS, seed: int = 11)
     return Forest(feature, split, length, depth, rows)
 
 
-def calibrate(score: np.ndarray, good: np.ndarray, lost: float) -> float:
-    """The least threshold above which at most a share `lost` of good rows lies; infinite without good rows or where none that is bad lies above."""
-    if not good.any() or good.all():
+#: Ranks within this share of all rows count as the same where a threshold is taken.
+RANK = 1e-6
+
+
+def calibrate(scored: DataFrame, lost: float) -> float:
+    """The least threshold above which at most a share `lost` of the good rows of scored (score, good) lies, to within RANK; infinite without good rows, or if labels do
+    not bear out that what lies above is bad: most of it, and far more than elsewhere."""
+    t, good, n = scored.agg(F.percentile_approx(F.when(F.col("good"), F.col("score")), 1 - lost, int(1 / RANK)), F.count_if("good"), F.count("*")).first()
+    if t is None or good == n:
         return np.inf
-    kept = np.sort(score[good])
-    t = kept[min(kept.size - 1, int(np.ceil(kept.size * (1 - lost))) - 1)]
-    over = score > t
-    # anomalies are rejected only if labels bear out that they are bad: most of those beyond the threshold, and far more than elsewhere
-    return float(t) if over.any() and (~good[over]).mean() >= (1 + (~good).mean()) / 2 else np.inf
+    over, bad = scored.where(F.col("score") > t).agg(F.count("*"), F.count_if(~F.col("good"))).first()
+    return float(t) if over and bad / over >= (1 + (n - good) / n) / 2 else np.inf
+
+
+def _anomaly(forest: Forest):
+    def run(batches):
+        for batch in batches:
+            x = rates({c: batch.column(c).to_numpy() for c in COUNTS})
+            yield pa.RecordBatch.from_arrays([pa.array(forest.score(x[:, _RULES])), pa.array(batch.column("label").to_numpy() == 1)], names=["score", "good"])
+
+    return run
 
 
 def base_failed(n_words, n_repeat_words):
@@ -99,25 +110,11 @@ def _verdict(forest: Forest | None, threshold: float, counts: dict[str, np.ndarr
     return [pa.array(failed), pa.array(score), pa.array(~failed & (score <= threshold))]
 
 
-def _judge(forest: Forest | None, threshold: float):
-    """For statistics that are counted already."""
-
+def _judge(forest: Forest | None, threshold: float, kept: list[str]):
     def run(batches):
         for batch in batches:
             counts = {c: batch.column(c).to_numpy() for c in COUNTS}
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *(batch.column(c) for c in COUNTS), *_verdict(forest, threshold, counts)], names=["row", *COUNTS, *VERDICT])
-
-    return run
-
-
-def _count_and_judge(forest: Forest | None, threshold: float):
-    """For texts, which are passed on: one Python worker for both."""
-
-    def run(batches):
-        for batch in batches:
-            for lo, part in pieces(batch.column("text")):
-                counts = {c: np.asarray(v, dtype=np.int64) for c, v in count(part).items()}
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, len(part)), part, *(pa.array(counts[c]) for c in COUNTS), *_verdict(forest, threshold, counts)], names=["row", "text", *COUNTS, *VERDICT])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*kept, *COUNTS)), *_verdict(forest, threshold, counts)], names=[*kept, *COUNTS, *VERDICT])
 
     return run
 
@@ -126,25 +123,22 @@ def judge(docs: DataFrame, labels: DataFrame | None, label_col: str = "quality",
     """Quality rules for every document: `row` (struct of its columns other than the text), `text` if keep_text, the counts, `base_failed`, `anomaly` and `kept`.
 
     A document fails the base rules with fewer than 10 words or with more than a fifth of its words in repeated 5-word windows.  Of the others, an isolation forest finds
-    those whose statistics random splits set apart early.  The forest is grown on at most fit_rows labelled rows;
-    the threshold leaves at most a share `lost` of the labelled good rows beyond it.  Without labels only the base rules reject.
+    those whose statistics random splits set apart early.  The forest is grown on at most fit_rows labelled rows; all labelled rows are scored by it in the cluster, and the
+    threshold leaves at most a share `lost` of the good ones beyond it.  If labels do not bear out that what lies beyond is bad, or without labels, only the base rules reject.
+    Whole texts are counted once, and the counts written (with keep_text, the texts beside them).
 
-    Null or empty texts have no words and fail; null ids are judged and never learnt from; of several labels for one id the largest counts;
-    repeated rows are judged alike; an empty table gives an empty one.
+    Null or empty texts have no words and fail; very long ones are counted whole; null ids are judged and never learnt from; of several labels for one id the largest counts;
+    a score that ties with the threshold is kept; repeated rows are judged alike; an empty table gives an empty one.
     """
-    others = [c for c in docs.columns if c != text_col]
-    counts = with_counts(docs, text_col, others)
-    if not keep_text:
-        counts = materialize(counts, "rules")
+    kept = ["row", "text"] if keep_text else ["row"]
+    counts = materialize(with_counts(docs, text_col, [c for c in docs.columns if c != text_col], keep_text), "rules")
     forest, threshold = None, np.inf
     if labels is not None:
-        x, y = labelled_sample(counts.where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))), labels, label_col, id_col, fit_rows)
-        x, good = x[:, _RULES], y == 1
+        own = labelled(counts.where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))), labels, label_col, id_col)
+        own = materialize(own, "labelled")
+        x, _ = sample(own, fit_rows)
         if x.shape[0]:
-            forest = grow(x)
-            threshold = calibrate(forest.score(x), good, lost)
-    row, out = counts.schema["row"].dataType.simpleString(), ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, anomaly double, kept boolean"
-    if not keep_text:
-        return counts.mapInArrow(_judge(forest, threshold), f"row {row}, {out}")
-    src = docs.select(F.struct(*[docs[c] for c in others]).alias("row"), docs[text_col].cast("string").alias("text"))
-    return src.mapInArrow(_count_and_judge(forest, threshold), f"row {row}, text string, {out}")
+            forest = grow(x[:, _RULES])
+            threshold = calibrate(own.select(*COUNTS, "label").mapInArrow(_anomaly(forest), "score double, good boolean"), lost)
+    row = counts.schema["row"].dataType.simpleString()
+    return counts.mapInArrow(_judge(forest, threshold, kept), f"row {row}, {'text string, ' if keep_text else ''}" + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, anomaly double, kept boolean")

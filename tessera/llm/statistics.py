@@ -119,19 +119,23 @@ def count(texts: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
-def _count(batches):
-    for batch in batches:
-        for lo, part in pieces(batch.column(1)):
-            got = count(part)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(part)), *(pa.array(got[c].astype(np.int64)) for c in COUNTS)], names=["row", *COUNTS])
+def _count(keep_text: bool):
+    def run(batches):
+        for batch in batches:
+            for lo, part in pieces(batch.column(1)):
+                got = count(part)
+                kept = [batch.column(0).slice(lo, len(part)), *([part] if keep_text else [])]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(got[c].astype(np.int64)) for c in COUNTS)], names=["row", *(["text"] if keep_text else []), *COUNTS])
 
+    return run
 
-def with_counts(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """`row` (struct of the input's columns, or of those in keep) and COUNTS, for each document; whole texts, one pass, no shuffle."""
+
+def with_counts(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, keep_text: bool = False) -> DataFrame:
+    """`row` (struct of the input's columns, or of those in keep), the text if keep_text, and COUNTS, for each document; whole texts, one pass, no shuffle."""
     row = F.struct(*[docs[c] for c in (keep or docs.columns)]).alias("row")
     src = docs.select(row, docs[text_col].cast("string").alias("text"))
     schema = src.schema["row"].dataType
-    return src.mapInArrow(_count, f"row {schema.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return src.mapInArrow(_count(keep_text), f"row {schema.simpleString()}, {'text string, ' if keep_text else ''}" + ", ".join(f"{c} long" for c in COUNTS))
 
 
 #: Shares and means made of the counts, free of a text's length but for the first.

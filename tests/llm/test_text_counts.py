@@ -83,15 +83,39 @@ def test_base_rules_on_odd_documents(odd, labels, nothing):
     assert isolation.judge(nothing, labels).count() == 0 and isolation.judge(odd, labels.where("false")).count() == len(got)
 
 
-def test_isolation_forest_finds_anomalies():
+def test_isolation_forest_finds_anomalies(spark):
     rng = np.random.default_rng(0)
     good, bad = rng.normal(size=(1900, 4)), rng.normal(size=(100, 4)) * 0.2 + np.array([6, -6, 6, 6])
     x, y = np.vstack([good, bad]), np.append(np.ones(1900), np.zeros(100))
     forest = isolation.grow(x)
     score = forest.score(x)
-    t = isolation.calibrate(score, y == 1, 0.005)
-    assert (score[y == 0] > t).mean() > 0.9 and (score[y == 1] > t).mean() <= 0.006
-    assert isolation.calibrate(score, rng.random(2000) < 0.5, 0.01) == np.inf  # labels that do not bear anomalies out
+    scored = lambda flags: spark.createDataFrame(list(zip(score.tolist(), flags.tolist())), "score double, good boolean").repartition(3)
+    t = isolation.calibrate(scored(y == 1), 0.005)
+    assert (score[y == 0] > t).mean() > 0.9 and (score[y == 1] > t).mean() <= 0.006 and t in score
+    assert isolation.calibrate(scored(rng.random(2000) < 0.5), 0.01) == np.inf  # labels that do not bear anomalies out
+    assert isolation.calibrate(scored(y > 5), 0.01) == isolation.calibrate(scored(y >= 0), 0.01) == np.inf
+
+
+def path(forest, t, row):
+    """By hand: the length of a row's path in a tree."""
+    at, level = 0, 0
+    while level < forest.depth and np.isfinite(forest.split[t, at]):
+        at, level = 2 * at + 1 + int(row[forest.feature[t, at]] > forest.split[t, at]), level + 1
+    return forest.length[t, at]
+
+
+def test_paths_and_verdicts_by_hand(spark, odd, labels):
+    x = np.random.default_rng(4).normal(size=(300, 11))
+    forest = isolation.grow(x, trees=20, rows=64)
+    h = 2 * (np.log(63) + 0.5772156649015329) - 2 * 63 / 64
+    want = [2 ** -(np.mean([path(forest, t, row) for t in range(20)]) / h) for row in x[:40]]
+    assert np.allclose(forest.score(x[:40]), want)
+    texts = [r[1] for r in odd_rows()]
+    for keep in (False, True):
+        got = isolation.judge(odd, labels, keep_text=keep).collect()
+        assert all(r.kept is (not r.base_failed) or (r.anomaly > 0 and not r.base_failed) for r in got)
+        if keep:
+            assert sorted(r.text or "" for r in got) == sorted(t or "" for t in texts)
 
 
 def test_boosted_trees_learn_and_flatten():
