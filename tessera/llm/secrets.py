@@ -63,7 +63,8 @@ def _holds(text: Column, trigrams: set[str]) -> Column:
 def first_look(text: Column, rules: tuple[Rule, ...]) -> Column:
     """False where a text has none of the few trigrams without which no rule's query is met."""
     wanted = set().union(*[heads(r.query) for r in rules if r.query != ALL])
-    return _holds(F.lower(text), wanted) if wanted else F.lit(False)
+    # by way of a list of one, so that the text is put in lower case once and not for each trigram
+    return F.exists(F.array(F.lower(text)), lambda low: _holds(low, wanted)) if wanted else F.lit(False)
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...], n_docs: int) -> DataFrame:
