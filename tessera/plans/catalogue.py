@@ -159,9 +159,39 @@ def _ranked(t: Table) -> Table:
     return ranked.select(col("o_orderkey"), col("o_custkey"), col("r").cast("BIGINT").alias("r"))
 
 
+dsl("window_running", "SELECT o_orderkey, LAG(o_orderkey) OVER w AS before, COUNT(*) OVER w AS so_far, MAX(o_totalprice) OVER w AS most FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)", "orders")(
+    lambda t: t.window("o_custkey", [col("o_orderdate"), col("o_orderkey")]).over(call("lag", col("o_orderkey")).alias("before"), count_().alias("so_far"), max_("o_totalprice").alias("most")).select("o_orderkey", "before", "so_far", "most")
+)
+
+
 # --- inference
 
 
+def _mixed_documents(orders: DataFrame) -> DataFrame:
+    """Orders as JSON text with nested objects, lists of objects, nulls and a field of two types."""
+    status = F.when(F.col("o_orderstatus") != "O", F.concat(F.lit('"'), "o_orderstatus", F.lit('"')))
+    key = F.col("o_orderkey").cast("string")
+    parts = ['{"id":', key, ',"who":{"c":', F.col("o_custkey").cast("string"), ',"s":', F.coalesce(status, F.lit("null")), '},"tags":["', F.col("o_orderpriority"), '",null],"lines":[{"n":', key, '}],"v":', F.when(F.col("o_orderkey") % 2 == 1, "1.5").otherwise('"x"'), "}"]
+    return orders.select(F.monotonically_increasing_id().alias("number"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("value"))
+
+
+_MIXED = """
+WITH seen AS (
+  SELECT unnest([
+    {path: 'id', kind: 'int64', v: o_orderkey::VARCHAR}, {path: 'who', kind: 'struct', v: NULL}, {path: 'who.c', kind: 'int64', v: o_custkey::VARCHAR},
+    {path: 'who.s', kind: CASE WHEN o_orderstatus = 'O' THEN 'null' ELSE 'string' END, v: NULLIF(o_orderstatus, 'O')}, {path: 'tags', kind: 'list', v: NULL}, {path: 'tags[]', kind: 'string', v: o_orderpriority},
+    {path: 'tags[]', kind: 'null', v: NULL}, {path: 'lines', kind: 'list', v: NULL}, {path: 'lines[]', kind: 'struct', v: NULL}, {path: 'lines[].n', kind: 'int64', v: o_orderkey::VARCHAR},
+    {path: 'v', kind: CASE WHEN o_orderkey % 2 = 1 THEN 'float64' ELSE 'string' END, v: CASE WHEN o_orderkey % 2 = 1 THEN '1.5' ELSE 'x' END}]) AS o FROM orders)
+SELECT o.path AS path, o.kind AS kind, COUNT(*) AS n, COUNT(DISTINCT o.v) AS n_values FROM seen GROUP BY ALL
+"""
+
+
+@frame("infer_mixed_documents", _MIXED)
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _mixed_documents(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return texts.mapInPandas(observe_json, OBSERVATION).groupBy("path", "kind").agg(F.sum("n").alias("n"), F.count_distinct("value").alias("n_values"))
+
+
 @frame("infer_observations", "SELECT 'k' AS path, 'int64' AS kind, COUNT(*) AS n, COUNT(DISTINCT json_extract(props, '$.k')) AS n_values FROM events")
 def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.monotonically_increasing_id().alias("number"), F.col("props").alias("value"))
