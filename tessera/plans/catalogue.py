@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,48 +19,11 @@ from tessera.normalize import normalize
 from tessera.operators import Table
 from tessera.pii.detect import matched
 from tessera.pii.patterns import shapes
+from tessera.plans.registry import dsl, frame, table
 from tessera.quality import generate_tests, results_frame
 from tessera.schema import Schema
-from tessera.sources import ParquetSource
 from tessera.types import FieldType, encode
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-_found: dict[str, tuple[Query, str | None]] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> Table:
-    return Table.from_source(ParquetSource(f"{sf_dir}/{name}.parquet"), spark)
-
-
-def dsl(name: str, sql: str | None, *tables: str):
-    """Register a query made of Tables."""
-
-    def put(build: Callable[..., Table]):
-        _found[name] = (lambda spark, sf_dir: build(*[table(spark, sf_dir, t) for t in tables]).dataframe(spark)), sql
-        return build
-
-    return put
-
-
-def frame(name: str, sql: str | None = None):
-    """Register a query made of DataFrames."""
-
-    def put(build: Query):
-        _found[name] = build, sql
-        return build
-
-    return put
-
-
-def queries() -> dict[str, Query]:
-    return {name: q for name, (q, _) in _found.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _found.items() if sql}
-
-
 DAY = datetime.datetime
 
 # --- scans and filters

@@ -32,5 +32,8 @@ class IncrementalInference:
 
 
 def windowed_counts(events: DataFrame, ts: str, keys: list[str], width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
-    """Events per window and keys; on a stream windows close when the watermark passes them."""
-    return events.withWatermark(ts, lateness).groupBy(F.window(ts, width), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), *keys, "n")
+    """Events per window and keys; on a stream windows close when the watermark passes them.  Watermarks need a zone: times without one are read in the session's, and given back without one."""
+    kind = events.schema[ts].dataType
+    zoned = events.withColumn(ts, F.col(f"`{ts}`").cast("timestamp")).withWatermark(ts, lateness)
+    counts = zoned.groupBy(F.window(ts, width), *keys).agg(F.count("*").alias("n"))
+    return counts.select(F.col("window.start").cast(kind).alias("window_start"), *keys, "n")
