@@ -74,8 +74,22 @@ def op10_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the mix of all documents each source's target, and whether what it gives lies within a hundredth, or the largest document, of that."""
+    of = op1_pareto_mix(spark, sf_dir).groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken"), F.max("size").alias("largest"))
+    near = (F.col("taken") <= F.col("target")) & (F.col("target") - F.col("taken") <= F.greatest(F.col("target") / 100, F.col("largest")))
+    return of.select("source", "source_size", F.round("target", 3).alias("target"), near.alias("near"))
+
+
+def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the quality rules count in each document, and the verdict of the base rules."""
+    judged = isolation.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), None)
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def queries() -> dict:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v) and k[2].isdigit()}
+    of_contract = {k: v for k, v in globals().items() if k.startswith("op") and callable(v) and k[2].isdigit()}
+    return of_contract | {"mix_targets": mix_targets, "rule_counts": rule_counts}
 
 
 _WORDS = r"""w AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)"""
@@ -123,9 +137,30 @@ SELECT doc_id, COALESCE(a, 0)::BIGINT AS n_assign, COALESCE(b, 0)::BIGINT AS n_a
 """
 
 
+#: The level up to which all sources are filled, weight by weight, is the first, of those at which one more source is at twice its size, that this source can still take.
+_TARGETS = r"""
+WITH size AS (SELECT source, SUM(len(regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS n FROM documents GROUP BY source),
+own AS (SELECT source, n, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM size),
+filled AS (SELECT *, 2 * n / w AS full_at, (SELECT 1.5 * SUM(n) FROM own) - SUM(2 * n) OVER o + 2 * n AS rest, SUM(w) OVER () - SUM(w) OVER o + w AS open FROM own WINDOW o AS (ORDER BY 2 * n / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+level AS (SELECT arg_min(rest / open, full_at) FILTER (WHERE rest / open <= full_at) AS top FROM filled)
+SELECT source, n AS source_size, ROUND(LEAST(2.0 * n, w * COALESCE(top, 1e300)), 3) AS target, TRUE AS near FROM own, level
+"""
+
+_COUNTS = r"""
+WITH w AS (SELECT doc_id, COALESCE(text, '') AS t, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+twice AS (SELECT doc_id, k FROM win GROUP BY ALL HAVING COUNT(*) > 1),
+rep AS (SELECT doc_id, COUNT(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM win JOIN twice USING (doc_id, k)) GROUP BY doc_id),
+lines AS (SELECT doc_id, COUNT(*) - COUNT(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM w) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+c AS (SELECT doc_id, len(ws)::BIGINT AS n_words, COALESCE(list_sum([len(x) for x in ws]), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, COALESCE(lines.n, 0)::BIGINT AS n_dup_lines, COALESCE(rep.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express; the others are tested against brute force, round trips or held-out labels.
 
     That of the near duplicates compares all pairs that share a shingle; that of the secrets has all rules.
     """
-    return {"op2_substring_dedup": _REPEATS, "op7_trigram_secrets": _SECRETS, "op9_bagminhash_dedup": _NEAR}
+    return {"op2_substring_dedup": _REPEATS, "op7_trigram_secrets": _SECRETS, "op9_bagminhash_dedup": _NEAR, "mix_targets": _TARGETS, "rule_counts": _COUNTS}
