@@ -3,6 +3,7 @@ import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlparse
 
+import pyarrow as pa
 import pytest
 
 from tessera import infer
@@ -79,6 +80,19 @@ def test_external_stores(spark):
     assert [r.value for r in KafkaSource.objects(payloads).collect()] == ['{"a": 1}']
 
 
+def test_jdbc(spark):
+    """The reads of PostgresSource over the one database that Spark brings along."""
+    derby = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    url = "jdbc:derby:memory:tessera;create=true"
+    rows = [(i, f"n{i}", i * 0.5) for i in range(100)]
+    spark.createDataFrame(rows, "id int, name string, x double").write.jdbc(url, "things", properties=derby)
+    some = PostgresSource(url, query='SELECT "id", "name", "x" FROM things WHERE "id" > 97', partitioning=derby)
+    assert sorted(some.read(), key=lambda r: r["id"]) == [dict(zip(("id", "name", "x"), r)) for r in rows[98:]]
+    whole = PostgresSource(url, table="things", batch_size=7, partitioning=derby | {"partitionColumn": "id", "lowerBound": 0, "upperBound": 100, "numPartitions": 4}).dataframe(spark)
+    assert whole.rdd.getNumPartitions() == 4 and sorted(map(tuple, whole.collect())) == rows
+    assert [t.arrow_type for _, t in infer(whole, detect_pii=False).fields] == [pa.int32(), pa.string(), pa.float64()]
+
+
 def test_lineage():
     g = Lineage()
     g.record("a.b", "t.c", "flatten")
