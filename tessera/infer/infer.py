@@ -7,6 +7,7 @@ reaches the driver, which joins the kinds of each path in a way that no order ca
 from __future__ import annotations
 
 import math
+import warnings
 from collections import defaultdict
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.errors import EmptySourceError
-from tessera.infer.observe import LIST, NULL, OBSERVATION, STRUCT, observe, observe_json
+from tessera.infer.observe import LIST, MAX_DEPTH, NULL, OBSERVATION, SKIPPED, STRUCT, observe, observe_json
 from tessera.pii.detect import count_values, detect_pii, matched
 from tessera.pii.patterns import shapes
 from tessera.schema import Schema
@@ -75,6 +76,16 @@ def summarize_local(seen: dict, locale: str) -> dict[str, dict[str, Kind]]:
     return {p: dict(kinds) for p, kinds in out.items()}
 
 
+def told(seen: dict[str, dict[str, Kind]], name: str) -> dict[str, dict[str, Kind]]:
+    """What was seen, without the count of documents that were left out, of which it warns."""
+    left_out = seen.get("", {}).get(SKIPPED)
+    if left_out is None:
+        return seen
+    warnings.warn(f"{name}: {left_out.n} documents are no objects, or nested more than {MAX_DEPTH} deep, and were left out", stacklevel=3)
+    rest = {kind: k for kind, k in seen[""].items() if kind != SKIPPED}
+    return {p: kinds for p, kinds in {**seen, "": rest}.items() if kinds}
+
+
 def _first(kinds: dict[str, Kind]) -> int:
     return min(k.first for k in kinds.values())
 
@@ -146,6 +157,7 @@ def infer(documents: Any, name: str = "inferred", sample_size: int | None = 2000
     else:
         held = list(_reservoir(documents, sample_size, seed))
         seen = summarize_local(observe(enumerate(held)), pii_locale)
+    seen = told(seen, name)
     if not seen:
         if fail_on_empty:
             raise EmptySourceError(f"{name}: no documents")

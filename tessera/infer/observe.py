@@ -18,6 +18,9 @@ MAX_DEPTH = 50
 #: Kinds of nodes that hold others; all other kinds are names of types.
 STRUCT, LIST, NULL = "struct", "list", "null"
 
+#: The kind, at no path, of documents that are left out: too deep, or no objects.
+SKIPPED = "skipped"
+
 OBSERVATION = "path string, kind string, value string, n long, first long"
 
 # Types of Python values, in the order of tests (a bool is an int too, a datetime a date).
@@ -62,14 +65,15 @@ def text_of(value: Any) -> str | None:
 
 
 def observe(documents: Iterable[tuple[int, Any]]) -> dict[tuple[str, str, str | None], list[int]]:
-    """(path, kind, value) -> [how often, when first], over (number, document); documents too deep, or no objects, are left out."""
+    """(path, kind, value) -> [how often, when first], over (number, document); documents too deep, or no objects, are only counted, as SKIPPED."""
     seen: dict[tuple[str, str, str | None], list[int]] = {}
     for number, doc in documents:
-        if not isinstance(doc, dict):
-            continue
         try:
-            own = list(walk(doc))
+            own = list(walk(doc)) if isinstance(doc, dict) else None
         except (CyclicReferenceError, RecursionError):
+            own = None
+        if own is None:
+            seen.setdefault(("", SKIPPED, None), [0, number << 8])[0] += 1
             continue
         for place, (path, kind, value) in enumerate(own):
             got = seen.setdefault((path, kind, text_of(value)), [0, (number << 8) | min(place, 255)])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.infer.infer import build, summarize
+from tessera.infer.infer import build, summarize, told
 from tessera.infer.observe import OBSERVATION, observe_json
 from tessera.schema import Schema
 
@@ -28,7 +28,8 @@ class IncrementalInference:
 
     def schema(self, spark: SparkSession) -> Schema:
         """The schema of all that was seen so far."""
-        return build(self.name, summarize(spark.read.schema(OBSERVATION).option("basePath", self.path).parquet(f"{self.path}/batch=*"), self.locale))
+        seen = summarize(spark.read.schema(OBSERVATION).option("basePath", self.path).parquet(f"{self.path}/batch=*"), self.locale)
+        return build(self.name, told(seen, self.name))
 
 
 def windowed_counts(events: DataFrame, ts: str, keys: list[str], width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:

@@ -105,3 +105,14 @@ def test_typed_frame(spark):
     assert shape(s) == {"id": "int32", "mail2": "string", "l": "list<int32>"}
     assert s.field("mail2").null_ratio == 0.5 and s.field("mail2").pii_class == "email" and s.field("l").cardinality_estimate == 2
     assert infer(df) .field_names == s.field_names
+
+
+def test_documents_left_out_are_told(inferred):
+    deep = 1
+    for _ in range(60):
+        deep = {"d": deep}
+    with pytest.warns(UserWarning, match="3 documents"):
+        s = inferred([{"a": 1, "": 2}, deep, {"a": 2, "x": deep}, [1]])
+    assert shape(s) == {"a": "int64", "": "int64"} and s.field("a").sample_count == 1
+    with pytest.warns(UserWarning, match="1 documents"), pytest.raises(EmptySourceError):
+        inferred([deep])
