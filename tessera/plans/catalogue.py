@@ -8,7 +8,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.ddl import DIALECTS, compile_ddl, compile_migration
 from tessera.diff import diff
 from tessera.functions import avg_, call, coalesce, col, concat, count_, count_distinct_, date_trunc, if_, length, lit, max_, min_, sum_, to_date
 from tessera.infer import infer, infer_typed
@@ -239,7 +238,7 @@ def _shred_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return child.join(root, child["__parent_id"] == root["__id"]).select("vec_id", child["__ordinal"].alias("ordinal"), child["value"].cast("double").alias("value"))
 
 
-def _nested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their customer as a struct and their lines as a list."""
     o, c, li = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer", "lineitem"))
     lines = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("qty")))).alias("items"))
@@ -249,13 +248,13 @@ def _nested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @frame("shred_nested_root", "SELECT o_orderkey, o_totalprice, c_name AS customer__name FROM orders JOIN customer ON o_custkey = c_custkey WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def _shred_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _nested_orders(spark, sf_dir)
+    df = nested_orders(spark, sf_dir)
     return normalize(Schema.from_spark("orders", df.schema)).apply(df, keys=["o_orderkey"])["orders"].select("o_orderkey", "o_totalprice", "customer__name")
 
 
 @frame("shred_nested_items", "SELECT l_orderkey AS o_orderkey, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) - 1 AS ordinal, l_linenumber AS line, l_partkey AS part, l_quantity AS qty FROM lineitem WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)")
 def _shred_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _nested_orders(spark, sf_dir)
+    df = nested_orders(spark, sf_dir)
     tables = normalize(Schema.from_spark("orders", df.schema)).apply(df, keys=["o_orderkey"])
     root, items = tables["orders"], tables["orders__items"]
     return items.join(root, items["__parent_id"] == root["__id"]).select("o_orderkey", items["__ordinal"].alias("ordinal"), "line", "part", "qty")
@@ -263,7 +262,7 @@ def _shred_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @frame("shred_recursive", "SELECT o_orderkey, c_nationkey AS customer__place__nation, c_mktsegment AS customer__place__segment FROM orders JOIN customer ON o_custkey = c_custkey WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def _shred_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _nested_orders(spark, sf_dir)
+    df = nested_orders(spark, sf_dir)
     return normalize(Schema.from_spark("orders", df.schema), recursive=True).apply(df, keys=["o_orderkey"])["orders"].select("o_orderkey", "customer__place__nation", "customer__place__segment")
 
 
@@ -291,7 +290,7 @@ def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- schemas alone
 
 
-def _customer_schemas() -> tuple[Schema, Schema]:
+def customer_schemas() -> tuple[Schema, Schema]:
     old = Schema("customer", (("id", FieldType(pa.int32())), ("name", FieldType(pa.string())), ("age", FieldType(pa.int64(), null_ratio=0.1)), ("gone", FieldType(pa.bool_()))))
     new = Schema("customer", (("id", FieldType(pa.int64())), ("name", FieldType(pa.int64())), ("age", FieldType(pa.int64())), ("email", FieldType(pa.string(), null_ratio=0.2, pii_class="email"))))
     return old, new
@@ -299,24 +298,16 @@ def _customer_schemas() -> tuple[Schema, Schema]:
 
 @frame("schema_diff_rows", "SELECT * FROM (VALUES ('id', 'type_changed', 'safe'), ('name', 'type_changed', 'risky'), ('age', 'nullable_changed', 'risky'), ('gone', 'removed', 'breaking'), ('email', 'added', 'safe')) v(path, kind, severity)")
 def _diff_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff(*_customer_schemas()).to_dataframe(spark).drop("description")
+    return diff(*customer_schemas()).to_dataframe(spark).drop("description")
 
 
 @frame("normalize_tables", "SELECT * FROM (VALUES ('orders', '__id'), ('orders', 'o_orderkey'), ('orders', 'o_totalprice'), ('orders', 'customer__name'), ('orders', 'customer__place'), ('orders__items', '__id'), ('orders__items', '__parent_id'), ('orders__items', '__ordinal'), ('orders__items', 'line'), ('orders__items', 'part'), ('orders__items', 'qty')) v(table_name, column_name)")
 def _normalize_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = normalize(Schema.from_spark("orders", _nested_orders(spark, sf_dir).schema))
+    plan = normalize(Schema.from_spark("orders", nested_orders(spark, sf_dir).schema))
     return spark.createDataFrame([(t.name, n) for t in plan.tables for n in t.field_names], "table_name string, column_name string")
 
 
-@frame("ddl_rows")
-def _ddl_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = normalize(Schema.from_spark("orders", _nested_orders(spark, sf_dir).schema))
-    rows = [(name, i, s) for name in DIALECTS for i, s in enumerate(compile_ddl(plan, name).statements)]
-    rows += [(name, 100 + i, s) for name in DIALECTS for i, s in enumerate(compile_migration(diff(*_customer_schemas()), name, skip_breaking=True).statements)]
-    return spark.createDataFrame(rows, "dialect string, place int, statement string")
-
-
 @frame("lineage_edges", "SELECT * FROM (VALUES ('orders.customer.name', 'orders.customer__name', 'flatten'), ('orders.customer.place', 'orders.customer__place', 'flatten'), ('orders.items', 'orders__items', 'extract_array')) v(source, target, transform)")
 def _lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph: Lineage = normalize(Schema.from_spark("orders", _nested_orders(spark, sf_dir).schema)).lineage
+    graph: Lineage = normalize(Schema.from_spark("orders", nested_orders(spark, sf_dir).schema)).lineage
     return graph.to_dataframe(spark).drop("confidence")

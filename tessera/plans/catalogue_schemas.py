@@ -17,13 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.cli import main
-from tessera.ddl import DDLOptions, compile_ddl, compile_migration
+from tessera.ddl import DIALECTS, DDLOptions, compile_ddl, compile_migration
 from tessera.diff import diff
 from tessera.functions import col, count_, if_, length, lit, star, sum_
 from tessera.infer import infer
 from tessera.normalize import normalize
 from tessera.operators import Table
 from tessera.pii.patterns import LOCALES, shapes
+from tessera.plans.catalogue import customer_schemas, nested_orders
 from tessera.plans.registry import dsl, frame, new_folder, table
 from tessera.quality import generate_tests
 from tessera.schema import Path, Schema
@@ -190,6 +191,38 @@ def _ddl_migrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "dialect string, tab string, statement string")
 
 
+# How each dialect writes a struct, and notes on columns; whether it has primary keys, and foreign keys that are added later.
+_STRUCT = """('duckdb', 'PLACE', 'STRUCT("nation" INTEGER, "segment" VARCHAR)'), ('postgres', 'PLACE', 'JSONB'), ('redshift', 'PLACE', 'SUPER'), ('bigquery', 'PLACE', 'STRUCT<nation INT64, segment STRING>'), ('snowflake', 'PLACE', 'OBJECT'), ('databricks', 'PLACE', 'STRUCT<`nation`: INT, `segment`: STRING>')"""
+_KEYS = "('duckdb', 'dash', TRUE, FALSE), ('postgres', 'dash', TRUE, TRUE), ('redshift', 'dash', TRUE, TRUE), ('bigquery', 'options', FALSE, FALSE), ('snowflake', 'comment', TRUE, TRUE), ('databricks', 'comment', FALSE, FALSE)"
+
+_PLANNED = f"""
+WITH cols(tab, place, c, k, note) AS (VALUES ('orders', 0, '__id', 'VARCHAR', 'surrogate key'), ('orders', 1, 'o_orderkey', 'BIGINT', NULL), ('orders', 2, 'o_totalprice', 'DOUBLE', NULL), ('orders', 3, 'customer__name', 'VARCHAR', NULL), ('orders', 4, 'customer__place', 'PLACE', NULL),
+  ('orders__items', 0, '__id', 'VARCHAR', 'surrogate key'), ('orders__items', 1, '__parent_id', 'VARCHAR', 'key of orders'), ('orders__items', 2, '__ordinal', 'BIGINT', 'place in the list'), ('orders__items', 3, 'line', 'INTEGER', NULL), ('orders__items', 4, 'part', 'BIGINT', NULL), ('orders__items', 5, 'qty', 'DOUBLE', NULL)),
+kinds(dialect, k, type) AS (SELECT * FROM {_DIALECT_TYPES} UNION ALL VALUES {_STRUCT}),
+w AS (SELECT * FROM {_DIALECT_WORDS} JOIN (VALUES {_KEYS}) v(dialect, notes, keyed, linked) USING (dialect)),
+lines AS (SELECT dialect, tab, place, '  ' || q || c || q || ' ' || type || no_nulls
+    || CASE WHEN note IS NULL OR notes = 'dash' THEN '' WHEN notes = 'options' THEN ' OPTIONS(description=''' || note || ''')' ELSE ' COMMENT ''' || note || '''' END
+    || CASE WHEN keyed OR place < MAX(place) OVER (PARTITION BY dialect, tab) THEN ',' ELSE '' END || CASE WHEN notes = 'dash' AND note IS NOT NULL THEN ' -- ' || note ELSE '' END AS line
+  FROM cols JOIN kinds USING (k) JOIN w USING (dialect)),
+made AS (
+  SELECT dialect, CASE tab WHEN 'orders' THEN 0 ELSE 1 END AS place, 'CREATE TABLE ' || q || tab || q || ' (\n' || string_agg(line, '\n' ORDER BY lines.place) || CASE WHEN keyed THEN '\n  PRIMARY KEY (' || q || '__id' || q || ')' ELSE '' END || '\n)' || tail || ';' AS statement
+    FROM lines JOIN w USING (dialect) GROUP BY dialect, tab, q, keyed, tail
+  UNION ALL SELECT dialect, 2, 'ALTER TABLE "orders__items" ADD FOREIGN KEY ("__parent_id") REFERENCES "orders" ("__id");' FROM w WHERE linked
+  UNION ALL SELECT dialect, p, 'ALTER TABLE ' || q || 'customer' || q || ' ALTER COLUMN ' || q || c || q || ' ' || alter || ' ' || type || ';' FROM w JOIN kinds USING (dialect), (VALUES (100, 'id'), (101, 'name')) v(p, c) WHERE k = 'BIGINT'
+  UNION ALL SELECT dialect, p, x FROM w, (VALUES (102, '-- risky: field ''age'' became non-nullable'), (103, '-- skipped, breaking: field ''gone'' removed')) v(p, x)
+  UNION ALL SELECT dialect, 104, 'ALTER TABLE ' || q || 'customer' || q || ' ADD COLUMN ' || q || 'email' || q || ' ' || type || ';' FROM w JOIN kinds USING (dialect) WHERE k = 'VARCHAR')
+SELECT dialect, place, statement FROM made UNION ALL SELECT 'postgresql', place, statement FROM made WHERE dialect = 'postgres'
+"""
+
+
+@frame("ddl_rows", _PLANNED)
+def _ddl_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = normalize(Schema.from_spark("orders", nested_orders(spark, sf_dir).schema))
+    rows = [(name, i, s) for name in DIALECTS for i, s in enumerate(compile_ddl(plan, name).statements)]
+    rows += [(name, 100 + i, s) for name in DIALECTS for i, s in enumerate(compile_migration(diff(*customer_schemas()), name, skip_breaking=True).statements)]
+    return spark.createDataFrame(rows, "dialect string, place int, statement string")
+
+
 # --- sources
 
 
