@@ -247,7 +247,9 @@ def test_search_of_the_tables(spark):
 def test_search_leaves_out_unusable_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, []), (8, [2.0, 0.0]), (9, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (20, [1.0, 0.0]), (20, [1.0, 0.0]), (40, [0.0, 0.0])]
-    got = collisions.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
+    clashes = [F.lit("z").alias(c) for c in "id vec q turn dim cell block kind bound near of verified query_id rank score".split()]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("*", *clashes)
+    got = collisions.search(vectors, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(0, 1, 8, 2.0), (0, 2, 20, 1.0), (0, 3, 1, 0.5), (20, 1, 8, 2.0), (20, 2, 0, 1.0), (20, 3, 1, 0.5)]
     assert collisions.search(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).count() == 0
 
