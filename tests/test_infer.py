@@ -2,10 +2,12 @@ import datetime
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import infer
 from tessera.errors import EmptySourceError
 from tessera.infer import infer_typed
+from tessera.infer.infer import sample
 from tessera.types import encode
 
 ORDERS = [
@@ -116,3 +118,14 @@ def test_documents_left_out_are_told(inferred):
     assert shape(s) == {"a": "int64", "": "int64"} and s.field("a").sample_count == 1
     with pytest.warns(UserWarning, match="1 documents"), pytest.raises(EmptySourceError):
         inferred([deep])
+
+
+def test_samples_are_uniform(spark):
+    """Whatever repeats: half of the rows have one text."""
+    texts = spark.range(40_000).repartition(9).select(F.when(F.col("id") % 2 == 0, '{"hot": 1}').otherwise(F.concat(F.lit('{"id": '), F.col("id").cast("string"), F.lit("}"))).alias("value")).select(F.monotonically_increasing_id().alias("number"), "value").cache()
+    for size in (1, 100, 2000):
+        got = sample(texts, size, 3).collect()
+        assert len(got) == size and sample(texts, size, 3).collect() == got != sample(texts, size, 4).collect()
+    hot = sum("hot" in r.value for r in got)
+    assert 850 < hot < 1150 and sample(texts, 50_000, 3).count() == 40_000 and sample(texts.where("false"), 5, 3).count() == 0
+    assert got == texts.orderBy(F.xxhash64(F.lit(3), "number")).limit(2000).collect()
