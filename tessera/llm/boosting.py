@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.samples import first_bins
 from tessera.llm.statistics import COUNTS, rates, with_counts
 from tessera.llm.store import materialize
 
@@ -108,8 +109,19 @@ def labelled(counts: DataFrame, labels: DataFrame, label_col: str, id_col: str)
 
 
 def sample(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """RATES and labels of at most `most` of labelled(...), those of least hash of their id."""
-    pdf = rows.orderBy("order", "label_of", *COUNTS[:3]).limit(most).toPandas()
+    """RATES and labels of at most `most` of labelled(...), which is read several times: those of least hash of their id.
+
+    Counts of bins of that hash tell where they end, so hardly more rows than that leave their tasks, however many there are.  Where one id has more rows than are asked for, those of
+    least hash of their counts are taken; rows that are the same travel as one.
+    """
+    rows = rows.withColumn("tie", F.xxhash64(*COUNTS))
+    kept, last, n = first_bins(rows, "order", most)
+    if n > most:
+        few, edge, _ = first_bins(last, "tie", most)
+        last = few.unionByName(edge)
+    by = ["order", "label_of", "tie", "label", *COUNTS]
+    pdf = kept.unionByName(last).groupBy(*by).agg(F.count("*").alias("copies")).orderBy(*by).limit(most).toPandas()
+    pdf = pdf.loc[np.repeat(np.arange(len(pdf)), np.minimum(pdf.copies, most))].iloc[:most]
     return rates({c: pdf[c].to_numpy() for c in COUNTS}), pdf["label"].to_numpy(float)
 
 
@@ -132,6 +144,6 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
     and never learnt from; of several labels for one id the largest counts; an empty table gives an empty one.
     """
     counts = materialize(with_counts(docs, text_col, [c for c in docs.columns if c != text_col]), "statistics")
-    x, y = sample(labelled(counts, labels, label_col, id_col), fit_rows)
+    x, y = sample(materialize(labelled(counts, labels, label_col, id_col), "labelled"), fit_rows)
     row = counts.schema["row"].dataType.simpleString()
     return counts.mapInArrow(_score(fit(x, y)), f"row {row}, score double, n_words long")

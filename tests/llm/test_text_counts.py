@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import boosting, isolation, statistics
 from tessera.llm.words import Runs, grams, pieces, split
@@ -144,3 +145,21 @@ def test_classifier_on_odd_documents(odd, labels, nothing):
     got = boosting.classify(odd, labels).collect()
     assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got) and "text" not in got[0].row
     assert boosting.classify(nothing, labels).count() == 0 and {r.score for r in boosting.classify(odd, labels.where("false")).collect()} == {0.5}
+
+
+def test_samples_for_fitting(spark):
+    """Those of least hash of their id, as many as asked for; of an id with a third of all rows, and of rows that repeat, no more."""
+    hot = "CASE WHEN id % 3 = 0 THEN 7 ELSE id END"
+    counts = [F.expr(f"CASE WHEN id % 2 = 0 THEN 1 ELSE id END + {i}").cast("long").alias(c) for i, c in enumerate(statistics.COUNTS)]
+    rows = spark.range(9000).repartition(7).select(F.expr(hot).alias("label_of"), (F.col("id") % 2).cast("double").alias("label"), *counts).withColumn("order", F.xxhash64("label_of"))
+    held = rows.toPandas().sort_values("order")
+    before = int((held.order < held[held.label_of == 7].order.iloc[0]).sum())
+    for most in (1, 50, before, before + 10, before + 2000, 8999, 9000, 10_000):
+        x, y = boosting.sample(rows, most)
+        assert x.shape == (min(most, 9000), len(statistics.RATES)) and y.shape == (min(most, 9000),)
+        if most <= before or most >= 9000:  # the same rows as by a sort of all
+            want = held.iloc[:most]
+            assert np.allclose(np.sort(x[:, 0]), np.sort(np.log1p(want.n_words.to_numpy(float)))) and y.sum() == want.label.sum()
+        again = boosting.sample(rows.repartition(3), most)
+        assert (again[0] == x).all() and (again[1] == y).all()
+    assert boosting.sample(rows.where("false"), 5)[0].shape[0] == 0
