@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.samples import first_bins
 from tessera.llm.store import materialize
 
 #: Vectors of a block, each of which has its part of the sorted projections; the blocks there are at most, so that their bounds (1 KB each) fit everywhere: beyond, blocks grow.
@@ -318,7 +319,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
     n, most = rows.agg(F.count("*"), F.coalesce(F.max(norm), F.lit(1.0))).first()
     family = Family(float(most), **options)
-    few = rows.select("dim", "vec").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
+    before, last, _ = first_bins(rows.select("dim", "vec", "id", F.xxhash64("id").alias("order")), "order", SAMPLE)
+    few = before.unionByName(last).orderBy("order", "id").limit(SAMPLE).toPandas()
     levels = np.arange(1, 1 << CELL_BITS) / (1 << CELL_BITS)
     cuts = {int(d): np.quantile(family.shadows(np.stack(own.vec.to_list()))[:, :CELL_FUNCTIONS], levels, axis=0).T for d, own in few.groupby("dim")}
     # lengths that the sample does not have are few; they share one cell each
