@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-from tessera.llm.tokens import PIECE_BYTES, encoder
+from tessera.llm.tokens import encoder
 from tessera.llm.words import pieces
 
 PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long, tokens array<int>"
@@ -19,6 +19,9 @@ PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_
 #: Tokens that are packed together: what a task holds at a time.  The padding of a group is under one sequence, so under 0.2 %.
 GROUP_TOKENS = 1 << 20
 
+#: Bytes of text that are encoded at a time: fewer than where ids alone are made, as whole groups are held beside them.
+PIECE_BYTES = 1 << 19
+
 
 def balance(lengths: np.ndarray, capacity: int, linear: float, quadratic: float) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """(document, start, length, sequence, offset) of each piece, and the number of sequences.
