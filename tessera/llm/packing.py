@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 
 from tessera.llm.tokens import encoder
-from tessera.llm.words import pieces
+from tessera.llm.words import pieces, trim
 
 PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long, tokens array<int>"
 
@@ -22,6 +22,9 @@ GROUP_TOKENS = 1 << 20
 #: Bytes of text that are encoded at a time: fewer than where ids alone are made, as whole groups are held beside them.
 PIECE_BYTES = 1 << 19
 
+#: Words that a worker's table keeps here, fewer than where ids alone are made: the table stays with the worker between tasks, and is copied whenever words are added.
+KEPT = 1 << 18
+
 
 def balance(lengths: np.ndarray, capacity: int, linear: float, quadratic: float) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """(document, start, length, sequence, offset) of each piece, and the number of sequences.
@@ -84,13 +87,14 @@ def _pack(path: str, end: int, capacity: int, linear: float, quadratic: float, w
         for batch in batches:
             for lo, texts in pieces(batch.column(1), PIECE_BYTES):
                 names = batch.column(0).slice(lo, len(texts)).to_pylist()
-                found, at = encoder(path).with_end(texts, end)
+                found, at = encoder(path, KEPT).with_end(texts, end)
                 for name, a, b in zip(names, at[:-1].tolist(), at[1:].tolist()):
                     ids.append(name)
                     bodies.append(found[a:b].tobytes())
                     held += b - a
                     if held >= GROUP_TOKENS:
                         yield flush()
+                        trim()
         if ids:
             yield flush()
 

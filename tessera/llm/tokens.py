@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm.words import SEPARATORS, U64, eights, mix, raw
+from tessera.llm.words import SEPARATORS, U64, eights, mix, raw, trim
 
 #: White space beyond ASCII, by its bytes in UTF-8, and those that such a character begins with.
 _WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8a\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80")
@@ -228,6 +228,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """One for each Python worker and file."""
-    return Encoder(path)
+def encoder(path: str, kept: int = KEPT) -> Encoder:
+    """One for each Python worker, file and size of its table."""
+    made = Encoder(path, kept)
+    trim()
+    return made

@@ -57,6 +57,12 @@ except (OSError, AttributeError):  # another C library
     _trim = None
 
 
+def trim() -> None:
+    """Give back what the allocator keeps of large arrays that have come and gone."""
+    if _trim is not None:
+        _trim(0)
+
+
 def pieces(texts: pa.Array, most: int = PIECE_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """(index of the first text, texts) with at most so many bytes, one text at least."""
     if isinstance(texts, pa.ChunkedArray):
@@ -68,8 +74,7 @@ def pieces(texts: pa.Array, most: int = PIECE_BYTES) -> Iterator[tuple[int, pa.A
         hi = max(lo + 1, int(np.searchsorted(sizes, done + most, side="right")))
         yield lo, texts.slice(lo, hi - lo)
         lo = hi
-    if _trim is not None:
-        _trim(0)  # large arrays come and go; without this the allocator keeps their memory
+    trim()
 
 
 @dataclass

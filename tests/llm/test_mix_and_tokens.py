@@ -2,6 +2,7 @@ import collections
 import glob
 import itertools
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import mixing, packing, token_files
 from tessera.llm.store import materialize
-from tessera.llm.tokens import Encoder
+from tessera.llm.tokens import Encoder, encoder
 from tests.llm.conftest import WORD, odd_rows, thue_morse
 
 
@@ -196,3 +197,23 @@ def test_packing_on_odd_documents(odd, nothing, tokenizer):
     assert max(at.values()) <= 2048 and packing.pack(nothing, tokenizer).count() == 0
     total = packing.padding(packing.pack(odd, tokenizer, with_tokens=False)).first()
     assert total.ids == sum(at.values()) and total.padding < 3 * 2048
+
+
+def test_packing_keeps_little_between_tasks(tokenizer, monkeypatch):
+    made = []
+    monkeypatch.setattr(packing, "encoder", lambda *args: made.append(encoder(*args)) or made[-1])
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    encoder.cache_clear()
+    letters = np.random.default_rng(5).integers(97, 123, (500, 900, 6), dtype=np.uint8)
+    texts = [b" ".join(w.tobytes() for w in t).decode() for t in letters]
+    texts += texts[:20]  # words that the table has dropped by then
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    got = pa.Table.from_batches(packing._pack(tokenizer, 1, 2048, 1.0, 1 / 2048, True)([rows])).to_pylist()
+    ids = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (r["doc_id"], r["start"])):
+        ids[r["doc_id"]] += r["tokens"]
+    lib = Encoder(tokenizer).whole(texts)
+    assert [ids[i] for i in range(len(texts))] == [[*x.tolist(), 1] for x in lib]
+    table = made[-1].table
+    assert sum(x.nbytes for x in (table.slots, table.h, table.start, table.size, table.stamp, table.pool)) < 24 << 20
+    encoder.cache_clear()
